@@ -1,0 +1,10 @@
+"""Registered queries, grouped by area."""
+import importlib
+import pkgutil
+
+
+def load_all():
+    for m in sorted(x.name for x in pkgutil.iter_modules(__path__)):
+        importlib.import_module(f"{__name__}.{m}")
+    from .base import REGISTRY
+    return REGISTRY
