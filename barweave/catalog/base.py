@@ -29,19 +29,21 @@ def with_ctes(final, *names):
 
 
 def query(name, final=None, ctes=(), doubles="", longs="", dp=6):
-    """Register a query; doubles are rounded and counts widened alike on both engines."""
-    d, n = doubles.split(), longs.split()
+    """Register a query; doubles are rounded (``name:places`` overrides ``dp``) and counts
+    widened alike on both engines."""
+    d, n = [(*c.split(":"), dp)[:2] for c in doubles.split()], longs.split()
+    d = [(c, int(k)) for c, k in d]
 
     def deco(fn):
         def run(spark, sf_dir):
             df = fn(Tables(use_utc(spark), sf_dir))
             return df.withColumns({
-                **{c: F.round(F.col(c).cast("double"), dp) + F.lit(0.0) for c in d},
+                **{c: F.round(F.col(c).cast("double"), k) + F.lit(0.0) for c, k in d},
                 **{c: F.col(c).cast("long") for c in n}})
 
         sql = None
         if final is not None:
-            rep = [f"round(CAST({c} AS DOUBLE), {dp}) + 0.0 AS {c}" for c in d]
+            rep = [f"round(CAST({c} AS DOUBLE), {k}) + 0.0 AS {c}" for c, k in d]
             rep += [f"CAST({c} AS BIGINT) AS {c}" for c in n]
             inner = with_ctes(final, *ctes)
             sql = f"SELECT * REPLACE ({', '.join(rep)}) FROM ({inner})" if rep else inner
@@ -55,7 +57,7 @@ def query(name, final=None, ctes=(), doubles="", longs="", dp=6):
 def erfc_sql(z):
     """1 - erf(z) from the all-positive series exp(-z^2) * sum z^(2n+1) / gamma(n + 3/2)."""
     return (f"(CASE WHEN ({z}) <= 0 THEN 1.0 WHEN ({z}) > 6 THEN 0.0 ELSE greatest(0.0, 1.0 - list_sum("
-            f"list_transform(range(0, 160), n -> exp((2*n+1)*ln(({z})) - lgamma(n+1.5) - ({z})*({z}))))) END)")
+            f"list_transform(range(0, 160), lambda n: exp((2*n+1)*ln(({z})) - lgamma(n+1.5) - ({z})*({z}))))) END)")
 
 
 def chi2_sql(x):
@@ -69,7 +71,7 @@ def normal_sql(z):
 def _ibeta_series(x, a, b):
     # x^a (1-x)^b / (a B(a,b)) * (1 + sum B(a+1,n+1)/B(a+b,n+1) x^(n+1))
     return (f"exp(({a})*ln({x}) + ({b})*ln(1.0-({x})) - ln({a}) - lgamma({a}) - lgamma({b}) + lgamma(({a})+({b}))) * "
-            f"(1.0 + list_sum(list_transform(range(0, 400), n -> exp(lgamma(({a})+1.0) + lgamma(({a})+({b})+n+1.0) "
+            f"(1.0 + list_sum(list_transform(range(0, 400), lambda n: exp(lgamma(({a})+1.0) + lgamma(({a})+({b})+n+1.0) "
             f"- lgamma(({a})+n+2.0) - lgamma(({a})+({b})) + (n+1)*ln({x})))))")
 
 

@@ -10,6 +10,7 @@ from ..operators import regimes as R
 from ..sources import registry
 from ..sources import standins as S
 from ..sources.posts import attach_set_metadata, normalise_signals
+from ..session import reuse
 from .base import chi2_sql, cte, normal_sql, query, t_sql
 
 G = "horizon, set_id, sentiment_model, model_type, panel_mode, hpo_variant"
@@ -18,7 +19,7 @@ GL = GROUP_KEYS
 
 
 def sig(t):
-    return S.signals(t)
+    return reuse(S.signals(t))
 
 
 def counts_sql(y="target", p="prediction", q="probability", pre="", cond="TRUE"):
@@ -358,11 +359,11 @@ FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY market_cap_lag, ti
 
 
 def vol_lookup(t):
-    return R.volatility_lookup(S.bars(t, "1d").withColumnRenamed("timestamp", "date"))
+    return reuse(R.volatility_lookup(S.bars(t, "1d").withColumnRenamed("timestamp", "date")))
 
 
 def size_lookup(t):
-    return R.size_lookup(S.market_caps(t))
+    return reuse(R.size_lookup(S.market_caps(t)))
 
 
 @query("garman_klass_volatility", "SELECT * FROM vol_series WHERE vol IS NOT NULL", ["vol_series"], doubles="gk_var vol", dp=9)
@@ -386,11 +387,11 @@ cte("breg", "SELECT s.*, v.mcap_regime FROM vreg s ASOF LEFT JOIN size_lookup v
 
 
 def both(t):
-    return R.attach_both(sig(t), vol_lookup(t), size_lookup(t))
+    return reuse(R.attach_both(sig(t), vol_lookup(t), size_lookup(t)))
 
 
 def vreg(t):
-    return R.attach_regime(sig(t), vol_lookup(t).withColumnRenamed("regime", "vol_regime"), "vol_regime", "vol")
+    return reuse(R.attach_regime(sig(t), vol_lookup(t).withColumnRenamed("regime", "vol_regime"), "vol_regime", "vol"))
 
 
 @query("regime_asof", f"""SELECT {G}, ticker, timestamp, vol_regime, vol_available AS vol_regime_available_at, vol_available - INTERVAL 1 DAY AS vol_regime_source_date,
@@ -449,7 +450,7 @@ def _(t):
 
 def _regime_pairs(t):
     s = both(t)
-    return M.benchmark_pairs(s, extra=["vol_regime", "mcap_regime"])
+    return reuse(M.benchmark_pairs(s, extra=["vol_regime", "mcap_regime"]))
 
 
 cte("rpairs", f"""SELECT p.*, r.vol_regime, r.mcap_regime FROM pairs p JOIN (SELECT {G}, timestamp, ticker, vol_regime, mcap_regime FROM breg) r USING ({G}, timestamp, ticker)""",
@@ -551,7 +552,7 @@ DM_D, DM_L = "effect effect_ntweighted se_hac z_hac p_hac", "n_timestamps n_matc
 
 
 def cpairs(t):
-    return M.benchmark_pairs(sig(t), eligible=["combined"])
+    return reuse(M.benchmark_pairs(sig(t), eligible=["combined"]))
 
 
 @query("timestamp_differentials", "SELECT * FROM dt", ["dt"], doubles="ll acc", longs="n_t")
@@ -662,4 +663,4 @@ def _(t):
     s, b = sig(t), both(t)
     return E.summary_sections(
         E.classification_metrics(s), R.volatility_table(vreg(t)), E.threshold_analysis(s), R.size_table(b),
-        R.interaction_table(b), M.mcnemar_table(M.benchmark_pairs(s)))
+        R.interaction_table(b), M.mcnemar_table(M.benchmark_pairs(s)), dp=12)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import GROUP_KEYS
 from ..functions.numeric import ratio
 from ..functions.times import DAY_MICROS, micros
+from ..session import reuse
 from .sequence import keep_last, running, sliding, with_position
 
 # Leg quantiles, smallest leg, cost grid (basis points), thresholds, days per year.
@@ -87,10 +88,11 @@ def portfolio(weights: DataFrame, keys) -> DataFrame:
     the absolute net changes are summed.
     """
     keys = list(keys)
+    weights = reuse(weights)
     per = weights.groupBy(*keys, "timestamp").agg(
         F.sum(F.col("weight") * F.col("forward_log_return")).alias("gross_log_return"),
         F.count_if(F.col("side") == 1).alias("long_n"), F.count_if(F.col("side") == -1).alias("short_n"))
-    idx = with_position(per, keys, "timestamp", name="_idx")
+    idx = reuse(with_position(per, keys, "timestamp", name="_idx"))
     at = idx.select(*keys, "timestamp", "_idx")
     last = at.groupBy(*keys).agg(F.max("_idx").alias("_last"))
     held = weights.select(*keys, "timestamp", "ticker", "weight").join(at, [*keys, "timestamp"]).join(last, keys)
@@ -99,7 +101,7 @@ def portfolio(weights: DataFrame, keys) -> DataFrame:
     m = held.select(*keys, "_last", "ticker", F.explode(moves).alias("m")).where(F.col("m.i") <= F.col("_last"))
     turn = m.groupBy(*keys, F.col("m.i").alias("_idx"), "ticker").agg(F.sum("m.w").alias("_dw")) \
         .groupBy(*keys, "_idx").agg((F.sum(F.abs("_dw")) * 0.5).alias("turnover"))
-    return idx.join(turn, [*keys, "_idx"]).drop("_idx")
+    return reuse(idx.join(turn, [*keys, "_idx"]).drop("_idx"))
 
 
 def with_costs(pf: DataFrame, costs=COSTS) -> DataFrame:
@@ -108,32 +110,43 @@ def with_costs(pf: DataFrame, costs=COSTS) -> DataFrame:
         "net_log_return", F.col("gross_log_return") - F.col("turnover") * F.col("cost_bps") / 1e4)
 
 
-def drawdown(net: DataFrame, keys, value="net_log_return") -> DataFrame:
-    """Deepest fall of the equity curve below its own running maximum."""
+def with_drawdown(net: DataFrame, keys, value="net_log_return") -> DataFrame:
+    """Fall of the equity curve below its own running maximum (no initial 1.0), row by row."""
     keys = list(keys)
-    eq = running(net.select(*keys, "timestamp", value), keys, "timestamp", sums={"_cum": F.coalesce(F.col(value), F.lit(0.0))}) \
-        .select(*keys, "timestamp", F.exp("_cum").alias("_eq"))
-    pk = running(eq, keys, "timestamp", maxes={"_peak": F.col("_eq")})
-    return pk.groupBy(*keys).agg(F.min(F.col("_eq") / F.col("_peak") - 1.0).alias("max_drawdown"))
+    eq = running(net, keys, "timestamp", sums={"_cum": F.coalesce(F.col(value), F.lit(0.0))})
+    pk = running(reuse(eq), keys, "timestamp", maxes={"_peak": F.exp("_cum")})
+    return pk.withColumn("drawdown", F.exp("_cum") / F.col("_peak") - 1.0).drop("_cum", "_peak")
+
+
+def drawdown(net: DataFrame, keys, value="net_log_return") -> DataFrame:
+    """Deepest drawdown per series."""
+    return with_drawdown(net.select(*keys, "timestamp", value), keys, value).groupBy(*keys).agg(
+        F.min("drawdown").alias("max_drawdown"))
 
 
-def _risk(net, keys, value="net_log_return", rf=0.0):
-    """Return, risk and ratio columns of one series per key. The median's state is bounded by the calendar."""
+def _risk(net, keys, value="net_log_return", rf=0.0, extra=()):
+    """Return, risk and ratio columns of one series per key, in one aggregation over its rows.
+
+    The median's state is bounded by the calendar. With a risk-free rate the downside deviation needs
+    the periods per year first, which costs a second pass.
+    """
+    keys = list(keys)
     r = F.col(value)
     n = F.count(r)
     days = (F.max(micros("timestamp")) - F.min(micros("timestamp"))) / float(DAY_MICROS)
-    g = net.groupBy(*keys).agg(
+    rows = with_drawdown(net, keys, value)
+    if rf:
+        rows = reuse(rows)
+    g = rows.groupBy(*keys).agg(
         n.alias("n_periods"), days.alias("_days"), F.sum(r).alias("net_cumulative_log_return"), F.avg(r).alias("mean_return"),
         F.median(r).alias("median_return"), F.when(n > 1, F.stddev_samp(r)).alias("_std"),
-        F.count_if(r > 0).alias("_hits"))
-    ppy = F.when(F.col("_days") > 0, F.col("n_periods") / F.col("_days") * YEAR_DAYS)
-    g = g.withColumn("periods_per_year", ppy)
+        F.stddev_samp(F.when(r < 0, r)).alias("_down"), F.count_if(r > 0).alias("_hits"),
+        F.min("drawdown").alias("max_drawdown"), *extra)
+    g = g.withColumn("periods_per_year", F.when(F.col("_days") > 0, F.col("n_periods") / F.col("_days") * YEAR_DAYS))
     per = F.coalesce(ratio(F.lit(rf), "periods_per_year"), F.lit(0.0))
-    below = net.select(*keys, r.alias("_r")).join(g.select(*keys, "periods_per_year"), list(keys)) if rf \
-        else net.select(*keys, r.alias("_r"))
-    below = below.withColumn("_ex", F.col("_r") - (per if rf else F.lit(0.0)))
-    down = below.where(F.col("_ex") < 0).groupBy(*keys).agg(F.stddev_samp("_ex").alias("_down"))
-    g = g.join(down, list(keys), "left")
+    if rf:
+        ex = rows.select(*keys, r.alias("_r")).join(g.select(*keys, "periods_per_year"), keys).withColumn("_ex", F.col("_r") - per)
+        g = g.drop("_down").join(ex.where(F.col("_ex") < 0).groupBy(*keys).agg(F.stddev_samp("_ex").alias("_down")), keys, "left")
     excess = F.col("mean_return") - per
     root = F.sqrt("periods_per_year")
     ann = F.col("mean_return") * F.col("periods_per_year")
@@ -141,19 +154,17 @@ def _risk(net, keys, value="net_log_return", rf=0.0):
         "net_cumulative_simple_return": F.expm1("net_cumulative_log_return"),
         "annualized_log_return": ann, "annualized_simple_return": F.expm1(ann),
         "annualized_volatility": F.col("_std") * root, "sharpe": ratio(excess, "_std") * root,
-        "sortino": ratio(excess, "_down") * root, "hit_rate": ratio("_hits", "n_periods")}).drop("_days", "_std", "_hits", "_down")
+        "sortino": ratio(excess, "_down") * root, "hit_rate": ratio("_hits", "n_periods"),
+        "calmar_ratio": F.when(F.col("max_drawdown") < 0, ratio(ann, F.abs("max_drawdown")))}) \
+        .drop("_days", "_std", "_hits", "_down")
 
 
 def performance(pf: DataFrame, keys, costs=COSTS, rf=0.0) -> DataFrame:
     """One row per (group, cost): returns, risk, ratios, drawdown and averages."""
-    ck = [*keys, "cost_bps"]
-    net = with_costs(pf, costs)
-    avg = net.groupBy(*ck).agg(
+    return _risk(with_costs(pf, costs), [*keys, "cost_bps"], rf=rf, extra=[
         F.sum("gross_log_return").alias("gross_cumulative_log_return"), F.avg("turnover").alias("turnover_avg"),
         F.avg(F.col("long_n") + F.col("short_n")).alias("n_assets_avg"), F.avg("long_n").alias("long_assets_avg"),
-        F.avg("short_n").alias("short_assets_avg"))
-    out = _risk(net, ck, rf=rf).join(avg, ck).join(drawdown(net, ck), ck)
-    return out.withColumn("calmar_ratio", F.when(F.col("max_drawdown") < 0, ratio("annualized_log_return", F.abs("max_drawdown"))))
+        F.avg("short_n").alias("short_assets_avg")])
 
 
 def _coverage(perf, merged, keys):
@@ -191,10 +202,9 @@ def ticker_backtest(merged: DataFrame, keys=GROUP_KEYS, costs=COSTS) -> DataFram
     v = sliding(v, tk, "timestamp", {"turnover": lambda w: F.abs(
         F.col("_pos_sign") - F.coalesce(F.lag("_pos_sign").over(w), F.lit(0.0))) / 2.0}, before=1)
     v = v.withColumn("gross_log_return", F.col("_pos_sign") * F.col("forward_log_return"))
-    net = with_costs(v, costs)
+    net = with_costs(reuse(v), costs)
     ck = [*tk, "cost_bps"]
-    turn = net.groupBy(*ck).agg(F.avg("turnover").alias("turnover_avg"))
-    return _risk(net, ck).join(turn, ck).join(drawdown(net, ck), ck).select(
+    return _risk(net, ck, extra=[F.avg("turnover").alias("turnover_avg")]).select(
         *ck, F.col("n_periods").alias("n_obs"), F.col("net_cumulative_log_return").alias("cumulative_log_return"),
         F.col("net_cumulative_simple_return").alias("cumulative_simple_return"), "sharpe", "max_drawdown", "turnover_avg", "hit_rate")
 
@@ -214,6 +224,7 @@ def buy_and_hold(returns: DataFrame, universe: DataFrame = None, costs=COSTS) ->
 def benchmark_lifts(perf: DataFrame, benchmark="ECON") -> DataFrame:
     """Sharpe and return lift over the same family's benchmark row of the same cost."""
     fam = ["horizon", "cost_bps", "model_type", "panel_mode", "hpo_variant"]
+    perf = reuse(perf)
     b = perf.where(F.col("set_id") == benchmark).select(
         *fam, F.col("sharpe").alias("_s"), F.col("net_cumulative_simple_return").alias("_r"))
     x = benchmark.lower()

@@ -1,9 +1,13 @@
 """Session settings shared by jobs, tests and the bench."""
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN = {}
+_WRITTEN = []
+
 
 def build_session(app="barweave", master=None, shuffle_partitions=None, extra=None):
     """A session with adaptive execution, Arrow transfer and UTC timestamps.
@@ -36,20 +40,37 @@ def use_utc(spark):
     return spark
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, so a lost executor costs no recompute.
+def shared_folder(spark):
+    """The folder for intermediate tables: the one the cluster names in spark.checkpoint.dir.
 
-    The folder comes from the cluster (``spark.checkpoint.dir``). Only a local session, which has
-    no such setting, gets a folder of its own.
+    Only a local session without that setting gets a folder of its own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    if "local" not in _OWN:
+        _OWN["local"] = tempfile.mkdtemp(prefix="barweave-", dir=os.environ.get("TMPDIR", "/tmp"))
+    return _OWN["local"]
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Write an intermediate that several branches of a plan read, and go on from the table.
+
+    Branches then scan just the columns they need instead of repeating the work and the planning behind
+    them, sizes are known to the join planner, and a lost executor costs nothing but the scan.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared:
-            sc.setCheckpointDir(shared)
-        elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="barweave-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/barweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release():
+    """Delete the intermediate tables written so far; call it once their readers are done."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
