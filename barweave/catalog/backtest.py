@@ -5,7 +5,6 @@ from ..functions.identity import GROUP_KEYS
 from ..operators import backtest as B
 from ..operators import prices
 from ..sources import standins as S
-from ..session import reuse
 from .base import cte, query
 
 G = "horizon, set_id, sentiment_model, model_type, panel_mode, hpo_variant"
@@ -22,7 +21,7 @@ def returns(t):
 
 
 def merged(t):
-    return reuse(B.signals_with_returns(S.signals(t), returns(t)))
+    return t.once("merged", lambda: B.signals_with_returns(S.signals(t), returns(t)))
 
 
 @query("signals_with_returns", f"SELECT {G}, ticker, timestamp, probability, forward_log_return FROM merged", ["merged"],

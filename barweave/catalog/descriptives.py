@@ -25,7 +25,7 @@ cte("flong", " UNION ALL ".join(
 
 
 def final(t):
-    return reuse(final_1d(t).select("ticker", "timestamp", "target", "post_count", *FEATS))
+    return t.once("final", lambda: final_1d(t).select("ticker", "timestamp", "target", "post_count", *FEATS))
 
 
 Q = {0.5: "median", **dict(zip(D.PERCENTILES, D.LABELS))}
@@ -215,7 +215,7 @@ def _(t):
 # ---- series tests --------------------------------------------------------------------------------
 
 def long_price(t):
-    return reuse(D.long_features(price_1d(t).select("ticker", "timestamp", *PRICE), PRICE))
+    return t.once("long", lambda: D.long_features(price_1d(t).select("ticker", "timestamp", *PRICE), PRICE))
 
 
 cte("slong", " UNION ALL ".join(f"SELECT ticker, timestamp, '{f}' AS feature, {f} AS v FROM price_1d" for f in PRICE), "price_1d")

@@ -10,7 +10,6 @@ from ..operators import regimes as R
 from ..sources import registry
 from ..sources import standins as S
 from ..sources.posts import attach_set_metadata, normalise_signals
-from ..session import reuse
 from .base import chi2_sql, cte, normal_sql, query, t_sql
 
 G = "horizon, set_id, sentiment_model, model_type, panel_mode, hpo_variant"
@@ -19,7 +18,7 @@ GL = GROUP_KEYS
 
 
 def sig(t):
-    return reuse(S.signals(t))
+    return t.once("signals", lambda: S.signals(t))
 
 
 def counts_sql(y="target", p="prediction", q="probability", pre="", cond="TRUE"):
@@ -359,11 +358,11 @@ FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY market_cap_lag, ti
 
 
 def vol_lookup(t):
-    return reuse(R.volatility_lookup(S.bars(t, "1d").withColumnRenamed("timestamp", "date")))
+    return t.once("vol", lambda: R.volatility_lookup(S.bars(t, "1d").withColumnRenamed("timestamp", "date")))
 
 
 def size_lookup(t):
-    return reuse(R.size_lookup(S.market_caps(t)))
+    return t.once("size", lambda: R.size_lookup(S.market_caps(t)))
 
 
 @query("garman_klass_volatility", "SELECT * FROM vol_series WHERE vol IS NOT NULL", ["vol_series"], doubles="gk_var vol", dp=9)
@@ -387,11 +386,12 @@ cte("breg", "SELECT s.*, v.mcap_regime FROM vreg s ASOF LEFT JOIN size_lookup v
 
 
 def both(t):
-    return reuse(R.attach_both(sig(t), vol_lookup(t), size_lookup(t)))
+    return t.once("both", lambda: R.attach_both(sig(t), vol_lookup(t), size_lookup(t)))
 
 
 def vreg(t):
-    return reuse(R.attach_regime(sig(t), vol_lookup(t).withColumnRenamed("regime", "vol_regime"), "vol_regime", "vol"))
+    return t.once("vreg", lambda: R.attach_regime(
+        sig(t), vol_lookup(t).withColumnRenamed("regime", "vol_regime"), "vol_regime", "vol"))
 
 
 @query("regime_asof", f"""SELECT {G}, ticker, timestamp, vol_regime, vol_available AS vol_regime_available_at, vol_available - INTERVAL 1 DAY AS vol_regime_source_date,
@@ -449,8 +449,7 @@ def _(t):
 
 
 def _regime_pairs(t):
-    s = both(t)
-    return reuse(M.benchmark_pairs(s, extra=["vol_regime", "mcap_regime"]))
+    return t.once("rpairs", lambda: M.benchmark_pairs(both(t), extra=["vol_regime", "mcap_regime"]))
 
 
 cte("rpairs", f"""SELECT p.*, r.vol_regime, r.mcap_regime FROM pairs p JOIN (SELECT {G}, timestamp, ticker, vol_regime, mcap_regime FROM breg) r USING ({G}, timestamp, ticker)""",
@@ -552,7 +551,7 @@ DM_D, DM_L = "effect effect_ntweighted se_hac z_hac p_hac", "n_timestamps n_matc
 
 
 def cpairs(t):
-    return reuse(M.benchmark_pairs(sig(t), eligible=["combined"]))
+    return t.once("cpairs", lambda: M.benchmark_pairs(sig(t), eligible=["combined"]))
 
 
 @query("timestamp_differentials", "SELECT * FROM dt", ["dt"], doubles="ll acc", longs="n_t")
@@ -619,8 +618,8 @@ def families(t):
     """Model type joins the set name, since the stand-in runs some sets under two model families."""
     def tag(df):
         return df.withColumn("set_id", F.concat("set_id", "model_type"))
-    p = cpairs(t)
-    ll, acc = (I.timestamp_test(p, v, n_boot=0) for v in ("ll", "acc"))
+    d = t.once("diff", lambda: I.differentials(cpairs(t)))
+    ll, acc = (t.once(v, lambda v=v: I.timestamp_test(None, v, n_boot=0, diff=d)) for v in ("ll", "acc"))
     inc = M.incremental_value(identity.with_group_defaults(sig(t)), mapping(t))
     mc = M.mcnemar_table(M.benchmark_pairs(sig(t))).where("category = 'sentiment'")
     return I.assemble_families(

@@ -46,8 +46,8 @@ def _unescape(s: pd.Series) -> pd.Series:
 
 
 def unescape(c) -> Column:
-    """HTML entities to characters. Texts without an ampersand skip the Python round trip's work."""
-    return _unescape(col(c))
+    """HTML entities to characters. Only texts with an ampersand travel to Python."""
+    return F.coalesce(_unescape(F.when(col(c).contains("&"), col(c))), col(c))
 
 
 def clean_text(c, decode=True) -> Column:
@@ -87,13 +87,17 @@ def lexicon_scores(df: DataFrame, key, text, lexicon: DataFrame) -> DataFrame:
     """
     t = df.select(key, tokens(text).alias("_t")).where(F.size("_t") > 0)
     n_tok = F.size("_t")
-    x = t.select(key, n_tok.alias("n_tokens"), F.posexplode("_t").alias("_i", "token"), F.col("_t"))
-    before = F.slice("_t", F.greatest(F.col("_i") - 2, F.lit(1)), F.least(F.col("_i"), F.lit(3)))
-    x = x.select(
-        key, "n_tokens", "token",
-        (F.col("_i") > 0) & F.arrays_overlap(before, F.array(*[F.lit(w) for w in NEGATIONS])),
-        (F.col("_i") > 0) & F.coalesce(F.get("_t", F.col("_i") - 1).isin(BOOSTERS), F.lit(False)),
-    ).toDF(key, "n_tokens", "token", "negated", "boosted")
+
+    def shifted(k):
+        """The token k places before, aligned with each token."""
+        pad = F.array_repeat(F.lit(None).cast("string"), F.least(F.lit(k), n_tok))
+        return F.concat(pad, F.slice("_t", F.lit(1), F.greatest(n_tok - k, F.lit(0))))
+
+    z = F.arrays_zip(F.col("_t").alias("token"), shifted(1).alias("p1"), shifted(2).alias("p2"), shifted(3).alias("p3"))
+    x = t.select(key, F.explode(z).alias("z")).select(key, "z.*").toDF(key, "token", "p1", "p2", "p3")
+    near = [F.coalesce(F.col(p).isin(NEGATIONS), F.lit(False)) for p in ("p1", "p2", "p3")]
+    x = x.select(key, "token", (near[0] | near[1] | near[2]).alias("negated"),
+                 F.coalesce(F.col("p1").isin(BOOSTERS), F.lit(False)).alias("boosted"))
     v = F.col("valence") + F.when(F.col("boosted"), BOOST * F.signum("valence")).otherwise(0.0)
     v = F.when(F.col("negated"), v * NEGATION_FACTOR).otherwise(v)
     hits = x.join(lexicon.select("token", F.col("valence").cast("double").alias("valence")), "token").select(

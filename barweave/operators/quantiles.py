@@ -24,11 +24,15 @@ def _grouped(df, keys):
     return (df, list(keys)) if keys else (df.withColumn("_all", F.lit(1)), ["_all"])
 
 
-def value_histogram(df: DataFrame, keys, value, buckets=BUCKETS) -> DataFrame:
-    """(keys, v, cnt, n, _bucket): one row per distinct value, with the group size."""
+def value_histogram(df: DataFrame, keys, value, buckets=BUCKETS, weight=None) -> DataFrame:
+    """(keys, v, cnt, n, _bucket): one row per distinct value, with the group size.
+
+    ``weight`` names a column that says how many rows each input row stands for.
+    """
     hist = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
+        .groupBy(*keys, F.col(value).cast("double").alias("v"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("cnt"))
     )
     span = hist.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.sum("cnt").alias("n"))
     return hist.join(span, list(keys)).withColumn("_bucket", _bucket("v", "_lo", "_hi", buckets)).drop("_lo", "_hi")
@@ -73,9 +77,9 @@ def percentiles(df: DataFrame, keys, value, qs, names=None, buckets=BUCKETS) ->
     return out if keys else out.drop("_all")
 
 
-def average_ranks(df: DataFrame, keys, value, buckets=BUCKETS) -> DataFrame:
+def average_ranks(df: DataFrame, keys, value, buckets=BUCKETS, weight=None) -> DataFrame:
     """(keys, v, rank): the average 1-based rank of every distinct value."""
-    hist = value_histogram(df, keys, value, buckets)
+    hist = value_histogram(df, keys, value, buckets, weight)
     starts = _bucket_starts(hist, keys).select(*keys, "_bucket", "_start")
     inside = W.partitionBy(*keys, "_bucket").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
     return (

@@ -58,9 +58,11 @@ def size_lookup(caps: DataFrame, universe: DataFrame = None) -> DataFrame:
     x = lagged_caps(rows).where(F.col("market_cap_lag") > 0)
     per = W.partitionBy("date")
     k = F.row_number().over(per.orderBy("market_cap_lag", "ticker")) - 1
-    x = x.withColumns({"_k": k, "_n": F.count(F.lit(1)).over(per),
-                       "_d": F.size(F.collect_set("market_cap_lag").over(per))})
-    x = x.where((F.col("_n") >= 3) & (F.col("_d") >= 3)).withColumn("mcap_regime", tercile("_k", "_n", SIZE_LABELS))
+    v = F.col("market_cap_lag")
+    x = x.withColumns({"_k": k, "_n": F.count(F.lit(1)).over(per), "_lo": F.min(v).over(per), "_hi": F.max(v).over(per)})
+    # three distinct values: something lies strictly between the smallest and the largest
+    x = x.withColumn("_mid", F.max((v > F.col("_lo")) & (v < F.col("_hi"))).over(per))
+    x = x.where((F.col("_n") >= 3) & F.col("_mid")).withColumn("mcap_regime", tercile("_k", "_n", SIZE_LABELS))
     return x.select("ticker", "date", "market_cap_lag", "mcap_regime",
                     (F.col("date") - F.expr("INTERVAL 1 DAY")).alias("regime_source_date"),
                     F.col("date").alias("regime_available_at"))

@@ -13,9 +13,12 @@ FILE_FORM = r"([A-Za-z0-9]+)USDT_(1h|6h|1d|15min)\.parquet"
 OHLCV = ["open", "high", "low", "close", "volume"]
 
 
-def read_bars(spark: SparkSession, root) -> DataFrame:
-    """Every bar file under a folder, with ticker and horizon taken from the file name when absent."""
-    df = spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).parquet(root)
+def read_bars(spark: SparkSession, root, merge_schema=False) -> DataFrame:
+    """Every bar file under a folder, with ticker and horizon taken from the file name when absent.
+
+    ``merge_schema`` opens every footer first; leave it off where files share one schema.
+    """
+    df = spark.read.option("recursiveFileLookup", True).option("mergeSchema", merge_schema).parquet(root)
     df = df.toDF(*[c.lower().strip() for c in df.columns])
     name = F.col("_metadata.file_name")
     if "ticker" not in df.columns:

@@ -29,12 +29,11 @@ def header_symbol(c) -> Column:
 def wide_to_cells(wide: DataFrame, date_col="date") -> DataFrame:
     """(date, column, ord, cmc_id, symbol, value): every cell of the wide table."""
     cols = [c for c in wide.columns if c != date_col]
-    order = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
     day = F.date_trunc("day", F.col(date_col).cast("timestamp")).cast("timestamp_ntz")
-    num = wide.select(utc(day).alias("date"), *[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
-    return num.unpivot(["date"], cols, "column", "value").select(
-        "date", "column", order[F.col("column")].alias("ord"), header_id(F.col("column")).alias("cmc_id"),
-        header_symbol(F.col("column")).alias("symbol"), clean("value").alias("value"))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(i).alias("ord"), clean(F.col(f"`{c}`")).alias("value"))
+                      for i, c in enumerate(cols)])
+    return wide.select(utc(day).alias("date"), F.explode(cells).alias("c")).select(
+        "date", "c.column", "c.ord", header_id(F.col("c.column")).alias("cmc_id"), header_symbol(F.col("c.column")).alias("symbol"), "c.value")
 
 
 def wide_to_long(wide: DataFrame, date_col="date", name="market_cap") -> DataFrame:

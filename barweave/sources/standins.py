@@ -3,6 +3,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import bar_floor, bar_micros, from_micros, micros, utc
+from ..session import reuse
 
 SETS = [  # (salt, set_id, category, sentiment_model, model_type, panel_mode)
     (0, "ECON", "benchmark", "-", "panel_logit", "pooled"),
@@ -18,7 +19,13 @@ SETS = [  # (salt, set_id, category, sentiment_model, model_type, panel_mode)
 
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._kept = spark, sf_dir, {}
+
+    def once(self, name, build) -> DataFrame:
+        """An intermediate of one query, built and written once however many branches read it."""
+        if name not in self._kept:
+            self._kept[name] = reuse(build())
+        return self._kept[name]
 
     def __getattr__(self, name) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
