@@ -42,16 +42,35 @@ def brier(y, p) -> Column:
     return d * d
 
 
+def _moment(c):
+    return F.when(~F.isnan(col(c)), col(c))
+
+
 def sample_skewness(n, pop_skew) -> Column:
-    """Bias-corrected skewness from the population value; NULL below three values."""
-    n = col(n).cast("double")
-    g = F.when(F.isnan(col(pop_skew)), F.lit(0.0)).otherwise(col(pop_skew))
-    return F.when(n >= 3, F.sqrt(n * (n - 1.0)) / (n - 2.0) * g)
+    """Bias-corrected skewness from the population value: NULL below three values, 0 for a constant."""
+    n, g = col(n).cast("double"), _moment(pop_skew)
+    return F.when(n >= 3, F.coalesce(F.try_divide(F.sqrt(n * (n - 1.0)), n - 2.0) * g, F.lit(0.0)))
 
 
 def sample_kurtosis(n, pop_kurt) -> Column:
-    """Bias-corrected excess kurtosis from the population excess; NULL below four values."""
-    n = col(n).cast("double")
-    g = F.when(F.isnan(col(pop_kurt)), F.lit(-3.0)).otherwise(col(pop_kurt))
+    """Bias-corrected excess kurtosis from the population excess: NULL below four values, 0 for a constant."""
+    n, g = col(n).cast("double"), _moment(pop_kurt)
     full = F.try_divide(n - 1.0, (n - 2.0) * (n - 3.0)) * ((n + 1.0) * g + 6.0)
-    return F.when(n >= 4, F.when(F.isnan(col(pop_kurt)), F.lit(0.0)).otherwise(full))
+    return F.when(n >= 4, F.coalesce(full, F.lit(0.0)))
+
+
+def correlation(a, b) -> Column:
+    """Pearson correlation aggregate over complete pairs; NULL when a side is constant."""
+    x, y = col(a).cast("double"), col(b).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))
+
+
+def slope(y, x) -> Column:
+    """Least-squares slope of y on x over complete pairs; NULL when x is constant."""
+    a, b = col(x).cast("double"), col(y).cast("double")
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(a, b), F.var_pop(a))

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import canonical_ticker
-from ..functions.numeric import pct_deviation, ratio
+from ..functions.numeric import correlation, pct_deviation, ratio
 from ..functions.times import BAR_SECONDS, DAY_MICROS, bar_floor, bar_micros, micros
 from .sequence import sliding
 
@@ -181,7 +181,7 @@ def deviation_summary(dev: DataFrame, keys, a, b) -> DataFrame:
         F.median(pct).alias("median_abs_pct_deviation"), F.max(pct).alias("max_abs_pct_deviation"),
         F.when(n > 1, F.stddev_samp(pct)).alias("std_abs_pct_deviation"),
         F.max_by("date", F.when(pct.isNotNull(), F.struct(pct, -F.unix_date("date")))).alias("max_dev_date"),
-        F.when(pairs > 1, F.corr(a, b)).alias("correlation"))
+        F.when(pairs > 1, correlation(a, b)).alias("correlation"))
 
 
 def validation_summary(blocks) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.numeric import ratio
+from ..functions.numeric import ratio, slope
 from ..functions.tails import kolmogorov_p
 from .windows import expanding_folds
 
@@ -227,7 +227,7 @@ def persistence(long: DataFrame) -> DataFrame:
     from .sequence import sliding
     x = long.where(F.col("v").isNotNull()).select("ticker", "feature", "timestamp", "v")
     lag = sliding(x, ["ticker", "feature"], "timestamp", {"_l": lambda w: F.lag("v").over(w)}, before=1)
-    g = lag.groupBy("ticker", "feature").agg(F.count(F.lit(1)).alias("ar1_n"), F.regr_slope("v", "_l").alias("ar1_rho"))
+    g = lag.groupBy("ticker", "feature").agg(F.count(F.lit(1)).alias("ar1_n"), slope("v", "_l").alias("ar1_rho"))
     rho = F.col("ar1_rho")
     return g.withColumn("ar1_halflife", F.when((rho > 0) & (rho < 1), -math.log(2) / F.ln(rho)))
 

@@ -24,6 +24,7 @@ def build_session(app="barweave", master=None, shuffle_partitions=None, extra=No
         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
         .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.legacy.parquet.nanosAsLong", "true")  # nanosecond columns arrive as epoch numbers
         .config("spark.ui.enabled", "false")
     )
     if master:

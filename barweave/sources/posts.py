@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions.identity import blank_to, canonical_sentiment_model, require_columns, with_group_defaults
-from ..functions.times import calendar_parts, forecast_origin, origin_mismatches, utc
+from ..functions.times import calendar_parts, forecast_origin, normalise_times, origin_mismatches
 from ..operators.sequence import keep_first
 
 POST_SCHEMA = StructType([
@@ -70,7 +70,7 @@ def read_signals(spark: SparkSession, root, horizon=None) -> DataFrame:
 def normalise_signals(df: DataFrame) -> DataFrame:
     """Typed columns, no null keys, default identity columns, one spelling for no sentiment."""
     df = require_columns(df, SIGNAL_COLUMNS)
-    df = df.withColumn("timestamp", utc("timestamp")).dropna(subset=["timestamp", "target", "prediction", "probability"])
+    df = normalise_times(df, "timestamp").dropna(subset=["timestamp", "target", "prediction", "probability"])
     df = df.withColumns({"target": F.col("target").cast("int"), "prediction": F.col("prediction").cast("int"),
                          "probability": F.col("probability").cast("double")})
     for c in ("horizon", "set_id", "category", "label"):
