@@ -31,7 +31,7 @@ def final(t):
 Q = {0.5: "median", **dict(zip(D.PERCENTILES, D.LABELS))}
 cte("fstats", f"""SELECT 'x' AS horizon, ticker, feature, any_value(feature_group) AS feature_group, count(*) AS n_rows, count(v) AS n_non_missing, count(*) - count(v) AS n_missing,
  (count(*) - count(v)) * 1.0 / count(*) AS share_missing, count(*) FILTER (v = 0) AS n_zero, count(*) FILTER (v = 0) * 1.0 / count(*) AS share_zero, count(DISTINCT v) AS n_unique,
- avg(v) AS mean, CASE WHEN count(v) > 1 THEN stddev_samp(v) END AS std, min(v) AS min, max(v) AS max, skewness(v) AS skewness, kurtosis(v) AS kurtosis,
+ avg(v) AS mean, CASE WHEN count(v) > 1 THEN stddev_samp(v) END AS std, min(v) AS min, max(v) AS max, CASE WHEN isnan(skewness(v)) THEN 0 ELSE coalesce(skewness(v), 0) END AS skewness, CASE WHEN isnan(kurtosis(v)) THEN 0 ELSE coalesce(kurtosis(v), 0) END AS kurtosis,
  count(*) FILTER (empty) AS empty_row_count, count(*) FILTER (empty) * 1.0 / count(*) AS share_empty_rows, {', '.join(f'quantile_cont(v, {q}) AS {n}' for q, n in Q.items())},
  min(timestamp) AS first_timestamp, max(timestamp) AS last_timestamp, (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 86400000000.0 AS date_range_days,
  count(*) - count(DISTINCT timestamp) AS duplicate_timestamp_count FROM flong GROUP BY ticker, feature""", "flong")

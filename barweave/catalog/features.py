@@ -187,13 +187,13 @@ def _(t):
 
 cte("final_1d", f"""SELECT p.*, {_fill_sql()}, ln(1.0 + coalesce(s.post_count, 0)) AS log1p_post_count,
 CAST(coalesce(s.post_count, 0) > 0 AS INT) AS has_posts
-FROM price_1d p LEFT JOIN (SELECT ticker, timestamp - INTERVAL 8000 DAY + INTERVAL 0 DAY AS timestamp, * EXCLUDE (ticker, timestamp) FROM slots_1d) s
+FROM price_1d p LEFT JOIN (SELECT ticker, timestamp - INTERVAL 9000 DAY AS timestamp, * EXCLUDE (ticker, timestamp) FROM slots_1d) s
 ON p.ticker = s.ticker AND p.timestamp = s.timestamp""", "price_1d", "slots_1d")
 
 
 def final_1d(t):
-    """Daily price rows meet daily slots moved back 8000 days into the range of the daily bars."""
-    moved = slot_frame(t, "1d").withColumn("timestamp", F.col("timestamp") - F.expr("INTERVAL 8000 DAY"))
+    """Daily price rows meet daily slots moved back 9000 days into the range of the daily bars."""
+    moved = slot_frame(t, "1d").withColumn("timestamp", F.col("timestamp") - F.expr("INTERVAL 9000 DAY"))
     return slots.merge_features(price_1d(t), moved)
 
 

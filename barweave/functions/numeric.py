@@ -28,7 +28,8 @@ def pct_deviation(abs_dev, denominator) -> Column:
 
 
 def clip_prob(p, eps=PROB_EPS) -> Column:
-    return F.greatest(F.least(col(p), F.lit(1.0 - eps)), F.lit(eps))
+    x = col(p)
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(1.0 - eps)), F.lit(eps)))
 
 
 def log_loss(y, p, eps=PROB_EPS) -> Column:
@@ -65,7 +66,7 @@ def correlation(a, b) -> Column:
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x), F.when(both, y)
     r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))
+    return F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
 
 
 def slope(y, x) -> Column:

@@ -330,7 +330,8 @@ def completeness(signals: DataFrame, keys=GROUP_KEYS, family=FAMILY_KEYS) -> Dat
         "missing_timestamps": exp - F.coalesce("_hit", F.lit(0)),
         "expected_combinations": F.col("n_tickers") * exp,
         "coverage_vs_econ": ratio(n_ts, exp), "coverage_vs_forecast_sample": ratio(n_ts, "_grid")})
-    j = j.withColumn("missing_combinations", F.greatest(F.col("expected_combinations") - F.col("_pairs"), F.lit(0)))
+    j = j.withColumn("missing_combinations", F.when(
+        exp.isNotNull(), F.greatest(F.col("expected_combinations") - F.col("_pairs"), F.lit(0))))
     is_econ = F.col("set_id") == ECON
     status = F.when(exp.isNull() & ~is_econ, "unknown").when(F.col("n_duplicate_rows") > 0, "incomplete") \
         .when(is_econ & (F.col("_grid") > n_ts), "incomplete").when(is_econ, "complete") \
