@@ -82,10 +82,10 @@ def lexicon_scores(df: DataFrame, key, text, lexicon: DataFrame) -> DataFrame:
     """Score texts against a (token, valence) table: compound, pos/neg/neu shares and label.
 
     Every token takes its context (negation within the three words before it, booster right before
-    it) along before it meets the lexicon, so no per-text window is needed: the join keeps only
-    lexicon words and the sums combine map-side. Whether the lexicon is broadcast is left to its size.
+    it) along as three aligned arrays, so no per-text window is needed. The text is read once; sums per text
+    combine map-side. Whether the lexicon is broadcast is left to its size.
     """
-    t = df.select(key, tokens(text).alias("_t")).where(F.size("_t") > 0)
+    t = df.select(key, tokens(text).alias("_t"))
     n_tok = F.size("_t")
 
     def shifted(k):
@@ -94,27 +94,24 @@ def lexicon_scores(df: DataFrame, key, text, lexicon: DataFrame) -> DataFrame:
         return F.concat(pad, F.slice("_t", F.lit(1), F.greatest(n_tok - k, F.lit(0))))
 
     z = F.arrays_zip(F.col("_t").alias("token"), shifted(1).alias("p1"), shifted(2).alias("p2"), shifted(3).alias("p3"))
-    x = t.select(key, F.explode(z).alias("z")).select(key, "z.*").toDF(key, "token", "p1", "p2", "p3")
+    x = t.select(key, F.coalesce(n_tok, F.lit(0)).alias("n_tokens"), F.explode_outer(z).alias("z")) \
+        .select(key, "n_tokens", "z.*").toDF(key, "n_tokens", "token", "p1", "p2", "p3")
     near = [F.coalesce(F.col(p).isin(NEGATIONS), F.lit(False)) for p in ("p1", "p2", "p3")]
-    x = x.select(key, "token", (near[0] | near[1] | near[2]).alias("negated"),
+    x = x.select(key, "n_tokens", "token", (near[0] | near[1] | near[2]).alias("negated"),
                  F.coalesce(F.col("p1").isin(BOOSTERS), F.lit(False)).alias("boosted"))
+    x = x.join(lexicon.select("token", F.col("valence").cast("double").alias("valence")), "token", "left")
     v = F.col("valence") + F.when(F.col("boosted"), BOOST * F.signum("valence")).otherwise(0.0)
     v = F.when(F.col("negated"), v * NEGATION_FACTOR).otherwise(v)
-    hits = x.join(lexicon.select("token", F.col("valence").cast("double").alias("valence")), "token").select(
-        key, v.alias("v"))
-    sums = hits.groupBy(key).agg(
-        F.sum("v").alias("s"), F.sum(F.when(F.col("v") > 0, F.col("v") + 1).otherwise(0.0)).alias("p"),
-        F.sum(F.when(F.col("v") < 0, F.col("v") - 1).otherwise(0.0)).alias("n"),
-        F.count_if(F.col("v") != 0).alias("h"))
-    counts = t.select(key, n_tok.alias("n_tokens"))
-    j = df.select(key).join(counts, key, "left").join(sums, key, "left")
-    s, p, n = (F.coalesce(F.col(c), F.lit(0.0)) for c in "spn")
-    neutral = F.col("n_tokens") - F.coalesce(F.col("h"), F.lit(0))
+    g = x.withColumn("v", v).groupBy(key).agg(
+        F.max("n_tokens").alias("n_tokens"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("s"),
+        F.sum(F.when(F.col("v") > 0, F.col("v") + 1).otherwise(0.0)).alias("p"),
+        F.sum(F.when(F.col("v") < 0, F.col("v") - 1).otherwise(0.0)).alias("n"), F.count_if(F.col("v") != 0).alias("h"))
+    s, p, n = F.col("s"), F.col("p"), F.col("n")
+    neutral = F.col("n_tokens") - F.col("h")
     total = p + F.abs(n) + neutral
-    known = F.col("n_tokens").isNotNull()
-    out = j.select(
+    known = F.col("n_tokens") > 0
+    out = g.select(
         key, F.when(known, F.round(s / F.sqrt(s * s + NORM_ALPHA), 4)).alias("score"),
-        F.when(known, F.round(p / total, 3)).alias("prob_pos"),
-        F.when(known, F.round(F.abs(n) / total, 3)).alias("prob_neg"),
+        F.when(known, F.round(p / total, 3)).alias("prob_pos"), F.when(known, F.round(F.abs(n) / total, 3)).alias("prob_neg"),
         F.when(known, F.round(neutral / total, 3)).alias("prob_neu"))
     return out.withColumn("sentiment", label_from_score("score"))

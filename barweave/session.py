@@ -1,5 +1,7 @@
 """Session settings shared by jobs, tests and the bench."""
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -55,6 +57,7 @@ def shared_folder(spark):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     if "local" not in _OWN:
         _OWN["local"] = tempfile.mkdtemp(prefix="barweave-", dir=os.environ.get("TMPDIR", "/tmp"))
+        atexit.register(shutil.rmtree, _OWN["local"], ignore_errors=True)
     return _OWN["local"]
 
 

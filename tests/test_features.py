@@ -228,3 +228,13 @@ def test_constant_columns_have_no_correlation_but_zero_moments(spark):
                F.kurtosis("a").alias("u"), correlation("b", "b").alias("one"))
     x = r.select("*", sample_skewness("n", "k").alias("sk"), sample_kurtosis("n", "u").alias("ku")).first()
     assert x["r"] is None and x["s"] is None and x["one"] == 1.0 and x["sk"] == 0 and x["ku"] == 0
+
+
+def test_contract_checked_scan(spark, tmp_path):
+    from barweave.sources.tables import SLOT_CONTRACT, read_features
+    df = spark.sql("select '2022-01-01T06:00:00Z' timestamp, 'A' ticker, 1L post_count, '6h' horizon")
+    Q.write_parquet(df, str(tmp_path / "s"), ["horizon"])
+    assert read_features(spark, str(tmp_path / "s"), SLOT_CONTRACT, "6h").first()["timestamp"] == pd.Timestamp("2022-01-01 06:00:00")
+    assert read_features(spark, str(tmp_path / "s"), SLOT_CONTRACT, "1d").count() == 0
+    with pytest.raises(ValueError):
+        read_features(spark, str(tmp_path / "s"))
