@@ -8,13 +8,16 @@ from .sequence import BLOCK_DAYS
 
 
 def asof_join(left: DataFrame, right: DataFrame, by, left_on, right_on, values, strict=True,
-              tie=None, block_days=BLOCK_DAYS) -> DataFrame:
+              tie=None, block_days=BLOCK_DAYS, left_times: DataFrame = None) -> DataFrame:
     """Attach to each left row the last right row of the same key with right_on < left_on.
 
     ``strict=False`` also accepts equality. Unmatched left rows stay, with nulls. Both sides are
     stacked and cut into (key, calendar block) groups; each block starts with the last right row of
     the blocks before it, so neither a range join nor a whole key in one task is needed. ``tie``
     orders right rows that share a time.
+
+    The (key, time) pairs of the left side are read once more to list its blocks; ``left_times`` names a
+    cheaper table that has them, for a left side that is costly to compute.
     """
     by = [by] if isinstance(by, str) else list(by)
     width = F.lit(int(block_days * DAY_MICROS))
@@ -31,7 +34,8 @@ def asof_join(left: DataFrame, right: DataFrame, by, left_on, right_on, values,
         *by, micros(right_on).alias("_t"), F.lit(right_side).alias("_side"), rank.alias("_tie"),
         payload.alias("_right")).withColumn("_block", block)
 
-    blocks = l_rows.select(*by, "_block").distinct().join(
+    times = l_rows if left_times is None else left_times.select(*by, micros(left_on).alias("_t")).withColumn("_block", block)
+    blocks = times.select(*by, "_block").distinct().join(
         r_rows.groupBy(*by, "_block").agg(
             F.max_by("_right", F.struct("_t", "_tie")).alias("_last")), [*by, "_block"], "full")
     prior = W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)

@@ -50,11 +50,14 @@ def return_windows(bars: DataFrame, horizon, keys=("ticker",)) -> DataFrame:
 
 
 def price_features(bars: DataFrame, caps: DataFrame, horizon, drop_incomplete=True) -> DataFrame:
-    """The price side of the final matrix: windows plus the market value known strictly before t."""
+    """The price side of the final matrix: windows plus the market value known strictly before t.
+
+    Both inputs are read more than once; pass stored tables (or ``reuse`` them first).
+    """
     win = return_windows(bars.select("ticker", "timestamp", "close", "volume"), horizon)
     out = asof_join(win, market_cap_series(caps), "ticker", "timestamp", "market_cap_available_at",
                     ["market_cap_source_date", "market_cap_available_at", "log_market_cap_lag1"],
-                    tie="market_cap_source_date")
+                    tie="market_cap_source_date", left_times=bars)
     out = out.select(
         "timestamp", F.to_date("timestamp").alias("date"), "ticker", F.lit(horizon).alias("horizon"), "target",
         *PRICE_FEATURES, "market_cap_source_date", "market_cap_available_at")

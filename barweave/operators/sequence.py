@@ -28,7 +28,8 @@ def _prior(keys, block="_block"):
 def with_position(df: DataFrame, keys, order, block: Column = None, name="_pos") -> DataFrame:
     """Dense 0-based position of each row in its key.
 
-    ``order`` is a total order within the key; ``block`` any expression that never decreases along it.
+    ``order`` is a total order within the key; ``block`` any expression that never decreases along it. The
+    input is read twice, once for its keys and order alone, so a costly one is best stored first.
     """
     order = [order] if isinstance(order, (str, Column)) else list(order)
     block = calendar_block(order[0]) if block is None else block

@@ -16,7 +16,7 @@ SAMPLE = ("2022-01-01", "2023-01-01")
 def final_matrix(bars: DataFrame, caps: DataFrame, posts: DataFrame, horizon, seq=None, coverage_bar=None,
                  fill=True, gate=True) -> DataFrame:
     """Bars, daily market values and scored posts of one bar width to the modelling table."""
-    b = normalise_bars(bars.where(F.col("horizon") == horizon), seq)
+    b = reuse(normalise_bars(bars.where(F.col("horizon") == horizon), seq))
     price = prices.price_features(b, caps.withColumn("ticker", canonical_ticker("ticker")), horizon)
     agg = slots.aggregate_slots(slots.blend_posts(posts), horizon)
     if coverage_bar is not None:

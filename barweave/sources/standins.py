@@ -53,14 +53,15 @@ def intraday_bars(t: Tables, horizon) -> DataFrame:
 
 
 def bars(t: Tables, horizon) -> DataFrame:
-    df = daily_bars(t) if horizon == "1d" else intraday_bars(t, horizon)
-    return df.withColumn("horizon", F.lit(horizon))
+    """Bars of one width, stored once per query: the raw tables are scanned a single time."""
+    return t.once(f"bars_{horizon}", lambda: (daily_bars(t) if horizon == "1d" else intraday_bars(t, horizon))
+                  .withColumn("horizon", F.lit(horizon)))
 
 
 def market_caps(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy(
+    return t.once("caps", lambda: t.lineitem.groupBy(
         F.concat(F.lit("T"), (F.col("l_suppkey") % 5).cast("string")).alias("ticker"),
-        utc("l_shipdate").alias("date")).agg(F.round(F.sum("l_extendedprice"), 2).alias("market_cap"))
+        utc("l_shipdate").alias("date")).agg(F.round(F.sum("l_extendedprice"), 2).alias("market_cap")))
 
 
 def wide_market_caps(t: Tables) -> DataFrame:
