@@ -1,8 +1,10 @@
 """The registered queries of the training-data operators, and their SQL where it can say the same."""
 from ..session import use_utc
+from .bpe import round_trip
 from .common import table
 from .exact_dedup import exact_groups
 from .mixing import mixture
+from .near_dedup import near_groups
 from .quality import quality_scores
 
 QUERIES, ORACLES = {}, {}
@@ -26,6 +28,16 @@ def op1(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op3_bag_minhash")
+def op3(spark, sf_dir):
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op8_byte_bpe")
+def op8(spark, sf_dir):
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 @query("op9_quality_bradley_terry")
 def op9(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
