@@ -1,11 +1,18 @@
 """The registered queries of the training-data operators, and their SQL where it can say the same."""
-from ..session import use_utc
+from pyspark.sql import functions as F
+
+from ..session import reuse, use_utc
+from .ann import nearest
 from .bpe import round_trip
 from .common import table
 from .exact_dedup import exact_groups
+from .fixity import audit, page_records
+from .licenses import license_notices
 from .mixing import mixture
 from .near_dedup import near_groups
 from .quality import quality_scores
+from .token_scan import document_spans
+from .tool_calls import TOOLS, calls_in, link_calls
 
 QUERIES, ORACLES = {}, {}
 
@@ -28,11 +35,69 @@ def op1(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op2_separator_scan", r"""
+WITH d AS (SELECT doc_id, 'shard-' || CAST(doc_id // 4096 AS VARCHAR) AS file, md5(coalesce(text, '')) AS digest,
+                  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens
+           FROM documents)
+SELECT doc_id, file, row_number() OVER w - 1 AS ordinal,
+       CAST(coalesce(sum(n_tokens + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, n_tokens
+FROM d WINDOW w AS (PARTITION BY file ORDER BY doc_id, digest)""")
+def op2(spark, sf_dir):
+    return document_spans(table(spark, sf_dir, "documents"))
+
+
 @query("op3_bag_minhash")
 def op3(spark, sf_dir):
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op4_tool_call_linking")
+def op4(spark, sf_dir):
+    return link_calls(*calls_in(table(spark, sf_dir, "conversations")), TOOLS)
+
+
+@query("op5_license_classifier")
+def op5(spark, sf_dir):
+    return license_notices(table(spark, sf_dir, "documents"))
+
+
+@query("op6_kmeans_tree_ann")
+def op6(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def replicas(pages):
+    """Two replicas of the pages' archive; the second lost, cut, altered or gained some records, by page id."""
+    cut = lambda r: F.substring(r, F.lit(1), (F.octet_length(r) / 2).cast("int"))
+    altered = lambda r: F.concat(F.substring(r, F.lit(1), F.octet_length(r) - 5), F.lit("#####").cast("binary"))
+    r = reuse(page_records(pages, {"cut": lambda r: F.sha2(cut(r), 256), "altered": lambda r: F.sha2(altered(r), 256)}))
+    p = F.col("page_id")
+    b = r.where(p.isNull() | (p % 211 != 5)).select(
+        "file", "offset", "page_id", F.when(p % 307 == 9, F.floor(F.col("length") / 2)).otherwise(F.col("length")).alias("length"),
+        F.when(p % 307 == 9, F.col("cut")).when(p % 97 == 13, F.col("altered")).otherwise(F.col("digest")).alias("digest"))
+    gained = r.where(p % 401 == 11).select("file", (F.col("offset") + 1).alias("offset"), "page_id", "length", "digest")
+    return r, b.unionByName(gained)
+
+
+@query("op7_merkle_fixity", r"""
+WITH rec AS (SELECT page_id, 'seg-' || CAST(page_id // 1000 AS VARCHAR) AS file, encode('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13)
+  || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+  || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+  || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)) AS rec FROM pages),
+a AS (SELECT page_id, file, rec, octet_length(rec) AS length, sha256(rec) AS digest,
+  CAST(coalesce(sum(octet_length(rec)) OVER (PARTITION BY file ORDER BY page_id, md5(rec) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM rec),
+b AS (SELECT page_id, file, "offset", CASE WHEN page_id % 307 = 9 THEN length // 2 ELSE length END AS length,
+  CASE WHEN page_id % 307 = 9 THEN sha256(rec[1:length // 2]) WHEN page_id % 97 = 13 THEN sha256(rec[1:length - 5] || '#####'::BLOB) ELSE digest END AS digest
+  FROM a WHERE page_id % 211 <> 5
+  UNION ALL SELECT page_id, file, "offset" + 1, length, digest FROM a WHERE page_id % 401 = 11)
+SELECT coalesce(a.file, b.file) AS file, coalesce(a."offset", b."offset") AS "offset",
+  CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' WHEN a.length <> b.length THEN 'length' ELSE 'content' END AS kind,
+  a.length AS length_a, a.digest AS digest_a, b.length AS length_b, b.digest AS digest_b
+FROM a FULL JOIN b ON a.file = b.file AND a."offset" = b."offset" WHERE a.digest IS DISTINCT FROM b.digest OR a.length IS DISTINCT FROM b.length""")
+def op7(spark, sf_dir):
+    return audit(*replicas(table(spark, sf_dir, "pages")))
+
+
 @query("op8_byte_bpe")
 def op8(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"))
