@@ -19,7 +19,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
 BLOCK = 16
-SHARD_ROWS = 20_000
+SHARD_ROWS = 1500
 SEED = "mix-1"
 
 
