@@ -1,13 +1,8 @@
 """Session settings shared by jobs, tests and the bench."""
-import atexit
-import os
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN = {}
 _WRITTEN = []
 
 
@@ -46,19 +41,17 @@ def use_utc(spark):
 
 
 def shared_folder(spark):
-    """The folder for intermediate tables: the one the cluster names in spark.checkpoint.dir.
+    """The folder for intermediate tables, which every executor reaches: spark.checkpoint.dir, or the warehouse if that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return named.rstrip("/")
 
-    Only a local session without that setting gets a folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    if "local" not in _OWN:
-        _OWN["local"] = tempfile.mkdtemp(prefix="barweave-", dir=os.environ.get("TMPDIR", "/tmp"))
-        atexit.register(shutil.rmtree, _OWN["local"], ignore_errors=True)
-    return _OWN["local"]
+
+def store(df: DataFrame):
+    """Write a table to the shared folder; gives the table read back and its path, which the caller hands to ``drop``."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/barweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def reuse(df: DataFrame) -> DataFrame:
@@ -67,16 +60,24 @@ def reuse(df: DataFrame) -> DataFrame:
     Branches then scan just the columns they need instead of repeating the work and the planning behind
     them, sizes are known to the join planner, and a lost executor costs nothing but the scan.
     """
-    spark = df.sparkSession
+    table, path = store(df)
+    _WRITTEN.append((df.sparkSession, path))
+    return table
+
+
+def scratch_path(spark) -> str:
+    """A new path in the shared folder for files that Spark writes by itself, deleted by ``release``."""
     path = f"{shared_folder(spark)}/barweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def drop(spark, path):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release():
     """Delete the intermediate tables written so far; call it once their readers are done."""
     while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        drop(*_WRITTEN.pop())
