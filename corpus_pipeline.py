@@ -4,11 +4,15 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes i
 the last return the columns of ``documents``. A stage first deletes the intermediate tables of the stages before it, whose results
 are written by then.
 """
+from pyspark.sql import functions as F
+
+from barweave.llm.bpe import round_trip
 from barweave.llm.common import table
 from barweave.llm.exact_dedup import drop_exact
 from barweave.llm.mixing import mixed_documents
+from barweave.llm.near_dedup import drop_near
 from barweave.llm.quality import keep_good
-from barweave.session import release, reuse, use_utc
+from barweave.session import drop, release, store, use_utc
 
 #: The quality model, the signatures and the token ids are not expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None
@@ -26,19 +30,34 @@ def exact(spark, docs, sf_dir):
     return drop_exact(docs)
 
 
+def near(spark, docs, sf_dir):
+    """One document of each class of near-duplicates, the one with the smallest doc_id."""
+    release()
+    return drop_near(docs)
+
+
 def mixing(spark, docs, sf_dir):
-    """The mix of sources: documents as often as taken, cut ones shortened."""
+    """The mix of sources: documents as often as taken, cut ones with the length they then have."""
+    release()
+    mixed = mixed_documents(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def encoding(spark, docs, sf_dir):
+    """Token counts and digests of the ids and of the text they decode to, per row of the mix."""
     release()
-    return mixed_documents(docs)
+    return round_trip(docs)
 
 
-STAGES = [("quality classifier", quality), ("exact dedup", exact), ("mixing", mixing)]
+STAGES = [("quality classifier", quality), ("exact dedup", exact), ("MinHash near-dedup", near), ("mixing", mixing), ("byte-level BPE", encoding)]
 
 
 def run(spark, sf_dir):
-    docs = table(use_utc(spark), sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = reuse(docs)
-    return docs
+    """The stages applied to ``documents``. The last stage's input stays in the shared folder, as its result still reads it."""
+    docs, path = table(use_utc(spark), sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs, new = store(stage(spark, docs, sf_dir))
+        if path:
+            drop(spark, path)
+        path = new
+    return STAGES[-1][1](spark, docs, sf_dir)
