@@ -48,6 +48,15 @@ def _(t):
     return times.normalise_times(ms, "t").drop("t")
 
 
+@query("mixed_epoch_units", """SELECT event_id, date_trunc(CASE WHEN user_id % 5 < 2 THEN 'millisecond' ELSE 'second' END, ts) AS timestamp FROM events""")
+def _(t):
+    """Tickers whose times come in milliseconds beside tickers whose times come in seconds."""
+    us = times.micros("ts")
+    mixed = t.events.select("event_id", (F.col("user_id") % 5).alias("ticker"),
+                            F.when(F.col("user_id") % 5 < 2, F.floor(us / 1000)).otherwise(F.floor(us / 1_000_000)).alias("t"))
+    return times.normalise_times(mixed, "t", by=["ticker"]).drop("t", "ticker")
+
+
 @query("iso_times", "SELECT o_orderkey, o_orderdate AS timestamp FROM orders")
 def _(t):
     text = t.orders.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("t"))

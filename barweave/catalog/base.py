@@ -105,11 +105,11 @@ cte("scored", """
 SELECT event_id AS post_id, ts AS date, 'T' || (user_id % 5) AS ticker,
   CASE event_id % 7 WHEN 0 THEN '[removed]' WHEN 1 THEN ' NaN ' WHEN 2 THEN '' WHEN 3 THEN NULL ELSE props END AS selftext,
   CASE WHEN event_type IN ('purchase','signup') THEN 'positive' WHEN event_type='error' THEN 'negative' ELSE 'neutral' END AS vader_title_sentiment,
-  ((c * 37) % 2001 - 1000) / 1000.0 AS vader_title_score,
-  CASE WHEN event_id % 5 <> 0 THEN ((c * 53) % 2001 - 1000) / 1000.0 END AS vader_selftext_score,
+  ((c * 37) % 2000003 - 1000001) / 1000001.0 AS vader_title_score,
+  CASE WHEN event_id % 5 <> 0 THEN ((c * 53) % 2000003 - 1000001) / 1000001.0 END AS vader_selftext_score,
   CASE c % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'neutral' END AS cryptobert_title_sentiment,
-  ((c * 41) % 2001 - 1000) / 1000.0 AS cryptobert_title_score,
-  ((c * 59) % 2001 - 1000) / 1000.0 AS cryptobert_selftext_score
+  ((c * 41) % 2000003 - 1000001) / 1000001.0 AS cryptobert_title_score,
+  ((c * 59) % 2000003 - 1000001) / 1000001.0 AS cryptobert_selftext_score
 FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS c FROM events)""")
 
 cte("raw_posts", """

@@ -190,7 +190,7 @@ def _(t):
 @query("monthly_volume", "SELECT strftime(date, '%Y-%m') AS month, " + ", ".join(f"count(*) FILTER (ticker = 'T{i}') AS T{i}" for i in range(5)) + ", count(*) AS total FROM raw_posts GROUP BY 1", ["raw_posts"],
        longs="T0 T1 T2 T3 T4 total")
 def _(t):
-    return D.monthly_volume(S.raw_posts(t), [f"T{i}" for i in range(5)])
+    return D.monthly_volume(S.raw_posts(t))
 
 
 @query("daily_posts_centred", """SELECT day, n, CASE WHEN count(*) OVER w = 7 THEN avg(n) OVER w END AS centred_mean FROM (SELECT CAST(date AS DATE) AS day, count(*) AS n FROM raw_posts GROUP BY 1)

@@ -100,7 +100,7 @@ def slot_sql(width):
         parts += [f"CASE WHEN {pos} + {neg} > 0 THEN {pos} / ({pos} + {neg}) END AS {m}_bullishness_ratio",
                   f"{pos} + {neg} AS {m}_directional_post_count"]
         for v in ("title_score", "selftext_score", "combined_score"):
-            c = f"round({m}_{v}, 5)"
+            c = f"{m}_{v}"
             parts += [f"avg({c}) AS {m}_{v}_mean", f"median({c}) AS {m}_{v}_median",
                       f"CASE WHEN count({c}) = 1 THEN 0.0 ELSE stddev_samp({c}) END AS {m}_{v}_std"]
     return f"SELECT ticker, time_bucket(INTERVAL '{width}', date) AS timestamp, {', '.join(parts)} FROM blended GROUP BY 1, 2"

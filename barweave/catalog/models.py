@@ -226,7 +226,7 @@ def _(t):
     return S.scored_posts(t).select("post_id", X.label_from_score("vader_title_score").alias("label"))
 
 
-cte("lexicon", """SELECT token, (length(token) * 7 + ascii(token)) % 9 - 4 AS valence FROM (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z0-9'']+')) AS token FROM benchmark)
+cte("lexicon", """SELECT token, (length(token) * 7 + ascii(token)) % 9 - 4 AS valence FROM (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}\\p{N}'']+')) AS token FROM benchmark)
 WHERE token <> ''""")
 
 
@@ -243,7 +243,7 @@ cte("lexhits", f"""SELECT doc_id, CASE WHEN neg THEN v0 * -0.74 ELSE v0 END AS v
  SELECT doc_id, token, coalesce(len(list_intersect(tk[greatest(i - 3, 1):i - 1], {NEG})) > 0, FALSE) AS neg,
   coalesce(list_contains({BOO}, tk[i - 1]) AND i > 1, FALSE) AS boost FROM (
   SELECT doc_id, tk, unnest(range(1, len(tk) + 1)) AS i, unnest(tk) AS token FROM toks)) JOIN lexicon USING (token))""", "lexicon", "toks")
-cte("toks", """SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9'']+'), lambda x: x <> '') AS tk FROM documents""")
+cte("toks", """SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}\\p{N}'']+'), lambda x: x <> '') AS tk FROM documents""")
 
 
 @query("lexicon_scores", """SELECT doc_id, CASE WHEN k > 0 THEN round(s / sqrt(s * s + 15), 4) END AS score, CASE WHEN k > 0 THEN round(p / (p + abs(n) + k - h), 3) END AS prob_pos,

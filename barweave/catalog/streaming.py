@@ -1,7 +1,4 @@
 """The streaming form of the slot aggregate."""
-from pyspark.sql import functions as F
-
-from ..operators.slots import SCORERS
 from ..session import scratch_path
 from ..sources import standins as S
 from ..streaming import slots as Z
@@ -21,7 +18,6 @@ class _StreamTables(S.Tables):
        ["slots_6h"], doubles=" ".join(KEEP), longs=SLOT_LONGS, dp=9)
 def _(t):
     posts = S.scored_posts(_StreamTables(t.spark, t.sf_dir))
-    posts = posts.withColumns({f"{m}_{v}": F.round(f"{m}_{v}", 5) for m in SCORERS for v in ("title_score", "selftext_score")})
     base = scratch_path(t.spark)
     Z.write_available(Z.stream_slots(posts, "6h"), f"{base}/out", f"{base}/checkpoint")
     return t.spark.read.parquet(f"{base}/out").select("ticker", "timestamp", *KEEP, *SLOT_LONGS.split())

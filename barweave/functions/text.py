@@ -75,7 +75,7 @@ def label_from_score(c) -> Column:
 
 
 def tokens(c) -> Column:
-    return F.filter(F.split(F.lower(col(c)), r"[^a-z0-9']+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(col(c)), r"[^\p{L}\p{M}\p{N}']+"), lambda t: t != "")
 
 
 def lexicon_scores(df: DataFrame, key, text, lexicon: DataFrame) -> DataFrame:

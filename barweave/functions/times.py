@@ -1,4 +1,7 @@
 """Time axis helpers. All event times are zone-less UTC timestamps (timestamp_ntz)."""
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,8 +73,8 @@ def calendar_parts(df: DataFrame, ts="date") -> DataFrame:
     })
 
 
-def epoch_unit(df: DataFrame, value) -> DataFrame:
-    """One row with the epoch unit of a numeric time column, decided by the exact median magnitude.
+def epoch_unit(df: DataFrame, value, by=()) -> DataFrame:
+    """The epoch unit of a numeric time column, decided by the exact median magnitude: one row, or one per ``by`` group.
 
     Only counts and extremes around each bound are kept, so the state does not grow with the column:
     the median exceeds a bound when more than half of the values do, and on an even split when the
@@ -91,18 +94,27 @@ def epoch_unit(df: DataFrame, value) -> DataFrame:
             (F.col("n") > 0) & (2 * F.col(f"n_{u}") == F.col("n"))
             & ((F.col(f"below_{u}") + F.col(f"above_{u}")) / 2 > t))
         unit = F.when(over, F.lit(u)).otherwise(unit)
-    return df.agg(*aggs).select(unit.alias("unit"))
+    return df.groupBy(*by).agg(*aggs).select(*by, unit.alias("unit"))
+
 
+def normalise_times(df: DataFrame, column, out="timestamp", by=()) -> DataFrame:
+    """Epoch numbers or ISO text to UTC; bad values become null.
 
-def normalise_times(df: DataFrame, column, out="timestamp") -> DataFrame:
-    """Epoch numbers (unit inferred once for the column) or ISO text to UTC; bad values become null."""
+    The unit of epoch numbers is inferred once for the column, or once for each group of ``by`` (file or series).
+    """
     kind = dict(df.dtypes)[column]
     if kind in ("timestamp", "timestamp_ntz", "date"):
         return df.withColumn(out, utc(column))
     if kind == "string":
         return df.withColumn(out, F.try_to_timestamp(F.col(column)).cast("timestamp_ntz"))
-    unit = epoch_unit(df, column).scalar()
+    if by:
+        units = epoch_unit(df, column, by).withColumnsRenamed({c: f"_{c}_of_unit" for c in by})
+        match = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}_of_unit")) for c in by])
+        df, unit = df.join(units, match, "left"), F.col("unit")
+    else:
+        units, unit = None, epoch_unit(df, column).scalar()
     v = F.col(column).cast("double")
     scale = F.when(unit == "ns", F.lit(1e-3)).when(unit == "us", F.lit(1.0)) \
         .when(unit == "ms", F.lit(1e3)).otherwise(F.lit(1e6))
-    return df.withColumn(out, from_micros(F.round(v * scale).cast("long")))
+    done = df.withColumn(out, from_micros(F.round(v * scale).cast("long")))
+    return done.drop(*units.columns) if by else done

@@ -3,6 +3,8 @@
 The built-in exact percentile keeps every distinct value of a group in one task. Here values first
 collapse to (group, value, count), spread by value; only bucket totals, at most ``buckets`` rows per
 group, are scanned in order, and a final look opens just the buckets that hold a wanted rank.
+Bucket borders are approximate quantiles, so a heavy tail or an outlier does not crowd one bucket; borders only
+route, results stay exact.
 """
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,13 +12,19 @@ from pyspark.sql import functions as F
 
 from .sequence import with_position
 
-BUCKETS = 4096
+BUCKETS = 256  # a power of two
+SKETCH = 10_000
 
 
-def _bucket(v, lo, hi, buckets) -> Column:
-    """Equal-width bucket. Every step is monotone in floating point, so order is never broken."""
-    frac = F.try_divide(F.col(v) - F.col(lo), F.col(hi) - F.col(lo))
-    return F.least(F.floor(F.coalesce(frac, F.lit(0.0)) * buckets), F.lit(buckets - 1)).cast("int")
+def _borders(v, buckets) -> Column:
+    """Approximate quantiles that cut the rows of a group into about equal parts; the sketch's size is bounded."""
+    return F.percentile_approx(F.col(v), [i / buckets for i in range(1, buckets)], SKETCH)
+
+
+def _bucket(v, borders, buckets) -> Column:
+    """The number of borders below the value, by halving."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(buckets.bit_length() - 1))])
+    return F.aggregate(steps, F.lit(0), lambda i, s: F.when(F.element_at(borders, i + s) < F.col(v), i + s).otherwise(i))
 
 
 def _grouped(df, keys):
@@ -34,8 +42,8 @@ def value_histogram(df: DataFrame, keys, value, buckets=BUCKETS, weight=None) ->
         .groupBy(*keys, F.col(value).cast("double").alias("v"))
         .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("cnt"))
     )
-    span = hist.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.sum("cnt").alias("n"))
-    return hist.join(span, list(keys)).withColumn("_bucket", _bucket("v", "_lo", "_hi", buckets)).drop("_lo", "_hi")
+    span = hist.groupBy(*keys).agg(_borders("v", buckets).alias("_cuts"), F.sum("cnt").alias("n"))
+    return hist.join(span, list(keys)).withColumn("_bucket", _bucket("v", F.col("_cuts"), buckets)).drop("_cuts")
 
 
 def _bucket_starts(hist, keys):
@@ -93,10 +101,9 @@ def average_ranks(df: DataFrame, keys, value, buckets=BUCKETS, weight=None) -> D
 def with_value_position(df: DataFrame, keys, value, tiebreak, name="_pos", buckets=BUCKETS) -> DataFrame:
     """Dense 0-based position by (value, tiebreak) within the key, and the key's size as ``_n``."""
     data, by = _grouped(df.where(F.col(value).isNotNull()), keys)
-    span = data.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
-    data = data.join(span, by)
-    out = with_position(data, by, [F.col(value), *[F.col(t) for t in tiebreak]],
-                        block=_bucket(value, "_lo", "_hi", buckets), name=name).drop("_lo", "_hi")
+    span = data.groupBy(*by).agg(_borders(value, buckets).alias("_cuts"), F.count(value).alias("_n"))
+    data = data.join(span, by).withColumn("_part", _bucket(value, F.col("_cuts"), buckets)).drop("_cuts")
+    out = with_position(data, by, [F.col(value), *[F.col(t) for t in tiebreak]], block=F.col("_part"), name=name).drop("_part")
     return out if keys else out.drop("_all")
 
 

@@ -4,13 +4,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import usable_text
 from ..functions.times import bar_floor, bar_micros, micros
+from .quantiles import percentiles
 
 # Scorers, blend weights, neutral fills and the coverage bar (percent).
 SCORERS = ("vader", "cryptobert")
 TITLE_WEIGHT, BODY_WEIGHT = 0.7, 0.3
 RATIO_FILL, SCORE_FILL, COUNT_FILL = 0.5, 0.0, 0
 COVERAGE_BAR = 70.0
-SCORE_DECIMALS = 5
+CROWD = 100_000  # posts of a slot up to which a median may be kept in one task
 
 
 def blend_posts(posts: DataFrame, scorers=SCORERS) -> DataFrame:
@@ -23,25 +24,38 @@ def blend_posts(posts: DataFrame, scorers=SCORERS) -> DataFrame:
     return posts.withColumns(cols)
 
 
-def aggregate_slots(posts: DataFrame, horizon, scorers=SCORERS, decimals=SCORE_DECIMALS) -> DataFrame:
+def aggregate_slots(posts: DataFrame, horizon, scorers=SCORERS, crowd=CROWD) -> DataFrame:
     """One row per (ticker, slot): counts, bullishness and mean/median/std of each score.
 
-    Scores live on [-1, 1]. Rounded to ``decimals`` places they take at most 2 * 10^decimals + 1
-    values, which bounds the exact median's state even for a slot that holds most of the posts.
+    Medians are exact. Slots of more than ``crowd`` posts, which one count looks for when the plan is built, take theirs from
+    the distributed percentile; the state of all others is bounded by that number.
     """
-    variants = ("title_score", "selftext_score", "combined_score")
-    rows = posts.withColumns({f"{m}_{v}": F.round(F.col(f"{m}_{v}"), decimals) for m in scorers for v in variants})
+    scores = [f"{m}_{v}" for m in scorers for v in ("title_score", "selftext_score", "combined_score")]
+    keys = ["ticker", "timestamp"]
+    rows = posts.withColumn("timestamp", bar_floor("date", horizon))
+    crowded = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowd).select(*keys)
+    if crowded.isEmpty():
+        return rows.groupBy(*keys).agg(*_moments(scorers), *[F.median(c).alias(f"{c}_median") for c in scores])
+    calm = rows.join(crowded, keys, "left_anti").groupBy(*keys).agg(*[F.median(c).alias(f"{c}_median") for c in scores])
+    long = rows.join(crowded, keys, "left_semi").select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("score"), F.col(c).alias("v")) for c in scores])).alias("x")).select(*keys, "x.*")
+    busy = percentiles(long, [*keys, "score"], "v", [0.5], ["m"]).groupBy(*keys).agg(*[
+        F.max(F.when(F.col("score") == c, F.col("m"))).alias(f"{c}_median") for c in scores])
+    return rows.groupBy(*keys).agg(*_moments(scorers)).join(calm.unionByName(busy), keys, "left")
+
+
+def _moments(scorers):
     aggs = [F.count(F.lit(1)).alias("post_count")]
     for m in scorers:
         s = F.col(f"{m}_title_sentiment")
         pos, neg = F.count_if(s == "positive"), F.count_if(s == "negative")
         aggs += [F.try_divide(pos, pos + neg).alias(f"{m}_bullishness_ratio"),
                  (pos + neg).alias(f"{m}_directional_post_count")]
-        for v in variants:
+        for v in ("title_score", "selftext_score", "combined_score"):
             c = F.col(f"{m}_{v}")
-            aggs += [F.avg(c).alias(f"{m}_{v}_mean"), F.median(c).alias(f"{m}_{v}_median"),
+            aggs += [F.avg(c).alias(f"{m}_{v}_mean"),
                      F.when(F.count(c) == 1, F.lit(0.0)).otherwise(F.stddev_samp(c)).alias(f"{m}_{v}_std")]
-    return rows.groupBy("ticker", bar_floor("date", horizon).alias("timestamp")).agg(*aggs)
+    return aggs
 
 
 def completed_slots(slots: DataFrame, horizon, observation_cutoff, ts="timestamp") -> DataFrame:

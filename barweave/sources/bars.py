@@ -7,35 +7,45 @@ from ..functions.numeric import clean
 from ..functions.times import normalise_times
 from ..operators.sequence import keep_first, keep_last
 
-# Names a time column may carry, and the file name form <SYMBOL>USDT_<width>.parquet.
+# Names a time column may carry, and the file name form <SYMBOL><QUOTE>_<width>.parquet.
 TIME_NAMES = ["timestamp", "datetime", "date", "time", "open_time", "close_time"]
-FILE_FORM = r"([A-Za-z0-9]+)USDT_(1h|6h|1d|15min)\.parquet"
+FILE_FORM = r"^([A-Za-z0-9]+?)(?:{quotes})_(1h|6h|1d|15min)\.parquet$"
+QUOTES = ("USDT",)
 OHLCV = ["open", "high", "low", "close", "volume"]
 
 
-def read_bars(spark: SparkSession, root, merge_schema=False) -> DataFrame:
+def read_bars(spark: SparkSession, root, merge_schema=False, quotes=QUOTES) -> DataFrame:
     """Every bar file under a folder, with ticker and horizon taken from the file name when absent.
 
-    ``merge_schema`` opens every footer first; leave it off where files share one schema.
+    Rows of a file whose name has another form get null there and are left out of series; ``unnamed_files`` lists such
+    files. ``merge_schema`` opens every footer first; leave it off where files share one schema.
     """
     df = spark.read.option("recursiveFileLookup", True).option("mergeSchema", merge_schema).parquet(root)
     df = df.toDF(*[c.lower().strip() for c in df.columns])
     name = F.col("_metadata.file_name")
-    if "ticker" not in df.columns:
-        df = df.withColumn("ticker", F.regexp_extract(name, FILE_FORM, 1))
-    if "horizon" not in df.columns:
-        df = df.withColumn("horizon", F.regexp_extract(name, FILE_FORM, 2))
+    form = FILE_FORM.format(quotes="|".join(quotes))
+    for group, column in ((1, "ticker"), (2, "horizon")):
+        if column not in df.columns:
+            df = df.withColumn(column, F.nullif(F.regexp_extract(name, form, group), F.lit("")))
     return df.withColumn("ticker", canonical_ticker("ticker"))
 
 
+def unnamed_files(spark: SparkSession, root, quotes=QUOTES) -> DataFrame:
+    """Files under a folder from whose names no ticker and bar width can be read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    return files.where(~F.element_at(F.split("path", "/"), -1).rlike(FILE_FORM.format(quotes="|".join(quotes))))
+
+
 def normalise_bars(df: DataFrame, seq=None, dedupe=True) -> DataFrame:
     """Lower-case names, UTC times, numeric values, one row per (ticker, horizon, time): the last one.
 
-    ``seq`` is an ingest order; without it the values themselves order rows that share a time.
+    The unit of epoch times is found for each series. ``seq`` is an ingest order; without it the values themselves order rows that share a time.
     """
     df = df.toDF(*[c.lower().strip() for c in df.columns])
     tcol = next((c for c in TIME_NAMES if c in df.columns), df.columns[0])
-    df = normalise_times(df, tcol, "timestamp").where(F.col("timestamp").isNotNull())
+    series = [c for c in ("ticker", "horizon") if c in df.columns]
+    df = df.dropna(subset=series) if series else df
+    df = normalise_times(df, tcol, "timestamp", by=series).where(F.col("timestamp").isNotNull())
     present = [c for c in OHLCV if c in df.columns]
     df = df.withColumns({c: clean(F.expr(f"try_cast(`{c}` AS double)")) for c in present})
     keep = ["ticker", "horizon", "timestamp", *present] + ([seq] if seq else [])

@@ -23,7 +23,7 @@ def header_id(c) -> Column:
 def header_symbol(c) -> Column:
     sym = F.upper(F.regexp_extract(c, HEADER, 2))
     plain = F.upper(F.trim(c))
-    return F.when(sym != "", sym).when(plain.rlike("^[A-Z]{1,6}$"), plain)
+    return F.when(sym != "", sym).when(plain.rlike(r"^\S+$"), plain)
 
 
 def wide_to_cells(wide: DataFrame, date_col="date") -> DataFrame:

@@ -38,13 +38,19 @@ def read_posts(spark: SparkSession, glob, mapping: DataFrame) -> DataFrame:
     """Community CSV exports with the ticker each community belongs to.
 
     ``mapping`` (subreddit, ticker, included) keeps only the communities marked yes. Files are matched
-    by a glob, so a community without a file is simply not there.
+    by a glob; ``missing_communities`` names those without a row.
     """
     df = (spark.read.schema(POST_SCHEMA).option("header", True).option("multiLine", True)
-          .option("quote", '"').option("escape", '"').option("ignoreMissingFiles", True).csv(glob))
+          .option("quote", '"').option("escape", '"').csv(glob))
     return attach_tickers(df, mapping)
 
 
+def missing_communities(posts: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Communities marked yes of which the scan has no post."""
+    wanted = mapping.where(F.lower(F.trim("included")) == "yes").select("subreddit", "ticker").distinct()
+    return wanted.join(posts.select("subreddit").distinct(), "subreddit", "left_anti")
+
+
 def attach_tickers(posts: DataFrame, mapping: DataFrame) -> DataFrame:
     keep = mapping.where(F.lower(F.trim("included")) == "yes").select("subreddit", "ticker")
     return posts.join(keep, "subreddit")
@@ -59,12 +65,27 @@ def tidy_posts(posts: DataFrame, seq=None) -> DataFrame:
     return calendar_parts(df, "date")
 
 
-def read_signals(spark: SparkSession, root, horizon=None) -> DataFrame:
-    """Every forecast file under the folder (or one bar width's sub-folder); unreadable files are skipped."""
+def _forecast_files(spark, root, horizon, skip_unreadable):
+    return (spark.read.option("mergeSchema", True).option("recursiveFileLookup", True)
+            .option("ignoreCorruptFiles", skip_unreadable).parquet(f"{root}/{horizon}" if horizon else root))
+
+
+def read_signals(spark: SparkSession, root, horizon=None, skip_unreadable=False) -> DataFrame:
+    """Every forecast file under the folder, or one bar width's sub-folder and of it only rows of that width.
+
+    An unreadable file fails the scan, unless ``skip_unreadable`` leaves it out; ``skipped_files`` then names it.
+    """
+    df = normalise_signals(_forecast_files(spark, root, horizon, skip_unreadable))
+    return df.where(F.col("horizon").isin("", horizon)).withColumn("horizon", F.lit(horizon)) if horizon else df
+
+
+def skipped_files(spark: SparkSession, root, horizon=None) -> DataFrame:
+    """Parquet files of which a scan that skips unreadable files has no row (empty files among them)."""
     path = f"{root}/{horizon}" if horizon else root
-    df = (spark.read.option("mergeSchema", True).option("recursiveFileLookup", True)
-          .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).parquet(path))
-    return normalise_signals(df)
+    there = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+             .select(F.element_at(F.split("path", "/"), -1).alias("file"), "path"))
+    seen = _forecast_files(spark, root, horizon, True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file")).distinct()
+    return there.join(seen, "file", "left_anti").select("path")
 
 
 def normalise_signals(df: DataFrame) -> DataFrame:
@@ -73,6 +94,8 @@ def normalise_signals(df: DataFrame) -> DataFrame:
     df = normalise_times(df, "timestamp").dropna(subset=["timestamp", "target", "prediction", "probability"])
     df = df.withColumns({"target": F.col("target").cast("int"), "prediction": F.col("prediction").cast("int"),
                          "probability": F.col("probability").cast("double")})
+    if "hpo_objective" in df.columns:
+        df = df.withColumn("hpo_objective", blank_to("hpo_objective", "-"))
     for c in ("horizon", "set_id", "category", "label"):
         df = df.withColumn(c, blank_to(c, "") if c in df.columns else F.lit(""))
     model = F.col("sentiment_model") if "sentiment_model" in df.columns else F.lit("")

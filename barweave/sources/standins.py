@@ -85,11 +85,11 @@ def scored_posts(t: Tables) -> DataFrame:
         F.concat(F.lit("T"), (F.col("user_id") % 5).cast("string")).alias("ticker"),
         selftext.alias("selftext"),
         label.alias("vader_title_sentiment"),
-        (((cents * 37) % 2001 - 1000) / 1000.0).alias("vader_title_score"),
-        F.when(F.col("event_id") % 5 != 0, ((cents * 53) % 2001 - 1000) / 1000.0).alias("vader_selftext_score"),
+        (((cents * 37) % 2000003 - 1000001) / 1000001.0).alias("vader_title_score"),
+        F.when(F.col("event_id") % 5 != 0, ((cents * 53) % 2000003 - 1000001) / 1000001.0).alias("vader_selftext_score"),
         label2.alias("cryptobert_title_sentiment"),
-        (((cents * 41) % 2001 - 1000) / 1000.0).alias("cryptobert_title_score"),
-        (((cents * 59) % 2001 - 1000) / 1000.0).alias("cryptobert_selftext_score"),
+        (((cents * 41) % 2000003 - 1000001) / 1000001.0).alias("cryptobert_title_score"),
+        (((cents * 59) % 2000003 - 1000001) / 1000001.0).alias("cryptobert_selftext_score"),
     )
 
 

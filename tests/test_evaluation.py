@@ -171,9 +171,9 @@ def test_whole_chain(spark, tmp_path):
         bars.append(pd.DataFrame({"ticker": t, "horizon": "1d", "timestamp": d, "open": c * .99, "high": c * 1.02, "low": c * .97, "close": c, "volume": rng.uniform(1, 5, n)}))
         caps.append(pd.DataFrame({"ticker": t, "date": d, "market_cap": c * 10 ** (i + 3)}))
         posts.append(pd.DataFrame({"ticker": t, "date": d + pd.to_timedelta(rng.integers(0, 86000, n), "s"), "selftext": "x", "post_id": np.arange(n) + 1000 * i,
-                                   "vader_title_sentiment": rng.choice(["positive", "negative", "neutral"], n), "vader_title_score": rng.uniform(-1, 1, n).round(4),
-                                   "vader_selftext_score": rng.uniform(-1, 1, n).round(4), "cryptobert_title_sentiment": "neutral",
-                                   "cryptobert_title_score": rng.uniform(-1, 1, n).round(4), "cryptobert_selftext_score": rng.uniform(-1, 1, n).round(4)}))
+                                   "vader_title_sentiment": rng.choice(["positive", "negative", "neutral"], n), "vader_title_score": rng.uniform(-1, 1, n),
+                                   "vader_selftext_score": rng.uniform(-1, 1, n), "cryptobert_title_sentiment": "neutral",
+                                   "cryptobert_title_score": rng.uniform(-1, 1, n), "cryptobert_selftext_score": rng.uniform(-1, 1, n)}))
     b = sp(spark, pd.concat(bars), "timestamp").withColumn("ticker", F.when(F.col("ticker") == "XNO", "NANO").otherwise(F.col("ticker")))
     c = sp(spark, pd.concat(caps), "date")
     p = sp(spark, pd.concat(posts), "date").withColumn("ticker", F.when(F.col("ticker") == "XNO", "NANO").otherwise(F.col("ticker")))

@@ -158,6 +158,16 @@ def test_bar_files(spark, tmp_path):
     assert got.agg(F.min("timestamp")).first()[0] == pd.Timestamp("2022-01-01")
 
 
+def test_files_without_a_series_name(spark, tmp_path):
+    for name, unit in (("BTCUSDT_1d", "ms"), ("ETHEUR_1d", "s"), ("notes", "s")):
+        b = bars(3, ("x",), "D").drop(columns="ticker")
+        b["open_time"] = b["timestamp"].astype(f"datetime64[{unit}]").astype("int64")
+        b.drop(columns="timestamp").to_parquet(tmp_path / f"{name}.parquet")
+    got = B.normalise_bars(B.read_bars(spark, str(tmp_path), quotes=("USDT", "EUR"))).groupBy("ticker").agg(F.count("*").alias("n"), F.min("timestamp").alias("t")).collect()
+    assert {(r["ticker"], r["n"], str(r["t"])[:10]) for r in got} == {("BTC", 3, "2022-01-01"), ("ETH", 3, "2022-01-01")}
+    assert [r["path"].rsplit("/")[-1] for r in B.unnamed_files(spark, str(tmp_path), ("USDT", "EUR")).collect()] == ["notes.parquet"]
+
+
 def test_post_files_and_dedup(spark, tmp_path):
     (tmp_path / "a.csv").write_text('submission,subreddit,created,removed,upvote_ratio,score,total_awards_received,num_comments,num_crossposts,selftext,title\n'
                                     's1,aa,1640995200,0,0.9,3,0,1,0,"two\nlines, ""quoted""",hello\ns1,aa,1640998800,0,0.9,3,0,1,0,again,hello\n')
@@ -165,6 +175,8 @@ def test_post_files_and_dedup(spark, tmp_path):
                                     's2,bb,1640995200,1,0.5,1,0,0,0,,t\n')
     m = spark.createDataFrame([("aa", "BTC", "yes"), ("bb", "ETH", "no")], "subreddit string, ticker string, included string")
     got = Q.tidy_posts(Q.read_posts(spark, str(tmp_path / "*.csv"), m)).collect()
+    gone = spark.createDataFrame([("aa", "BTC", "yes"), ("cc", "SOL", "yes")], m.schema)
+    assert [r["subreddit"] for r in Q.missing_communities(Q.read_posts(spark, str(tmp_path / "*.csv"), gone), gone).collect()] == ["cc"]
     assert len(got) == 1 and got[0]["selftext"] == 'two\nlines, "quoted"' and got[0]["weekday"] == "Saturday" and got[0]["month"] == "2022-01"
 
 
@@ -179,6 +191,12 @@ def test_signal_files(spark, tmp_path):
     assert (got.forecast_origin - got.timestamp == pd.Timedelta(days=1)).all() and got.hpo_enabled.sum() == 2
     with pytest.raises(ValueError):
         Q.normalise_signals(spark.createDataFrame(base.drop(columns="target")))
+    base.assign(horizon="6h", hpo_objective=" ").to_parquet(tmp_path / "1d" / "c.parquet")
+    (tmp_path / "1d" / "d.parquet").write_bytes(b"PAR1 broken PAR1")
+    with pytest.raises(Exception):
+        Q.read_signals(spark, str(tmp_path), "1d").count()
+    got = Q.read_signals(spark, str(tmp_path), "1d", skip_unreadable=True)
+    assert got.count() == 4 and [r["path"].rsplit("/")[-1] for r in Q.skipped_files(spark, str(tmp_path), "1d").collect()] == ["d.parquet"]
 
 
 def test_provenance_and_consistency(spark, tmp_path):

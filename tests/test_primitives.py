@@ -128,3 +128,37 @@ def test_epoch_units(spark):
 def test_student_tail():
     assert abs(student_two_sided(2.0, 10) - 0.0733880348) < 1e-9
     assert abs(student_two_sided(0.0, 5) - 1.0) < 1e-12
+
+
+def test_epoch_units_per_series(spark):
+    df = spark.createDataFrame([("A", 1640995200000), ("A", 1641081600000), ("B", 1640995200), (None, 1640995200000000)], "ticker string, t long")
+    got = {r["ticker"]: str(r["m"]) for r in normalise_times(df, "t", by=["ticker"]).groupBy("ticker").agg(F.min("timestamp").alias("m")).collect()}
+    assert set(got) == {"A", "B", None} and set(got.values()) == {"2022-01-01 00:00:00"}
+
+
+def test_heavy_tails_do_not_crowd_a_bucket(spark):
+    from barweave.operators.quantiles import BUCKETS, value_histogram
+    rng = np.random.default_rng(5)
+    v = np.append(np.exp(2.5 * rng.standard_normal(60_000)), 1e9)
+    df = spark.createDataFrame(pd.DataFrame({"k": 1, "v": v}))
+    sizes = [r["count"] for r in value_histogram(df, ["k"], "v").groupBy("_bucket").count().collect()]
+    assert len(sizes) == BUCKETS and max(sizes) <= 2 * len(v) / BUCKETS
+    got = percentiles(df, ["k"], "v", [0.001, 0.5, 0.9999], ["a", "b", "c"]).first()
+    assert np.allclose([got["a"], got["b"], got["c"]], np.quantile(v, [0.001, 0.5, 0.9999]), rtol=1e-12)
+
+
+def test_slot_scores_are_not_rounded(spark):
+    from barweave.operators.slots import aggregate_slots, blend_posts
+    rows = [("A", "2022-01-01 01:00:00", s) for s in (0.123456789, 0.000001, 0.000004)] + [("B", "2022-01-01 02:00:00", 1e-7), ("B", "2022-01-01 03:00:00", 2e-7)]
+    p = spark.createDataFrame(rows, "ticker string, d string, s double").select(
+        "ticker", F.col("d").cast("timestamp_ntz").alias("date"), F.lit("x").alias("selftext"), F.lit("neutral").alias("vader_title_sentiment"),
+        F.col("s").alias("vader_title_score"), F.lit(None).cast("double").alias("vader_selftext_score"))
+    for crowd in (100, 1):  # in one task, and by the distributed percentile
+        got = {r["ticker"]: r["vader_title_score_median"] for r in aggregate_slots(blend_posts(p, ["vader"]), "6h", ["vader"], crowd).collect()}
+        assert got["A"] == 0.000004 and abs(got["B"] - 1.5e-7) < 1e-20
+
+
+def test_tokens_keep_letters_of_every_script(spark):
+    from barweave.functions.text import tokens
+    got = spark.createDataFrame([("Größe déçu qualité, l'été",)], "t string").select(tokens("t").alias("x")).first()["x"]
+    assert got == ["größe", "déçu", "qualité", "l'été"]
