@@ -174,19 +174,42 @@ def _(t):
 
 
 cte("hpo", f"""SELECT {G}, CASE WHEN d % 7 <> 0 THEN CASE d % 4 WHEN 0 THEN 0.01 WHEN 1 THEN 0.1 WHEN 2 THEN 1.0 ELSE 10.0 END END AS best_C,
-CASE WHEN d % 7 = 0 THEN 'insufficient_data' ELSE 'ok' END AS hpo_status FROM (SELECT *, epoch_us(timestamp) // 86400000000 AS d FROM signals)""", "signals")
+CASE WHEN d % 7 = 0 THEN 'fallback_insufficient_data' WHEN d % 31 = 4 THEN 'fallback_all_failed' WHEN d % 37 = 5 THEN 'fallback_refit_failed' WHEN d % 5 <> 0 THEN 'ok' END AS hpo_status,
+d % 13 <> 0 AS hpo_enabled, CASE WHEN d % 3 = 0 THEN 'balanced' ELSE 'none' END AS best_class_weight, 'log_loss' AS hpo_objective, ticker, category, target, prediction, probability, timestamp FROM (SELECT *, epoch_us(timestamp) // 86400000000 AS d FROM signals)""", "signals")
 
 
-@query("hpo_summary", f"""SELECT a.*, b.best_C AS mode_best_C FROM (SELECT {G}, median(best_C) AS median_best_C, count(best_C) AS n_tuned,
- count(*) FILTER (hpo_status = 'ok') AS n_ok, count(*) FILTER (hpo_status = 'insufficient_data') AS n_insufficient_data, 0 AS n_all_failed, 0 AS n_refit_failed
- FROM hpo GROUP BY {G}) a LEFT JOIN (SELECT {G}, best_C, row_number() OVER (PARTITION BY {G} ORDER BY count(*) DESC, best_C) rn FROM hpo
- WHERE best_C IS NOT NULL GROUP BY {G}, best_C) b USING ({G}) WHERE rn = 1""", ["hpo"], doubles="median_best_C mode_best_C",
-       longs="n_tuned n_ok n_insufficient_data n_all_failed n_refit_failed")
-def _(t):
+def _hpo_sql(keys):
+    return f"""SELECT a.*, (SELECT string_agg(st || ':' || n, ';' ORDER BY st) FROM (SELECT coalesce(hpo_status, 'ok') AS st, count(*) AS n FROM hpo h
+   WHERE hpo_enabled AND {' AND '.join(f'h.{k} = a.{k}' for k in keys.split(', '))} GROUP BY 1)) AS hpo_status_counts
+ FROM (SELECT {keys}, max(hpo_objective) AS hpo_objective, median(best_C) AS best_C_median, count(*) AS n_tuned,
+   (list(best_C ORDER BY nc DESC, best_C) FILTER (best_C IS NOT NULL))[1] AS best_C_mode, (list(best_class_weight ORDER BY nw DESC, best_class_weight))[1] AS best_class_weight_mode
+  FROM (SELECT *, count(*) OVER (PARTITION BY {keys}, best_C) AS nc, count(*) OVER (PARTITION BY {keys}, best_class_weight) AS nw FROM hpo WHERE hpo_enabled) GROUP BY {keys}) a"""
+
+
+def tuned(t):
     d = F.floor(times.micros("timestamp") / 86400000000)
     c = F.element_at(F.array(*[F.lit(x) for x in (0.01, 0.1, 1.0, 10.0)]), (d % 4 + 1).cast("int"))
-    return E.hpo_summary(sig(t).withColumns({
-        "best_C": F.when(d % 7 != 0, c), "hpo_status": F.when(d % 7 == 0, "insufficient_data").otherwise("ok")}))
+    a, b, e = identity.HPO_FALLBACKS
+    status = F.when(d % 7 == 0, a).when(d % 31 == 4, b).when(d % 37 == 5, e).when(d % 5 != 0, identity.HPO_OK)
+    return sig(t).withColumns({"best_C": F.when(d % 7 != 0, c), "hpo_status": status, "hpo_enabled": d % 13 != 0,
+                               "best_class_weight": F.when(d % 3 == 0, "balanced").otherwise("none"), "hpo_objective": F.lit("log_loss")})
+
+
+@query("hpo_summary", _hpo_sql(G), ["hpo"], doubles="best_C_median best_C_mode", longs="n_tuned")
+def _(t):
+    return E.hpo_summary(tuned(t))
+
+
+TUNED = "hpo_objective, best_C_median, best_C_mode, best_class_weight_mode, hpo_status_counts"
+
+
+@query("tuned_metrics_summary", f"""SELECT {G}, ticker, n_obs, round(accuracy, 6) AS accuracy, {TUNED} FROM (
+ SELECT {G}, 'pooled' AS ticker, count(*) AS n_obs, avg(CAST(prediction = target AS INT)) AS accuracy FROM hpo GROUP BY ALL) LEFT JOIN ({_hpo_sql(G)}) USING ({G})
+ UNION ALL SELECT {G}, ticker, n_obs, round(accuracy, 6), {TUNED} FROM (
+ SELECT {G}, ticker, count(*) AS n_obs, avg(CAST(prediction = target AS INT)) AS accuracy FROM hpo GROUP BY ALL) LEFT JOIN ({_hpo_sql(G + ", ticker")}) USING ({G}, ticker)""",
+       ["hpo"], doubles="accuracy best_C_median best_C_mode", longs="n_obs")
+def _(t):
+    return E.metrics_summary(tuned(t)).select(*identity.GROUP_KEYS, "ticker", "n_obs", "accuracy", *TUNED.split(", "))
 
 
 # ---- matched pairs -------------------------------------------------------------------------------
@@ -601,30 +624,35 @@ def _(t):
     return contrasts(I.timestamp_test(cpairs(t), "ll", n_boot=0), "E1_horizon_logloss")
 
 
+RUN_SQL = "CASE model_type WHEN 'per_asset' THEN '-' ELSE 'pooled' END, 'fixed'"
 cte("records", f"""
-SELECT concat_ws('|', 'A_H1_logloss', horizon, set_id || model_type) AS test_id, 'A_H1_logloss' AS family, p_hac AS p FROM dm_ll
-UNION ALL SELECT concat_ws('|', 'B_H1_directional', horizon, set_id || model_type), 'B_H1_directional', mcnemar_p_value FROM incremental
-UNION ALL SELECT concat_ws('|', 'C_H2_volatility', horizon, set_id || model_type), 'C_H2_volatility', p_value FROM vol_diff
-UNION ALL SELECT concat_ws('|', 'D_H3_marketcap', horizon, set_id || model_type), 'D_H3_marketcap', p_value FROM size_diff
-UNION ALL SELECT concat_ws('|', 'E1_horizon_logloss', horizon_pair, set_id || model_type), 'E1_horizon_logloss', p_value_raw FROM contrast_ll
-UNION ALL SELECT concat_ws('|', 'E2_horizon_accuracy', horizon_pair, set_id || model_type), 'E2_horizon_accuracy', p_value_raw FROM contrast_acc
-UNION ALL SELECT concat_ws('|', 'EXPL_sentiment_only_directional', horizon, set_id || model_type), 'EXPL_sentiment_only_directional', mcnemar_pval FROM mcnemar WHERE category = 'sentiment'""",
+SELECT concat_ws('|', 'A_H1_logloss', horizon, set_id, model_type, {RUN_SQL}) AS test_id, 'A_H1_logloss' AS family, p_hac AS p FROM dm_ll
+UNION ALL SELECT concat_ws('|', 'B_H1_directional', horizon, set_id, model_type, {RUN_SQL}), 'B_H1_directional', mcnemar_p_value FROM incremental
+UNION ALL SELECT concat_ws('|', 'C_H2_volatility', horizon, set_id, model_type, {RUN_SQL}), 'C_H2_volatility', p_value FROM vol_diff
+UNION ALL SELECT concat_ws('|', 'D_H3_marketcap', horizon, set_id, model_type, {RUN_SQL}), 'D_H3_marketcap', p_value FROM size_diff
+UNION ALL SELECT concat_ws('|', 'E1_horizon_logloss', horizon_pair, set_id, model_type, {RUN_SQL}), 'E1_horizon_logloss', p_value_raw FROM contrast_ll
+UNION ALL SELECT concat_ws('|', 'E2_horizon_accuracy', horizon_pair, set_id, model_type, {RUN_SQL}), 'E2_horizon_accuracy', p_value_raw FROM contrast_acc
+UNION ALL SELECT concat_ws('|', 'EXPL_sentiment_only_directional', horizon, set_id, model_type, {RUN_SQL}), 'EXPL_sentiment_only_directional', mcnemar_pval FROM mcnemar WHERE category = 'sentiment'""",
     "dm_ll", "incremental", "vol_diff", "size_diff", "contrast_ll", "contrast_acc", "mcnemar")
 cte("bh", """SELECT test_id, family, p AS p_value_raw, CASE WHEN p IS NOT NULL THEN least(min(q) OVER (PARTITION BY family ORDER BY r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0) END AS q_value_bh FROM (
 SELECT *, p * count(p) OVER (PARTITION BY family) / r AS q FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p NULLS LAST, test_id) AS r FROM records))""", "records")
 
 
 def families(t):
-    """Model type joins the set name, since the stand-in runs some sets under two model families."""
-    def tag(df):
-        return df.withColumn("set_id", F.concat("set_id", "model_type"))
     d = t.once("diff", lambda: I.differentials(cpairs(t)))
     ll, acc = (t.once(v, lambda v=v: I.timestamp_test(None, v, n_boot=0, diff=d)) for v in ("ll", "acc"))
     inc = M.incremental_value(identity.with_group_defaults(sig(t)), mapping(t))
     mc = M.mcnemar_table(M.benchmark_pairs(sig(t))).where("category = 'sentiment'")
     return I.assemble_families(
-        tag(ll), tag(inc), tag(vol_diff(t)), tag(size_diff(t)), tag(contrasts(ll, "E1_horizon_logloss")),
-        tag(contrasts(acc, "E2_horizon_accuracy")), tag(mc))
+        ll, inc, vol_diff(t), size_diff(t), contrasts(ll, "E1_horizon_logloss"), contrasts(acc, "E2_horizon_accuracy"), mc)
+
+
+@query("pooled_verdicts", f"""SELECT p.horizon, p.set_id, p.model_type, p.panel_mode, p.hpo_variant, round(p.accuracy, 6) AS accuracy, b.family, b.q_value_bh AS mcnemar_q_value_bh_vs_econ,
+ b.q_value_bh < 0.05 AS mcnemar_significant_bh_vs_econ FROM pooled p LEFT JOIN (SELECT *, family || '|' AS f FROM bh WHERE family IN ('B_H1_directional', 'EXPL_sentiment_only_directional') AND p_value_raw IS NOT NULL) b
+ ON b.test_id = concat_ws('|', b.family, p.horizon, p.set_id, p.model_type, p.panel_mode, p.hpo_variant)""", ["pooled", "bh"], doubles="accuracy mcnemar_q_value_bh_vs_econ")
+def _(t):
+    v = I.pooled_verdicts(E.classification_metrics(sig(t)), families(t))
+    return v.select("horizon", "set_id", "model_type", "panel_mode", "hpo_variant", "accuracy", "family", "mcnemar_q_value_bh_vs_econ", "mcnemar_significant_bh_vs_econ")
 
 
 @query("benjamini_hochberg", "SELECT *, coalesce(q_value_bh < 0.05, FALSE) AS significant_bh FROM bh", ["bh"], doubles="p_value_raw q_value_bh")

@@ -18,6 +18,10 @@ WINDOW_DEFAULTS = {"train_window_mode": ("string", "expanding"),
                    "rolling_window_days": ("double", None)}
 NO_SENTIMENT_TOKENS = ["", "none", "nan", "null", "-"]
 
+# How a tuned fit came about.
+HPO_OK = "ok"
+HPO_FALLBACKS = ("fallback_insufficient_data", "fallback_all_failed", "fallback_refit_failed")
+
 NAIVE = "NAIVE"
 ECON = "ECON"
 

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.identity import HPO_FALLBACKS, HPO_OK
 from ..functions.times import DAY_MICROS
 from .preprocessing import WINSOR_FEATURES, WINSOR_MIN, WINSOR_Q
 from .windows import INIT_FRACTION, MIN_INIT, MIN_TRAIN, VALIDATION_FRACTION, _axis, chunked_rows, first_test_index
@@ -113,9 +114,9 @@ def tune(x, y, tk, ts, features, fe, grid, objective, by_time):
         n = len(ts)
         n_val = min(max(int(round(n * VALIDATION_FRACTION)), 1), n - 1) if n >= 2 else 0
         inner = np.arange(n) < n - n_val
-    best, best_c, status = None, DEFAULT_C, "ok"
+    best, best_c, status = None, DEFAULT_C, HPO_OK
     if inner.sum() < MIN_INNER or (~inner).sum() < MIN_VALIDATION or len(np.unique(y[inner])) < 2:
-        status = "fallback_insufficient_data"
+        status = HPO_FALLBACKS[0]
     else:
         pre = Preprocessor(x[inner], tk[inner], features, fe)
         a, b = pre(x[inner], tk[inner]), pre(x[~inner], tk[~inner])
@@ -127,11 +128,11 @@ def tune(x, y, tk, ts, features, fe, grid, objective, by_time):
             if np.isfinite(s) and (best is None or s < best):
                 best, best_c = s, c
         if best is None:
-            status = "fallback_all_failed"
+            status = HPO_FALLBACKS[1]
     try:
         pre, w = _fit(x, y, tk, features, fe, best_c)
     except (np.linalg.LinAlgError, FloatingPointError):
-        best_c, status = DEFAULT_C, "fallback_refit_failed"
+        best_c, status = DEFAULT_C, HPO_FALLBACKS[2]
         pre, w = _fit(x, y, tk, features, fe, best_c)
     score = None if best is None else (-best if objective == "accuracy" else best)
     return pre, w, best_c, score, status
@@ -176,16 +177,18 @@ def _with_sets(rows, sets, columns):
 
 
 def panel_walk_forward(df: DataFrame, sets, days=180, chunk_days=30, c=DEFAULT_C, grid=None, objective="log_loss",
-                       fixed_effects=False, fraction=INIT_FRACTION, least=MIN_INIT, min_train=MIN_TRAIN) -> DataFrame:
+                       fixed_effects=False, fraction=INIT_FRACTION, least=MIN_INIT, min_train=MIN_TRAIN, tests=None) -> DataFrame:
     """Rolling-window panel logit: one fit per test time and feature set.
 
     ``sets`` maps a set id to its feature columns. Test times are cut into chunks of ``chunk_days``; rows go
     to every chunk whose windows see them, and (set, chunk) groups run in parallel. A group holds the
-    universe times (days + chunk_days) bars; the model itself needs a window's rows together.
+    universe times (days + chunk_days) bars; the model itself needs a window's rows together. ``tests`` is a condition on
+    ``timestamp`` that limits the test times, not the training rows.
     """
     feats = sorted({f for fs in sets.values() for f in fs})
     cols = ["timestamp", "ticker", "target", *feats]
-    ax = _axis(df).where(F.col("_i") >= first_test_index(fraction=fraction, least=least)).select(F.col("timestamp").alias("_test"))
+    ax = _axis(df).where(F.col("_i") >= first_test_index(fraction=fraction, least=least))
+    ax = (ax if tests is None else ax.where(tests)).select(F.col("timestamp").alias("_test"))
     rows = chunked_rows(df.select(*cols), days, chunk_days).join(
         ax, (F.col("timestamp") == F.col("_test")) & (F.col("_home") == F.col("chunk")), "left")
     rows = _with_sets(rows.withColumn("_is_test", F.col("_test").isNotNull()), sets, [*cols, "chunk", "_is_test"])

@@ -215,19 +215,22 @@ def benjamini_hochberg(records: DataFrame, p="p_value_raw", family="family", tie
         "significant_bh": F.coalesce(F.col("q_value_bh") < alpha, F.lit(False))}).drop("_r", "_n", "_q")
 
 
-def test_id(family, horizon, set_id):
-    return F.concat_ws("|", family, horizon, set_id)
+RUN = ["set_id", "model_type", "panel_mode", "hpo_variant"]
+
+
+def test_id(family, horizon, *run):
+    return F.concat_ws("|", family, horizon, *run)
 
 
 def _records(df, family, p, metric, horizon="horizon"):
     return df.select(
-        test_id(F.lit(family), F.col(horizon), F.col("set_id")).alias("test_id"), F.lit(family).alias("family"),
-        F.col(horizon).alias("horizon"), "set_id", F.lit(metric).alias("metric"), F.col(p).cast("double").alias("p_value_raw"))
+        test_id(F.lit(family), F.col(horizon), *RUN).alias("test_id"), F.lit(family).alias("family"),
+        F.col(horizon).alias("horizon"), *RUN, F.lit(metric).alias("metric"), F.col(p).cast("double").alias("p_value_raw"))
 
 
 def assemble_families(ll=None, incremental=None, vol_diff=None, size_diff=None, ll_contrasts=None,
                       acc_contrasts=None, sentiment_only=None) -> DataFrame:
-    """All test records with their q-values; each family is corrected on its own."""
+    """All test records with their q-values; each family is corrected on its own. Two records of one test fail the job."""
     parts = []
     if ll is not None:
         parts.append(_records(ll, "A_H1_logloss", "p_boot" if "p_boot" in ll.columns else "p_hac", "log_loss"))
@@ -241,7 +244,10 @@ def assemble_families(ll=None, incremental=None, vol_diff=None, size_diff=None,
             parts.append(_records(c, fam, "p_value_raw", m, "horizon_pair"))
     if sentiment_only is not None:
         parts.append(_records(sentiment_only, "EXPL_sentiment_only_directional", "mcnemar_pval", "accuracy"))
-    return benjamini_hochberg(reduce(DataFrame.unionByName, parts))
+    records = reduce(DataFrame.unionByName, parts)
+    again = F.count(F.lit(1)).over(W.partitionBy("test_id")) > 1
+    unique = F.when(again, F.raise_error(F.concat(F.lit("two records of test "), "test_id"))).otherwise(F.col("test_id"))
+    return benjamini_hochberg(records.withColumn("test_id", unique))
 
 
 def family_manifest(corrected: DataFrame) -> DataFrame:
@@ -256,9 +262,20 @@ def family_manifest(corrected: DataFrame) -> DataFrame:
 
 def distribute_q(table: DataFrame, corrected: DataFrame, family, horizon="horizon") -> DataFrame:
     """Bring a family's q-values back to the table its p-values came from."""
-    q = corrected.where(F.col("family") == family).select(
-        F.col("horizon").alias(horizon), "set_id", "q_value_bh", "significant_bh").dropDuplicates([horizon, "set_id"])
-    return table.join(q, [horizon, "set_id"], "left")
+    q = corrected.where(F.col("family") == family).select(F.col("horizon").alias(horizon), *RUN, "q_value_bh", "significant_bh")
+    return table.join(q, [horizon, *RUN], "left")
+
+
+def pooled_verdicts(pooled: DataFrame, corrected: DataFrame) -> DataFrame:
+    """One corrected directional verdict per pooled row, in place of uncorrected flags.
+
+    Combined sets carry family B's, sentiment-only sets the exploratory family's; rows without a test keep nulls.
+    """
+    q = corrected.where(F.col("family").isin("B_H1_directional", "EXPL_sentiment_only_directional")).select(
+        "horizon", *RUN, "family", F.col("q_value_bh").alias("mcnemar_q_value_bh_vs_econ"),
+        F.col("significant_bh").alias("mcnemar_significant_bh_vs_econ"), F.col("p_value_raw").isNotNull().alias("_tested"))
+    q = q.where("_tested").drop("_tested")
+    return pooled.drop("significant_vs_econ", "significant_vs_benchmark").join(q, ["horizon", *RUN], "left")
 
 
 def support_class(prob_sig, dir_sig):

@@ -3,7 +3,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.identity import GROUP_KEYS
+from ..functions.identity import GROUP_KEYS, HPO_OK
 from ..functions.numeric import brier, clip_prob, log_loss, ratio
 
 # Default trading thresholds and the distance from one half that counts as imbalance.
@@ -75,15 +75,20 @@ def _finish(g, dp):
 
 
 def metrics_summary(signals: DataFrame, keys=GROUP_KEYS, dp=6) -> DataFrame:
-    """A pooled row and a row per ticker for each run, from one pass (grouping sets)."""
+    """A pooled row and a row per ticker for each run, from one pass (grouping sets), with the tuning columns where runs were tuned."""
     from pyspark.sql.functions import grouping
     full = [F.col(k) for k in (*keys, "ticker")]
     sets = [[F.col(k) for k in keys], full]
     g = signals.groupingSets(sets, *full).agg(
         *outcome_counts(), grouping("ticker").alias("_pooled"), F.max("category").alias("category"),
         F.min("timestamp").alias("first_test_timestamp"), F.max("timestamp").alias("last_test_timestamp"))
-    return _finish(g, dp).withColumn(
+    out = _finish(g, dp).withColumn(
         "ticker", F.when(F.col("_pooled") == 1, "pooled").otherwise(F.col("ticker"))).drop("_pooled")
+    if "hpo_enabled" not in signals.columns:
+        return out
+    every = [*keys, "ticker"]
+    tuned = hpo_summary(signals, keys).withColumn("ticker", F.lit("pooled")).unionByName(hpo_summary(signals, every)).drop("n_tuned")
+    return out.join(tuned, every, "left")
 
 
 def trade_mask(threshold: Column, prob="probability") -> Column:
@@ -178,19 +183,28 @@ def summary_sections(pooled: DataFrame, vol: DataFrame = None, thresholds: DataF
 
 
 def hpo_summary(signals: DataFrame, keys=GROUP_KEYS) -> DataFrame:
-    """Median and most common chosen C, and how often each tuning status occurred.
+    """Objective, median and most common choices, and the counts of all tuning statuses, of tuned rows.
 
-    C comes from the search grid, so its exact median keeps as many entries as the grid has values.
+    Only rows with ``hpo_enabled`` count (all, where that column is missing); a null status is an ok one, and ties of the most common go to the
+    smaller. One histogram of (C, class weight, status) per group carries everything, so the state is bounded by the search grid.
     """
-    per = signals.groupBy(*keys).agg(
-        F.median("best_C").alias("median_best_C"), F.count("best_C").alias("n_tuned"),
-        F.count_if(F.col("hpo_status") == "ok").alias("n_ok"),
-        F.count_if(F.col("hpo_status") == "insufficient_data").alias("n_insufficient_data"),
-        F.count_if(F.col("hpo_status") == "all_failed").alias("n_all_failed"),
-        F.count_if(F.col("hpo_status") == "refit_failed").alias("n_refit_failed"))
-    mode = signals.where(F.col("best_C").isNotNull()).groupBy(*keys, "best_C").agg(F.count(F.lit(1)).alias("_n")) \
-        .groupBy(*keys).agg(F.max_by("best_C", F.struct("_n", -F.col("best_C"))).alias("mode_best_C"))
-    return per.join(mode, list(keys), "left")
+    absent = {c: F.lit(None).cast(k) for c, k in (("best_class_weight", "string"), ("hpo_objective", "string")) if c not in signals.columns}
+    rows = signals.withColumns(absent) if absent else signals
+    rows = rows.where(F.coalesce("hpo_enabled", F.lit(False))) if "hpo_enabled" in rows.columns else rows
+    rows = rows.withColumns({"best_C": F.col("best_C").cast("double"), "hpo_status": F.coalesce("hpo_status", F.lit(HPO_OK))})
+    hist = rows.groupBy(*keys, "best_C", "best_class_weight", "hpo_status").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("hpo_objective").alias("hpo_objective"))
+
+    def most_common(column, name):
+        known = hist.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.sum("_n").alias("_n"))
+        return known.groupBy(*keys).agg(F.min_by(column, F.struct(-F.col("_n"), column)).alias(name))
+
+    statuses = hist.groupBy(*keys, "hpo_status").agg(F.sum("_n").alias("_n")).groupBy(*keys).agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "hpo_status", F.col("_n").cast("string")))), ";").alias("hpo_status_counts"))
+    out = rows.groupBy(*keys).agg(F.max("hpo_objective").alias("hpo_objective"), F.median("best_C").alias("best_C_median"), F.count(F.lit(1)).alias("n_tuned"))
+    for part in (most_common("best_C", "best_C_mode"), most_common("best_class_weight", "best_class_weight_mode"), statuses):
+        out = out.join(part, list(keys), "left")
+    return out
 
 
 def confusion_matrix(df: DataFrame, truth, pred, labels) -> DataFrame:

@@ -16,7 +16,7 @@ def evaluate(signals: DataFrame, ohlc: DataFrame, caps: DataFrame, returns: Data
     ``returns`` (horizon, ticker, timestamp, forward_log_return) the backtest.
     """
     spark = signals.sparkSession
-    signals = with_group_defaults(signals)
+    signals = reuse(with_group_defaults(signals))
     universe = signals.select("ticker").distinct()
     vol = regimes.volatility_lookup(ohlc)
     size = regimes.size_lookup(caps, universe)
@@ -36,7 +36,7 @@ def evaluate(signals: DataFrame, ohlc: DataFrame, caps: DataFrame, returns: Data
     size_table = reuse(regimes.size_table(sig))
     inter = reuse(regimes.interaction_table(sig))
     mcnemar = reuse(matching.mcnemar_table(pairs))
-    incremental = reuse(matching.incremental_value(signals, mapping))
+    incremental = reuse(matching.incremental_value(sig, mapping))
     d = matching.improvement_indicator(combined)
     vol_diff = reuse(inference.cluster_difference(d, GROUP_KEYS, regime="vol_regime", treatment="high", control="low"))
     size_diff = reuse(inference.cluster_difference(d, GROUP_KEYS, regime="mcap_regime", treatment="small", control="large"))
@@ -52,7 +52,7 @@ def evaluate(signals: DataFrame, ohlc: DataFrame, caps: DataFrame, returns: Data
     perf = reuse(backtest.high_low_backtest(merged))
     return {
         "completeness": complete,
-        "pooled_metrics": pooled,
+        "pooled_metrics": inference.pooled_verdicts(pooled, families),
         "ticker_metrics": metrics.classification_metrics(sig, [*GROUP_KEYS, "ticker"]),
         "class_balance": metrics.class_balance(sig),
         "threshold_analysis": thresholds,
@@ -69,7 +69,7 @@ def evaluate(signals: DataFrame, ohlc: DataFrame, caps: DataFrame, returns: Data
         "difference_volatility": inference.distribute_q(vol_diff, families, "C_H2_volatility"),
         "difference_size": inference.distribute_q(size_diff, families, "D_H3_marketcap"),
         "incremental_value": inference.distribute_q(incremental, families, "B_H1_directional"),
-        "absolute_vs_naive": matching.absolute_vs_naive(signals),
+        "absolute_vs_naive": matching.absolute_vs_naive(sig),
         "logloss_test": inference.distribute_q(ll, families, "A_H1_logloss"),
         "accuracy_test": acc,
         "horizon_contrasts": c_ll.unionByName(c_acc),

@@ -1,4 +1,8 @@
-"""End-to-end jobs: final matrix, forecasts, price validation. Each returns lazy tables."""
+"""End-to-end jobs: final matrix, forecasts, price validation.
+
+Tables that several steps read (bars, the final matrix, forecasts) are written to the shared folder while the plan is built; what is returned
+reads them.
+"""
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +39,11 @@ def run_models(final: DataFrame, horizon, set_ids=None, days=180, grid=forecasts
     rows = [r for r in set_rows() if set_ids is None or r[0] in set_ids]
     sets = {r[0]: r[4] for r in rows}
     final = reuse(final)
+    # The sample holds for test times; training windows still reach back before it.
+    tests = in_forecast_sample(*sample, forecast_origin("timestamp", F.lit(horizon))) if sample else None
     fit = forecasts.panel_walk_forward(
         final, sets, days, chunk_days, grid=grid, objective=objective, fixed_effects=panel_mode == "ticker_fixed_effects",
-        fraction=fraction, least=least)
+        fraction=fraction, least=least, tests=tests)
     naive = windows.panel_rolling_probability(final, days, fraction, least).withColumn("set_id", F.lit(NAIVE))
     out = fit.unionByName(naive, allowMissingColumns=True)
     meta = final.sparkSession.createDataFrame(
@@ -48,9 +54,9 @@ def run_models(final: DataFrame, horizon, set_ids=None, days=180, grid=forecasts
         "horizon": F.lit(horizon), "model_type": F.lit("panel_logit"), "panel_mode": F.lit(panel_mode),
         "hpo_variant": F.lit(tuned), "hpo_objective": F.lit(objective if grid else None).cast("string")})
     out = windows.stamp_window(out, days, BARS_PER_DAY[horizon]).withColumn("forecast_origin", forecast_origin())
+    out = out.where(tests) if sample else out
     universe = final.select("ticker")
-    out = forecasts.stamp_universe(out, universe, universe)
-    return out.where(in_forecast_sample(*sample)) if sample else out
+    return forecasts.stamp_universe(reuse(out), universe, universe)
 
 
 def validate_prices(bars: DataFrame, reference: DataFrame = None, seq="seq") -> dict:

@@ -180,13 +180,20 @@ def test_whole_chain(spark, tmp_path):
     final = final_matrix(b, c, p, "1d")
     assert final.count() == 4 * (n - 22)
     s = run_models(final, "1d", ["ECON", "SENT_VAD_L", "ECON_VAD_L"], days=40, grid=None, sample=None)
-    from barweave.session import reuse
-    s = reuse(s)
+    def fits(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas")
+    assert fits(s) == 0  # forecasts are stored, not fitted again by each reader
+    late = run_models(final, "1d", ["ECON"], days=40, grid=None, sample=("2022-04-10", "2022-04-20"))
+    whole = s.where("set_id in ('ECON', 'NAIVE') and forecast_origin >= timestamp'2022-04-10' and forecast_origin < timestamp'2022-04-20'")
+    both = [sorted(map(tuple, x.select("set_id", "ticker", "timestamp", F.round("probability", 12)).collect())) for x in (late, whole)]
+    assert both[0] == both[1] and len(both[0]) == 80
     ids = {r["set_id"]: r["count"] for r in s.groupBy("set_id").count().collect()}
     assert set(ids) == {"ECON", "SENT_VAD_L", "ECON_VAD_L", "NAIVE"} and len(set(ids.values())) == 1
     fr = P.forward_returns(b.select("ticker", "timestamp", "close")).select(F.lit("1d").alias("horizon"), "ticker", "timestamp", "forward_log_return")
     canon = c.withColumn("ticker", F.when(F.col("ticker") == "XNO", "NANO").otherwise(F.col("ticker")))
     tables = evaluate(s, b.withColumnRenamed("timestamp", "date"), canon, fr, n_boot=500)
+    fit_free = [n for n in tables if n not in ("logloss_test", "accuracy_test", "horizon_contrasts")]
+    assert all(fits(tables[n]) == 0 for n in fit_free)
     for name, df in tables.items():
         rows = df.limit(1000).toPandas()
         assert len(rows) > 0 or name == "threshold_lift", name
