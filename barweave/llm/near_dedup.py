@@ -25,7 +25,8 @@ from .common import free_name, same
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
-POINTS = 1 << 20  # points held at a time
+POINTS = 1 << 18  # points held at a time
+TEXTS = 256  # texts signed at a time
 _WORD = re.compile(r"[^\W_]+")
 _G = np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,7 +81,7 @@ _WORDS = {}
 def _word_hash(w):
     h = _WORDS.get(w)
     if h is None:
-        if len(_WORDS) > 200_000:
+        if len(_WORDS) > 100_000:
             _WORDS.clear()
         import xxhash
         h = _WORDS[w] = xxhash.xxh64_intdigest(w)
@@ -170,17 +171,22 @@ def band_keys(sig, bands, rows):
     return out.view(np.int64)
 
 
+def _slices(batches, n):
+    for batch in batches:
+        for i in range(0, batch.num_rows, n):
+            yield batch.slice(i, n)
+
+
 def _sign(bands, rows, k):
     def run(batches):
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            fresh, bags, empty = [], [], []
-            seen = set()
-            for i, (node, text) in enumerate(zip(ids.to_pylist(), texts)):
-                if node in seen:  # copies within a batch are signed once
+        for batch in _slices(batches, TEXTS):
+            ids = batch.column(0)
+            fresh, bags, seen = [], [], set()
+            for i, (node, text) in enumerate(zip(ids.to_pylist(), batch.column(1))):
+                if node in seen:  # copies side by side are signed once
                     continue
                 seen.add(node)
-                w = words(text)
+                w = words(text.as_py())
                 if w:
                     fresh.append(i), bags.append(_hashes(w, k))
             if fresh:
@@ -222,22 +228,26 @@ def _agreeing(pairs, sigs, floor, bands, rows):
 
 
 def _verified(pairs, texts, similarity, k):
-    @F.pandas_udf("double")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        held = {}
+    def run(batches):
+        for batch in batches:
+            held, found = {}, []
+            a, b, ta, tb = batch.columns
+
+            def bag(node, text):  # the first of a bucket comes up again and again
+                if node not in held:
+                    if len(held) >= 8:
+                        held.pop(next(iter(held)))
+                    held[node] = shingles(text.as_py(), k)
+                return held[node]
 
-        def bag(t):
-            if t not in held:
-                if len(held) > 64:
-                    held.clear()
-                held[t] = shingles(t, k)
-            return held[t]
-        return pd.Series([bag_similarity(bag(p), bag(q)) for p, q in zip(x, y)], dtype=float)
+            for p, q, x, y in zip(a.to_pylist(), b.to_pylist(), ta, tb):
+                found.append(bag_similarity(bag(p, x), bag(q, y)))
+            keep = np.flatnonzero(np.array(found) >= similarity - 1e-12)
+            yield pa.RecordBatch.from_arrays([a.take(pa.array(keep)), b.take(pa.array(keep)), pa.array(np.array(found)[keep])], names=["a", "b", "similarity"])
 
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return (pairs.join(a, "a").join(b, "b").withColumn("similarity", alike("ta", "tb")).where(F.col("similarity") >= similarity - 1e-12)
-            .select("a", "b", "similarity"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
