@@ -14,7 +14,7 @@ PRICE = ["log_return_t", "volume_diff", "realized_vol_14d"]
 
 
 def _empty(f):
-    n = D.neutral_of(f) if D.is_sentiment(f) else None
+    n = registry.neutral_values(f)[1] if registry.group_of(f) == "sentiment" else None
     return f"{f} IS NULL" + (f" OR ({f} = {n} AND post_count = 0)" if n is not None else "")
 
 
@@ -97,7 +97,7 @@ def _(t):
  count(*) * 1.0 / count(DISTINCT ticker) AS avg_rows_per_ticker, (SELECT min(n) FROM (SELECT count(*) n FROM gappy GROUP BY ticker)) AS min_rows_per_ticker,
  (SELECT max(n) FROM (SELECT count(*) n FROM gappy GROUP BY ticker)) AS max_rows_per_ticker, sum({' + '.join(f'CAST({f} IS NULL AS INT)' for f in WIN)}) AS total_missing_values,
  sum({' + '.join(f'CAST({f} IS NULL AS INT)' for f in WIN)}) * 1.0 / (count(*) * {len(WIN)}) AS global_missing_share,
- sum({' + '.join(f'CAST(coalesce({_empty(f).replace("post_count", "coalesce(post_count, 0)")}, FALSE) AS INT)' for f in WIN if D.is_sentiment(f))}) AS total_structural_empty_rows,
+ sum({' + '.join(f'CAST(coalesce({_empty(f).replace("post_count", "coalesce(post_count, 0)")}, FALSE) AS INT)' for f in WIN if registry.group_of(f) == "sentiment")}) AS total_structural_empty_rows,
  avg(coalesce(post_count, 0)) AS average_posts_per_time_unit, count(*) FILTER (coalesce(post_count, 0) = 0) * 1.0 / count(*) AS share_rows_without_posts,
  count(*) - count(DISTINCT (ticker, timestamp)) AS duplicate_ticker_timestamp_rows FROM gappy""", ["gappy"],
        doubles="avg_rows_per_ticker global_missing_share average_posts_per_time_unit share_rows_without_posts",

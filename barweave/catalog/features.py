@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import prices, slots
+from ..sources import registry
 from ..sources import standins as S
 from .base import cte, query, with_ctes
 
@@ -164,7 +165,7 @@ def _(t):
 def _fill_sql():
     cols = []
     for c in SLOT_DOUBLES.split() + SLOT_LONGS.split():
-        cols.append(f"coalesce(s.{c}, {slots.neutral_value(c)}) AS {c}")
+        cols.append(f"coalesce(s.{c}, {registry.neutral_values(c)[0]}) AS {c}")
     return ", ".join(cols)
 
 

@@ -4,12 +4,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import usable_text
 from ..functions.times import bar_floor, bar_micros, micros
+from ..sources.registry import neutral_values
 from .quantiles import percentiles
 
-# Scorers, blend weights, neutral fills and the coverage bar (percent).
+# Scorers, blend weights and the coverage bar (percent).
 SCORERS = ("vader", "cryptobert")
 TITLE_WEIGHT, BODY_WEIGHT = 0.7, 0.3
-RATIO_FILL, SCORE_FILL, COUNT_FILL = 0.5, 0.0, 0
 COVERAGE_BAR = 70.0
 CROWD = 100_000  # posts of a slot up to which a median may be kept in one task
 
@@ -85,19 +85,8 @@ def covered_tickers(price: DataFrame, coverage: DataFrame, horizon, threshold=85
     return price.join(keep, "ticker", "left_semi")
 
 
-def neutral_value(name):
-    """Neutral fill by column name; None for columns that stay as they are."""
-    if name.endswith("_weighted_mean"):
-        return None
-    if name == "post_count" or name.endswith("_post_count"):
-        return COUNT_FILL
-    if "bullishness_ratio" in name:
-        return RATIO_FILL
-    return SCORE_FILL
-
-
 def neutral_fill(df: DataFrame, columns) -> DataFrame:
-    fills = {c: neutral_value(c) for c in columns if neutral_value(c) is not None}
+    fills = {c: neutral_values(c)[0] for c in columns if neutral_values(c)[0] is not None}
     return df.fillna(fills) if fills else df
 
 

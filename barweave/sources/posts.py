@@ -119,22 +119,18 @@ def attach_set_metadata(signals: DataFrame, feature_sets: DataFrame) -> DataFram
     return signals.drop("category", "label").join(meta, "set_id", "left")
 
 
+def _known_headers(columns):
+    """Which column stands for which known name: of several candidates the one whose header is listed first."""
+    rank = {alias: (i, name) for name, aliases in PROVENANCE_NAMES.items() for i, alias in enumerate(aliases)}
+    found = sorted((*rank[key], c) for c in columns if (key := "_".join(c.lower().split())) in rank)
+    return {c: name for _, name, c in reversed({n: (i, n, c) for i, n, c in reversed(found)}.values())}
+
+
 def normalise_provenance(df: DataFrame, source) -> DataFrame:
-    """Recognised headers under one name each; labels trimmed."""
-    lower = {c.strip().lower().replace(" ", "_"): c for c in df.columns}
-    taken, out = set(), []
-    for name, options in PROVENANCE_NAMES.items():
-        hit = next((lower[o] for o in options if o in lower and lower[o] not in taken), None)
-        if hit:
-            taken.add(hit)
-            out.append(F.col(f"`{hit}`").alias(name))
-    out += [F.col(f"`{c}`") for c in df.columns if c not in taken]
-    df = df.select(*out).withColumn("source_file", F.lit(source))
-    if "horizon" in df.columns:
-        df = df.withColumn("horizon", F.lower(F.trim(F.col("horizon").cast("string"))))
-    if "coin" in df.columns:
-        df = df.withColumn("coin", F.upper(F.trim(F.col("coin").cast("string"))))
-    return df
+    """Recognised headers under one name each; bar widths in lower case, coins in upper case."""
+    df = df.withColumnsRenamed(_known_headers(df.columns))
+    tidy = {c: fn(F.trim(F.col(c).cast("string"))) for c, fn in (("horizon", F.lower), ("coin", F.upper)) if c in df.columns}
+    return df.withColumns(tidy | {"source_file": F.lit(source)})
 
 
 def union_provenance(frames) -> DataFrame:

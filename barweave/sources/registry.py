@@ -1,4 +1,6 @@
 """The registered feature sets: one benchmark, four blocks per scorer alone, and each block on top."""
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,16 @@ BLOCKS = {
 CORE = ["log_return_t", "cum_log_return_7d", "cum_log_return_14d", "cum_log_return_21d", "realized_vol_14d",
         "volume_diff", "log_market_cap_lag1"]
 
-# Members of the feature groups.
-PRICE_GROUP = ["log_return_t", "cum_log_return_7d", "cum_log_return_14d", "cum_log_return_21d"]
-ATTENTION = ["post_count", "log1p_post_count", "has_posts"]
+# Name patterns of the feature groups, first fit counts.
+GROUP_RULES = [
+    ("price", r"^(log_return_t|cum_log_return_(7|14|21)d)$"), ("volatility", r"^realized_vol_14d$"), ("volume", r"^volume_diff$"),
+    ("market_cap", r"^log_market_cap_lag1$"), ("sentiment", r"^(vader|cryptobert)_|bullishness|sentiment|^(log1p_)?post_count$|^has_posts$"),
+]
+
+# Name patterns with the fill of an empty slot and the value that marks one, first fit counts.
+NEUTRAL_RULES = [
+    (r"_weighted_mean$", None, 0.0), (r"(^|_)post_count$", 0, None), (r"bullishness", 0.5, 0.5), (r"_mean|_score", 0.0, 0.0), (r"", 0.0, None),
+]
 
 
 def set_rows():
@@ -63,11 +72,27 @@ def membership(sets: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set("set_id")), ";").alias("feature_set_ids"))
 
 
+def group_of(name):
+    """Group of a feature name: the first rule that fits."""
+    return next((group for group, rule in GROUP_RULES if re.search(rule, name.lower())), "other")
+
+
 def feature_group(name):
-    """Group of a feature, for a name given as a column."""
-    f = F.lower(name)
-    senti = f.startswith("vader_") | f.startswith("cryptobert_") | f.contains("bullishness") | f.contains("sentiment") \
-        | f.isin(ATTENTION)
-    return F.when(f.isin(PRICE_GROUP), "price").when(f == "realized_vol_14d", "volatility") \
-        .when(f == "volume_diff", "volume").when(f == "log_market_cap_lag1", "market_cap") \
-        .when(senti, "sentiment").otherwise("other")
+    """The same for a name given as a column."""
+    out = F.lit("other")
+    for group, rule in reversed(GROUP_RULES):
+        out = F.when(F.lower(name).rlike(rule), group).otherwise(out)
+    return out
+
+
+def neutral_values(name):
+    """(fill, sign): what a slot without posts is filled with, and the value that marks such a slot; None where there is none."""
+    return next((fill, sign) for rule, fill, sign in NEUTRAL_RULES if re.search(rule, name.lower()))
+
+
+def count_partner(name, columns):
+    """The post count that tells whether a sentiment feature's slot was empty: its scorer's own before the common one."""
+    if group_of(name) != "sentiment":
+        return None
+    own = [f"{m}_post_count" for m in SCORER_TAGS.values() if name.lower().startswith(f"{m}_")]
+    return next((c for c in [*own, "post_count"] if c in columns), None)

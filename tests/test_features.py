@@ -105,7 +105,11 @@ def test_empty_slot_is_filled_neutrally(spark):
     r = {x["timestamp"].day: x for x in Z.merge_features(price, s).collect()}[3]
     assert r["vader_bullishness_ratio"] == 0.5 and r["vader_title_score_mean"] == 0 and r["post_count"] == 0
     assert r["log1p_post_count"] == 0 and r["has_posts"] == 0 and r["r"] is None
-    assert Z.neutral_value("vader_score_weighted_mean") is None
+    from barweave.sources.registry import count_partner, group_of, neutral_values
+    assert neutral_values("vader_score_weighted_mean") == (None, 0.0) and neutral_values("post_count") == (0, None) and neutral_values("vader_title_score_std") == (0.0, 0.0)
+    assert neutral_values("cryptobert_bullishness_ratio") == (0.5, 0.5) and group_of("Realized_vol_14d") == "volatility" and group_of("x_post_count") == "other"
+    assert count_partner("vader_title_score_mean", ["post_count", "vader_post_count"]) == "vader_post_count" and count_partner("has_posts", ["post_count"]) == "post_count"
+    assert count_partner("volume_diff", ["post_count"]) is None and count_partner("vader_title_score_mean", ["x"]) is None
 
 
 def test_stream_emits_completed_slots_once(spark, tmp_path):
