@@ -6,6 +6,7 @@ from ..sources.standins import SETS, Tables
 
 REGISTRY = {}
 CTES = {}
+STORED = {"signals", "pairs"}  # read by many others
 
 
 def cte(name, sql, *deps):
@@ -25,7 +26,7 @@ def with_ctes(final, *names):
         visit(n)
     if not order:
         return final
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][0]})" for n in order) + "\n" + final
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in STORED else ''}({CTES[n][0]})" for n in order) + "\n" + final
 
 
 def query(name, final=None, ctes=(), doubles="", longs="", dp=6):

@@ -48,9 +48,9 @@ def _(t):
     return tf(t).drop("skewness", "kurtosis")
 
 
-@query("feature_moments_by_ticker", "SELECT ticker, feature, skewness, kurtosis FROM fstats WHERE feature <> 'log1p_post_count'", ["fstats"], doubles="skewness kurtosis", dp=4)
+@query("feature_moments_by_ticker", "SELECT ticker, feature, skewness, kurtosis FROM fstats", ["fstats"], doubles="skewness kurtosis", dp=4)
 def _(t):
-    return tf(t).where("feature <> 'log1p_post_count'").select("ticker", "feature", "skewness", "kurtosis")
+    return tf(t).select("ticker", "feature", "skewness", "kurtosis")
 
 
 @query("feature_stats_pooled", f"""SELECT 'x' AS horizon, feature, feature_group, n_obs_total, mean, std, min, max, {', '.join(Q.values())}, mean_missing_share_across_tickers, max_missing_share_across_tickers,
@@ -66,14 +66,17 @@ def _(t):
 
 
 WIN = ["log_return_t", "cum_log_return_21d", "realized_vol_14d", "vader_selftext_score_mean", "vader_bullishness_ratio"]
-WINSQL = "(SELECT p.*, s.vader_selftext_score_mean, s.vader_bullishness_ratio, s.post_count FROM win_6h p LEFT JOIN (SELECT * FROM slots_6h WHERE post_count > 12) s USING (ticker, timestamp))"
+WINSQL = """(SELECT p.*, CASE WHEN s.post_count % 3 > 0 THEN s.vader_selftext_score_mean END AS vader_selftext_score_mean, CASE WHEN s.post_count % 5 > 0 THEN s.vader_bullishness_ratio END AS vader_bullishness_ratio,
+ s.post_count FROM win_6h p LEFT JOIN slots_6h s USING (ticker, timestamp))"""
 cte("gappy", f"SELECT ticker, timestamp, post_count, {', '.join(WIN)} FROM {WINSQL}", "win_6h", "slots_6h")
 
 
 def gappy(t):
-    """Price windows with posts of busy slots only, so that both kinds of columns have nulls."""
+    """Price windows with posts, the scores of some slots nulled, so that both kinds of columns have nulls."""
     p = prices.return_windows(S.bars(t, "6h"), "6h")
-    s = slot_frame(t, "6h").where("post_count > 12").select("ticker", "timestamp", "post_count", "vader_selftext_score_mean", "vader_bullishness_ratio")
+    n = F.col("post_count")
+    s = slot_frame(t, "6h").select("ticker", "timestamp", "post_count", F.when(n % 3 > 0, F.col("vader_selftext_score_mean")).alias("vader_selftext_score_mean"),
+                                   F.when(n % 5 > 0, F.col("vader_bullishness_ratio")).alias("vader_bullishness_ratio"))
     return reuse(p.join(s, ["ticker", "timestamp"], "left").select("ticker", "timestamp", "post_count", *WIN))
 
 
@@ -267,22 +270,46 @@ def _(t):
     return series.structural_breaks(long_price(t))
 
 
-def records(t):
-    r = series.series_tests(long_price(t))
-    return reuse(r.withColumns({"horizon": F.lit("1d"), "feature_group": registry.feature_group(F.col("feature"))}))
+cte("verdicts", """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '1d' ELSE '6h' END AS horizon, ['price', 'volatility', 'volume', 'sentiment'][1 + o_custkey % 4] AS feature_group,
+ CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey % 3 = 0 END AS a_c, o_orderkey % 5 < 2 AS a_ct, o_custkey % 2 = 0 AS k_c, o_custkey % 7 < 3 AS k_ct FROM orders""")
+cte("classes", """SELECT *, CASE WHEN a_c IS NULL OR a_ct IS NULL OR k_c IS NULL OR k_ct IS NULL THEN 'n/a' WHEN a_c AND NOT k_c THEN 'I(0)' WHEN a_ct AND NOT k_ct THEN 'trend-stationary'
+ WHEN NOT a_c AND k_c THEN 'I(1)' WHEN a_c AND k_c THEN 'conflicting' ELSE 'inconclusive' END AS joint_class FROM verdicts""", "verdicts")
 
 
-@query("joint_class_summary")
+def verdicts(t):
+    """Rejections of both tests under both trends, one record per order."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    groups = F.array(*map(F.lit, ("price", "volatility", "volume", "sentiment")))
+    v = t.orders.select("o_orderkey", F.when(o % 2 == 0, "1d").otherwise("6h").alias("horizon"), F.element_at(groups, (c % 4 + 1).cast("int")).alias("feature_group"),
+                        F.when(o % 11 > 0, o % 3 == 0).alias("a_c"), (o % 5 < 2).alias("a_ct"), (c % 2 == 0).alias("k_c"), (c % 7 < 3).alias("k_ct"))
+    return v.withColumn("joint_class", series.joint_class(*map(F.col, ("a_c", "a_ct", "k_c", "k_ct"))))
+
+
+@query("joint_class", "SELECT o_orderkey, joint_class FROM classes", ["classes"])
+def _(t):
+    return verdicts(t).select("o_orderkey", "joint_class")
+
+
+@query("joint_class_summary", """SELECT horizon, feature_group, joint_class, n AS count, round(n * 100.0 / sum(n) OVER (PARTITION BY horizon), 4) AS pct_within_horizon,
+ round(n * 100.0 / sum(n) OVER (PARTITION BY horizon, feature_group), 4) AS pct_within_feature_group FROM (SELECT horizon, feature_group, joint_class, count(*) AS n FROM classes GROUP BY ALL)""",
+       ["classes"], doubles="pct_within_horizon pct_within_feature_group", longs="count")
 def _(t):
-    return D.joint_class_summary(records(t))
+    return D.joint_class_summary(verdicts(t))
 
 
-@query("median_persistence")
+@query("median_persistence", """SELECT '1d' AS horizon, median(ar1_rho) AS median_ar1_rho, median(CASE WHEN ar1_rho > 0 AND ar1_rho < 1 THEN -ln(2) / ln(ar1_rho) END) AS median_halflife FROM (
+ SELECT ticker, feature, regr_slope(v, l) AS ar1_rho FROM (SELECT *, lag(v) OVER (PARTITION BY ticker, feature ORDER BY timestamp) AS l FROM slong) GROUP BY 1, 2)""", ["slong"],
+       doubles="median_ar1_rho median_halflife")
 def _(t):
-    return D.median_persistence(records(t))
+    return D.median_persistence(series.persistence(long_price(t)).withColumn("horizon", F.lit("1d")))
 
 
-@query("break_summary")
+@query("break_summary", """SELECT horizon, feature_group, feature, count(n_breaks) AS n_series, avg(n_breaks) AS mean_n_breaks, median(n_breaks) AS median_n_breaks, avg(CAST(n_breaks > 0 AS INT)) AS share_with_at_least_one_break,
+ median(half) AS median_segment_length_timestamps, avg(whole) AS mean_segment_length_timestamps FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN '1d' ELSE '6h' END AS horizon, 'price' AS feature_group,
+ 'f' || (o_custkey % 6) AS feature, CASE WHEN o_orderkey % 13 > 0 THEN o_orderkey % 4 END AS n_breaks, o_totalprice / 2 AS half, o_totalprice AS whole FROM orders) GROUP BY ALL""",
+       doubles="mean_n_breaks median_n_breaks share_with_at_least_one_break median_segment_length_timestamps mean_segment_length_timestamps", longs="n_series", dp=5)
 def _(t):
-    b = series.structural_breaks(long_price(t))
-    return D.break_summary(b.withColumns({"horizon": F.lit("1d"), "feature_group": registry.feature_group(F.col("feature"))}))
+    o = F.col("o_orderkey")
+    b = t.orders.select(F.when(o % 2 == 0, "1d").otherwise("6h").alias("horizon"), F.lit("price").alias("feature_group"), F.concat(F.lit("f"), (F.col("o_custkey") % 6).cast("string")).alias("feature"),
+                        F.when(o % 13 > 0, o % 4).alias("n_breaks"), (F.col("o_totalprice") / 2).alias("median_segment_length"), F.col("o_totalprice").alias("mean_segment_length"))
+    return D.break_summary(b)

@@ -516,7 +516,7 @@ def _diff_sql(reg, treat, ctrl):
  (SELECT *, sum(n1) OVER w AS n_treatment, sum(n0) OVER w AS n_control, sum(s1) OVER w / sum(n1) OVER w AS m1, sum(s0) OVER w / sum(n0) OVER w AS m0 FROM (
   SELECT {G}, ticker, count(*) FILTER ({reg} = '{treat}') AS n1, count(*) FILTER ({reg} = '{ctrl}') AS n0,
    coalesce(sum(correct_m - correct_b) FILTER ({reg} = '{treat}'), 0) AS s1, coalesce(sum(correct_m - correct_b) FILTER ({reg} = '{ctrl}'), 0) AS s0
-  FROM rpairs WHERE category = 'combined' AND horizon = '1d' AND {reg} IN ('{treat}', '{ctrl}') GROUP BY {G}, ticker) WINDOW w AS (PARTITION BY {G})) GROUP BY {G})))"""
+  FROM rpairs WHERE category = 'combined' AND {reg} IN ('{treat}', '{ctrl}') GROUP BY {G}, ticker) WINDOW w AS (PARTITION BY {G})) GROUP BY {G})))"""
 
 
 DIFF_D, DIFF_L = "mean_d_treatment mean_d_control diff_in_improvement se_diff t_stat p_value", "n_treatment n_control n_clusters dof"
@@ -525,12 +525,12 @@ cte("size_diff", _diff_sql("mcap_regime", "small", "large"), "rpairs")
 
 
 def vol_diff(t):
-    p = M.improvement_indicator(_regime_pairs(t)).where("category = 'combined' and horizon = '1d'")
+    p = M.improvement_indicator(_regime_pairs(t)).where("category = 'combined'")
     return I.cluster_difference(p, GL, regime="vol_regime", treatment="high", control="low")
 
 
 def size_diff(t):
-    p = M.improvement_indicator(_regime_pairs(t)).where("category = 'combined' and horizon = '1d'")
+    p = M.improvement_indicator(_regime_pairs(t)).where("category = 'combined'")
     return I.cluster_difference(p, GL, regime="mcap_regime", treatment="small", control="large")
 
 

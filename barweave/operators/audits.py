@@ -193,8 +193,8 @@ def validation_summary(blocks) -> DataFrame:
 def interval_start_check(features: DataFrame, horizon, posts: DataFrame = None) -> DataFrame:
     """Violation counts of the interval-start contract.
 
-    The grid steps by one bar; on contiguous rows the target is the sign of the next return; posts lie
-    in the interval of their slot.
+    The grid steps by one bar; on contiguous rows the target is the sign of the next return; posts (date, slot) lie
+    in the interval of the slot they were booked in.
     """
     h = BAR_SECONDS[horizon] * 1_000_000
     step = grid_summary(features.select("ticker", F.lit(horizon).alias("horizon"), "timestamp"))
@@ -208,7 +208,7 @@ def interval_start_check(features: DataFrame, horizon, posts: DataFrame = None)
     out = grid.unionByName(nxt.agg(F.count_if(bad).alias("n_violations")).select(
         F.lit("target_is_next_bar").alias("check"), "n_violations"))
     if posts is not None:
-        s, p = micros(bar_floor("date", horizon)), micros("date")
+        s, p = micros("slot"), micros("date")
         out = out.unionByName(posts.agg(F.count_if(~((p >= s) & (p < s + h))).alias("n_violations")).select(
             F.lit("no_future_post_in_slot").alias("check"), "n_violations"))
     return out

@@ -231,5 +231,5 @@ def class_report(df: DataFrame, truth, pred, labels) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, key, n, seed=42) -> DataFrame:
-    """A reproducible sample of n rows: the n smallest salted hashes (ordered limit, no full sort)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """A reproducible sample of n rows: the n smallest digests of key and seed (ordered limit, no full sort)."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)).limit(n)
