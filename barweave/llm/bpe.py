@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 LONG_WORD = 400
 RANK_BUCKETS = 1 << 15
 _BYTES = [bytes([i]) for i in range(256)]

@@ -2,6 +2,19 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import use_utc
+
+
+BATCH_ROWS = 1000  # rows that travel to Python at a time; texts can be long
+
+
+def prepared(spark):
+    """The session with UTC times and batches that stay small with long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return use_utc(spark)
+
 
 def table(spark, sf_dir, name) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,10 +1,10 @@
 """The registered queries of the training-data operators, and their SQL where it can say the same."""
 from pyspark.sql import functions as F
 
-from ..session import reuse, use_utc
+from ..session import reuse
 from .ann import nearest
 from .bpe import round_trip
-from .common import table
+from .common import prepared, table
 from .exact_dedup import exact_groups
 from .fixity import audit, page_records
 from .licenses import license_notices
@@ -19,7 +19,7 @@ QUERIES, ORACLES = {}, {}
 
 def query(name, sql=None):
     def put(fn):
-        QUERIES[name] = lambda spark, sf_dir: fn(use_utc(spark), sf_dir)
+        QUERIES[name] = lambda spark, sf_dir: fn(prepared(spark), sf_dir)
         if sql is not None:
             ORACLES[name] = sql
         return fn

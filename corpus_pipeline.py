@@ -7,45 +7,50 @@ are written by then.
 from pyspark.sql import functions as F
 
 from barweave.llm.bpe import round_trip
-from barweave.llm.common import table
+from barweave.llm.common import prepared, table
 from barweave.llm.exact_dedup import drop_exact
 from barweave.llm.mixing import mixed_documents
 from barweave.llm.near_dedup import drop_near
 from barweave.llm.quality import keep_good
-from barweave.session import drop, release, store, use_utc
+from barweave.session import drop, release, store
 
 #: The quality model, the signatures and the token ids are not expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
+def begin(spark):
+    prepared(spark)
+    release()
+
+
 def quality(spark, docs, sf_dir):
     """Documents the quality model does not reject."""
-    release()
+    begin(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark, docs, sf_dir):
     """Of documents equal but for the case of A-Z, the one with the largest doc_id."""
-    release()
+    begin(spark)
     return drop_exact(docs)
 
 
 def near(spark, docs, sf_dir):
     """One document of each class of near-duplicates, the one with the smallest doc_id."""
-    release()
+    begin(spark)
     return drop_near(docs)
 
 
 def mixing(spark, docs, sf_dir):
     """The mix of sources: documents as often as taken, cut ones with the length they then have."""
-    release()
+    begin(spark)
     mixed = mixed_documents(docs)
     return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def encoding(spark, docs, sf_dir):
     """Token counts and digests of the ids and of the text they decode to, per row of the mix."""
-    release()
+    begin(spark)
     return round_trip(docs)
 
 
@@ -54,7 +59,7 @@ STAGES = [("quality classifier", quality), ("exact dedup", exact), ("MinHash nea
 
 def run(spark, sf_dir):
     """The stages applied to ``documents``. The last stage's input stays in the shared folder, as its result still reads it."""
-    docs, path = table(use_utc(spark), sf_dir, "documents"), None
+    docs, path = table(prepared(spark), sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs, new = store(stage(spark, docs, sf_dir))
         if path:
