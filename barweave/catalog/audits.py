@@ -65,7 +65,7 @@ def _(t):
 
 @query("close_series_1d", """SELECT ticker, timestamp, close FROM bars_e1d""", ["bars_e1d"], doubles="close")
 def _(t):
-    e = t.events.where(F.col("value") > 0).select(
+    e = t.events.select(
         F.concat(F.lit("T"), (F.col("user_id") % 5).cast("string")).alias("ticker"), F.lit("1d").alias("horizon"),
         F.col("ts").alias("timestamp"), F.col("value").alias("close"), F.col("event_id"))
     return B.close_series(e, "1d", seq="event_id")

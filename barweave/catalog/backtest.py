@@ -10,8 +10,8 @@ from .base import cte, query
 G = "horizon, set_id, sentiment_model, model_type, panel_mode, hpo_variant"
 GL = GROUP_KEYS
 
-cte("fwd", """SELECT horizon, ticker, timestamp, ln(lead(close) OVER (PARTITION BY ticker ORDER BY timestamp) / close) AS forward_log_return FROM bars_1d
-UNION ALL SELECT horizon, ticker, timestamp, ln(lead(close) OVER (PARTITION BY ticker ORDER BY timestamp) / close) FROM bars_6h""", "bars_1d", "bars_6h")
+cte("fwd", """SELECT horizon, ticker, timestamp, ln(nullif(lead(close) OVER (PARTITION BY ticker ORDER BY timestamp) / nullif(close, 0), 0)) AS forward_log_return FROM bars_1d
+UNION ALL SELECT horizon, ticker, timestamp, ln(nullif(lead(close) OVER (PARTITION BY ticker ORDER BY timestamp) / nullif(close, 0), 0)) FROM bars_6h""", "bars_1d", "bars_6h")
 cte("merged", "SELECT s.*, f.forward_log_return FROM signals s LEFT JOIN fwd f USING (horizon, ticker, timestamp)", "signals", "fwd")
 
 

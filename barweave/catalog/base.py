@@ -96,7 +96,7 @@ for _h, _w in (("1h", "1 hour"), ("6h", "6 hours"), ("e1d", "1 day")):
 SELECT 'T' || (user_id % 5) AS ticker, time_bucket(INTERVAL '{_w}', ts) AS timestamp, '{_h[-2:]}' AS horizon,
        arg_min(value, event_id) AS open, max(value) AS high, min(value) AS low,
        arg_max(value, event_id) AS close, sum(value) AS volume
-FROM events WHERE value > 0 GROUP BY 1, 2""")
+FROM events GROUP BY 1, 2""")
 
 cte("caps", """
 SELECT 'T' || (l_suppkey % 5) AS ticker, l_shipdate AS date, round(sum(l_extendedprice), 2) AS market_cap

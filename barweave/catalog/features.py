@@ -17,7 +17,7 @@ def window_sql(bars, bpd):
 SELECT ticker, timestamp, horizon, close, volume, r AS log_return_t, volume_diff, {cums},
   CASE WHEN count(r) OVER {f(14)} = {14 * bpd} THEN stddev_samp(r) OVER {f(14)} END AS realized_vol_14d,
   CASE WHEN lead(r) OVER w < 0 THEN 0 WHEN lead(r) OVER w IS NOT NULL THEN 1 END AS target
-FROM (SELECT ticker, timestamp, horizon, close, volume, ln(close / lag(close) OVER w) AS r,
+FROM (SELECT ticker, timestamp, horizon, close, volume, ln(nullif(close / nullif(lag(close) OVER w, 0), 0)) AS r,
              volume - lag(volume) OVER w AS volume_diff
       FROM {bars} WINDOW w AS (PARTITION BY ticker ORDER BY timestamp))
 WINDOW w AS (PARTITION BY ticker ORDER BY timestamp)"""
@@ -68,7 +68,7 @@ def _(t):
     return prices.feature_build_report(b, prices.price_features(b, S.market_caps(t), "1d"), "1d")
 
 
-@query("forward_returns_1d", """SELECT ticker, timestamp, ln(lead(close) OVER (PARTITION BY ticker ORDER BY timestamp) / close)
+@query("forward_returns_1d", """SELECT ticker, timestamp, ln(nullif(lead(close) OVER (PARTITION BY ticker ORDER BY timestamp) / nullif(close, 0), 0))
 AS forward_log_return FROM bars_1d""", ["bars_1d"], doubles="forward_log_return")
 def _(t):
     return prices.forward_returns(S.bars(t, "1d").select("ticker", "timestamp", "close")).select(

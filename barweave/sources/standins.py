@@ -46,7 +46,7 @@ def daily_bars(t: Tables) -> DataFrame:
 
 
 def intraday_bars(t: Tables, horizon) -> DataFrame:
-    e = t.events.where(F.col("value") > 0).select(
+    e = t.events.select(
         F.concat(F.lit("T"), (F.col("user_id") % 5).cast("string")).alias("ticker"),
         bar_floor("ts", horizon).alias("timestamp"), "value", "event_id")
     return _ohlc(e, "value", "event_id", ["ticker", "timestamp"])
