@@ -6,7 +6,7 @@ from ..operators import prices, series
 from ..session import reuse
 from ..sources import registry
 from ..sources import standins as S
-from .base import cte, query
+from .base import cte, normal_sql, query
 from .features import PF, final_1d, price_1d, slot_frame
 
 FEATS = [*PF.split(), "vader_title_score_mean", "vader_bullishness_ratio", "log1p_post_count"]
@@ -230,31 +230,49 @@ def _(t):
     return series.persistence(long_price(t))
 
 
-@query("fold_stability", """SELECT ticker, feature, fold, nx AS n_train, ny AS n_val, ks AS ks_stat, u / (nx * 1.0 * ny * (nx + ny)) - (4.0 * nx * ny - 1) / (6.0 * (nx + ny)) AS cvm_stat FROM (
+cte("folds", """SELECT ticker, feature, fold, nx AS n_train, ny AS n_val, ks AS ks_stat, u / (nx * 1.0 * ny * (nx + ny)) - (4.0 * nx * ny - 1) / (6.0 * (nx + ny)) AS cvm_stat FROM (
  SELECT ticker, feature, fold, any_value(nx) nx, any_value(ny) ny, max(abs(cx * 1.0 / nx - cy * 1.0 / ny)) ks, any_value(nx) * sum(CASE WHEN role = 'train' THEN (r - j) * (r - j) ELSE 0 END) + any_value(ny) * sum(CASE WHEN role = 'valid' THEN (r - j) * (r - j) ELSE 0 END) u FROM (
  SELECT *, count(*) FILTER (role = 'train') OVER w AS nx, count(*) FILTER (role = 'valid') OVER w AS ny, count(*) FILTER (role = 'train') OVER o AS cx, count(*) FILTER (role = 'valid') OVER o AS cy,
   count(*) OVER o - (count(*) OVER (PARTITION BY ticker, feature, fold, v) - 1) / 2.0 AS r, row_number() OVER (PARTITION BY ticker, feature, fold, role ORDER BY v, timestamp) AS j FROM (
   SELECT *, CASE WHEN b = fold THEN 'valid' ELSE 'train' END AS role FROM (SELECT *, i // (n // 6) AS b FROM (SELECT *, row_number() OVER (PARTITION BY ticker, feature ORDER BY timestamp) - 1 AS i,
    count(*) OVER (PARTITION BY ticker, feature) AS n FROM slong)), (SELECT unnest([1, 2, 3, 4, 5]) AS fold) WHERE b <= fold)
- WINDOW w AS (PARTITION BY ticker, feature, fold), o AS (PARTITION BY ticker, feature, fold ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY 1, 2, 3) WHERE ny >= 30""", ["slong"],
+ WINDOW w AS (PARTITION BY ticker, feature, fold), o AS (PARTITION BY ticker, feature, fold ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY 1, 2, 3) WHERE ny >= 30""", "slong")
+
+
+@query("fold_stability", "SELECT * FROM folds", ["folds"],
        doubles="ks_stat cvm_stat", longs="fold n_train n_val")
 def _(t):
     return series.fold_stability(long_price(t)).drop("ks_pval", "cvm_pval")
 
 
-@query("fold_stability_pvalues")
+cte("cvm_cdf", """SELECT ticker, feature, fold, sum(CASE WHEN q < 350 THEN exp(lgamma(j + 0.5) - lgamma(j + 1)) / (pi() ** 1.5 * sqrt(x)) * sqrt(4 * j + 1) * exp(-2 * q)
+  * list_sum(list_transform(range(0, 4001), lambda m: CASE WHEN m = 0 OR m = 4000 THEN 0.5 ELSE 1.0 END * 0.003 * exp(-q * (cosh(m * 0.003) - 1)) * cosh(m * 0.00075))) ELSE 0.0 END) AS cdf, any_value(x) AS x FROM (
+ SELECT *, (4 * j + 1) * (4 * j + 1) / (16 * x) AS q FROM (SELECT *, 1.0 / 6 + (cvm_stat - (1 + 1.0 / n) / 6) / sqrt(45 * (n + 1) * (4 * k * n - 3 * (n_train * n_train + n_val * n_val) - 2 * k) / (45.0 * n * n * 4 * k)) AS x
+  FROM (SELECT *, (n_train + n_val)::DOUBLE AS n, (n_train * n_val)::DOUBLE AS k FROM folds)), unnest(range(0, 20)) u(j)) GROUP BY 1, 2, 3""", "folds")
+
+
+@query("fold_stability_pvalues", """SELECT f.*, CASE WHEN z < 0.2 THEN 1.0 ELSE least(greatest(2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2.0 * k * k * z * z))), 0.0), 1.0) END AS ks_pval,
+ CASE WHEN x < 0.003 THEN 1.0 ELSE least(greatest(1 - cdf, 0.0), 1.0) END AS cvm_pval FROM (SELECT *, sqrt(n_train * 1.0 * n_val / (n_train + n_val)) * ks_stat AS z FROM folds) f JOIN cvm_cdf USING (ticker, feature, fold)""",
+       ["folds", "cvm_cdf"], doubles="ks_stat cvm_stat z ks_pval cvm_pval", longs="fold n_train n_val")
 def _(t):
-    """Tail values are checked in the tests; the Cramer-von Mises limit has no SQL form."""
-    return series.fold_stability(long_price(t))
+    f = series.fold_stability(long_price(t))
+    return f.withColumn("z", F.sqrt(F.col("n_train") * 1.0 * F.col("n_val") / (F.col("n_train") + F.col("n_val"))) * F.col("ks_stat"))
 
 
 @query("series_tests")
 def _(t):
-    """Iterative least-squares batteries per series; checked on simulated series in the tests."""
+    """Lag choice and refits have no short SQL; the tests compare with whole-series regressions."""
     return series.series_tests(long_price(t))
 
 
-@query("long_memory")
+cte("centred", """SELECT ticker, feature, timestamp, v - avg(v) OVER (PARTITION BY ticker, feature) AS y, row_number() OVER (PARTITION BY ticker, feature ORDER BY timestamp) - 1 AS i,
+ count(*) OVER (PARTITION BY ticker, feature) AS n FROM slong WHERE v IS NOT NULL""", "slong")
+
+
+@query("long_memory", f"""SELECT a.*, b.gph_d, b.gph_se, {normal_sql('(gph_d / gph_se)')} AS gph_pval_d0, b.gph_m FROM (SELECT ticker, feature, count(*) AS gph_n FROM centred GROUP BY 1, 2) a LEFT JOIN (
+ SELECT ticker, feature, regr_slope(ln((re * re + im * im) / (2 * pi() * n)), -ln(4 * sin(pi() * k / n) * sin(pi() * k / n))) AS gph_d, pi() / sqrt(24.0 * count(*)) AS gph_se, count(*) AS gph_m FROM (
+  SELECT ticker, feature, n, k, sum(y * cos(2 * pi() * k * i / n)) AS re, sum(y * sin(2 * pi() * k * i / n)) AS im FROM centred, unnest(range(1, 1 + CAST(floor(sqrt(n)) AS BIGINT))) u(k) WHERE n >= 200 GROUP BY ALL) GROUP BY 1, 2) b
+ USING (ticker, feature)""", ["centred"], doubles="gph_d gph_se gph_pval_d0", longs="gph_n gph_m")
 def _(t):
     return series.long_memory(long_price(t))
 
@@ -265,6 +283,16 @@ def _(t):
     return series.cips(l, "c").unionByName(series.cips(l, "ct"))
 
 
+@query("single_break", """SELECT ticker, feature, n AS n_obs, arg_max(i, gain) AS first_segment, n * ln((any_value(t2) - max(gain)) / n) + 2 * ln(n) AS best_bic FROM (
+ SELECT *, CASE WHEN i >= least AND n - i >= least THEN s1 * s1 / i + (t1 - s1) * (t1 - s1) / (n - i) - t1 * t1 / n END AS gain FROM (
+  SELECT ticker, feature, i, n, greatest(10, round_even(n * 0.15, 0)) AS least, sum(y) OVER w - y AS s1, sum(y) OVER p AS t1, sum(y * y) OVER p AS t2 FROM centred
+  WINDOW w AS (PARTITION BY ticker, feature ORDER BY i), p AS (PARTITION BY ticker, feature))) WHERE gain IS NOT NULL GROUP BY ticker, feature, n""", ["centred"], doubles="best_bic", longs="n_obs first_segment", dp=4)
+def _(t):
+    """The one best split of each series."""
+    b = series.structural_breaks(long_price(t), fixed=1).where("n_breaks = 1")
+    return b.select("ticker", "feature", "n_obs", F.element_at("segment_lengths", 1).alias("first_segment"), "best_bic")
+
+
 @query("structural_breaks")
 def _(t):
     return series.structural_breaks(long_price(t))

@@ -1,7 +1,9 @@
 """Stationarity, persistence, long memory, breaks and fold stability of feature series.
 
-A series has one value per time of one ticker, so its length is bounded by the calendar; series are
-independent and spread over the cluster by (ticker, feature).
+Tests are solved from sums. A series is cut into chunks of rows with the few rows before them; a chunk gives cross products of its rows, and a
+test's regressions, long-run variances and partial sums follow from the added products of the series. So no task reads a
+whole series; what meets per series is one small table of products per chunk. Frequencies and break candidates are plain
+aggregations over positions.
 """
 import math
 
@@ -12,8 +14,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.numeric import ratio, slope
-from ..functions.tails import kolmogorov_p
+from ..functions.numeric import clean, ratio, slope
+from ..functions.tails import kolmogorov_p, normal_two_sided
+from ..session import reuse
+from .sequence import running, sliding, with_position
 from .windows import expanding_folds
 
 # Least lengths, published 5 % critical values and response surfaces.
@@ -24,57 +28,174 @@ DFGLS_5 = {"c": [(math.inf, -1.95)], "ct": [(50, -3.19), (100, -3.03), (200, -2.
 CIPS_5 = {"c": -2.15, "ct": -2.66}
 CIPS_CLIP = (-6.19, 2.61)
 CIPS_LAGS = 4
+CHUNK = 4096
+SERIES = ["ticker", "feature"]
 
 
-def ols(y, x):
-    b, *_ = np.linalg.lstsq(x, y, rcond=None)
-    return b, y - x @ b
+def centred(long: DataFrame) -> DataFrame:
+    """Finite values of each series about their mean, numbered from 0: ticker, feature, timestamp, y, i, n, level, flat."""
+    x = long.select(*SERIES, "timestamp", clean("v").alias("v")).where(F.col("v").isNotNull())
+    stats = x.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("level"), (F.max("v") == F.min("v")).alias("flat"))
+    return with_position(x, SERIES, "timestamp", name="i").join(stats, SERIES).withColumn("y", F.col("v") - F.col("level")).drop("v")
 
 
-def _tstat(y, x, j):
-    b, u = ols(y, x)
-    n, k = x.shape
-    s2 = u @ u / max(n - k, 1)
-    se = math.sqrt(max(s2 * np.linalg.pinv(x.T @ x)[j, j], 0.0))
-    return (b[j] / se if se > 0 else np.nan), u
+def _chunked(x, halo, chunk=CHUNK):
+    """Rows with the chunk they belong to, copied to the next one where it looks back on them."""
+    chunk = max(chunk, 2 * halo)
+    return x.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("i") / chunk), F.floor((F.col("i") + halo) / chunk)))).where(
+        F.col("chunk") * chunk < F.col("n")).withColumn("home", F.floor(F.col("i") / chunk) == F.col("chunk"))
 
 
-def max_lag(n, k=4):
-    return int(k * (n / 100.0) ** 0.25)
+def adf_lags(n):
+    return int(4 * (n / 100.0) ** 0.25)
 
 
-def _trend(n, kind):
-    cols = [np.ones(n)] if kind in ("c", "ct") else []
-    if kind == "ct":
-        cols.append(np.arange(1, n + 1, dtype=float))
-    return np.column_stack(cols) if cols else np.empty((n, 0))
+def pp_lags(n):
+    return int(math.ceil(12 * (n / 100.0) ** 0.25))
 
 
-def _adf_design(y, p, first, kind):
-    dy = np.diff(y)
-    rows = np.arange(first, len(dy))
-    lags = [dy[rows - i] for i in range(1, p + 1)]
-    return dy[rows], np.column_stack([y[rows], *lags, _trend(len(rows), kind)])
+def kpss_lags(n):
+    """The largest bandwidth that the automatic rule can choose."""
+    return min(int(1.1447 * (float(int(n ** (2 / 9))) ** 2) ** (1 / 3) * n ** (1 / 3)) + 1, n - 1)
 
 
-def adf_stat(y, kind, top=None):
-    """t of the lagged level, lag order by BIC on a common sample, refitted on all usable rows."""
-    top = max_lag(len(y)) if top is None else top
-    best, lag = np.inf, 0
+def _products(i, y, home, n, p, top):
+    """Products of one chunk.
+
+    Rows z = (dy, y before, 1, t, dy lagged 1..p) give one matrix per number of usable lags; values and times give products per lag up to ``top``; and partial
+    sums from the chunk's start give those of the partial sums. Times are centred, and scaled by n in z.
+    """
+    out = []
+    tc = i + 1 - (n + 1) / 2
+    at = np.flatnonzero(home & (i >= 1))
+    usable = np.minimum(i[at] - 1, p)
+
+    def before(k):
+        return y[np.maximum(at - k, 0)]
+
+    z = np.column_stack([y[at] - before(1), before(1), np.ones(len(at)), tc[at] / n, *[before(k) - before(k + 1) for k in range(1, p + 1)]])
+    for g in np.unique(usable):
+        zz = z[usable == g].copy()
+        zz[:, 4 + g:] = 0.0
+        out.append(("z", int(g), (zz.T @ zz).ravel()))
+    own = np.flatnonzero(home)
+    lags = np.zeros((top + 1, 3))
+    for k in range(top + 1):
+        r = own[i[own] >= k]
+        lags[k] = y[r] @ y[r - k], y[r] @ tc[r - k] + tc[r] @ y[r - k], tc[r] @ tc[r - k]
+    out.append(("lag", 0, lags.ravel()))
+    part, q = np.cumsum(y[own]), (i[own] + 1.0) * (i[own] + 1 - n) / 2
+    out.append(("part", 0, np.array([len(own), y[own].sum(), part.sum(), part @ part, part @ q, q.sum(), q @ q])))
+    return out
+
+
+def _fit(s, y, xs):
+    """(coefficients, residual sum of squares, inverse of the normal matrix) of z[y] on z[xs] from the products s."""
+    scale = np.sqrt(np.maximum(np.diag(s)[xs], 1e-300))
+    inv = np.linalg.pinv(s[np.ix_(xs, xs)] / np.outer(scale, scale)) / np.outer(scale, scale)
+    b = inv @ s[xs, y]
+    return b, float(s[y, y] - b @ s[xs, y]), inv
+
+
+def _adf(by_lag, top, det):
+    """t of the level before, lag order by BIC on the common sample, refitted on all usable rows."""
+    def rows(at_least):
+        return sum(m for g, m in by_lag.items() if g >= at_least)
+
+    def design(p):
+        return [1, *range(4, 4 + p), *det]
+
+    common, best, lag = rows(top), math.inf, 0
+    n = common[2, 2]
     for p in range(top + 1):
-        d, x = _adf_design(y, p, top, kind)
-        n, k = x.shape
+        k = len(design(p))
         if n <= k:
             break
-        _, u = ols(d, x)
-        rss = u @ u
+        rss = _fit(common, 0, design(p))[1]
         if rss <= 0:
-            return np.nan, p
+            return math.nan
         bic = n * (math.log(2 * math.pi * rss / n) + 1) + math.log(n) * k
         if bic < best:
             best, lag = bic, p
-    d, x = _adf_design(y, lag, lag, kind)
-    return _tstat(d, x, 0)[0], lag
+    s = rows(lag)
+    b, rss, inv = _fit(s, 0, design(lag))
+    se = math.sqrt(max(rss / max(s[2, 2] - len(b), 1) * inv[0, 0], 0.0))
+    return b[0] / se if se > 0 else math.nan
+
+
+def _pp(by_lag, n, det):
+    """Level-before t corrected for serial correlation by a Bartlett long-run variance."""
+    s = sum(by_lag.values())
+    d = len(s)
+    m = n - 1
+    # y = dy + y before, on (y before, deterministics): the coefficient of y before is one more than that of dy
+    b, rss, inv = _fit(s, 0, [1, *det])
+    rho = 1 + b[0]
+
+    def residual(k):
+        """The residual k rows earlier as a combination of z."""
+        w = np.zeros(d)
+        w[1] += 1 - rho
+        w[4:3 + k] -= 1
+        w[4:4 + k] += rho
+        for c, j in zip(b[1:], det):
+            w[j] -= c
+            if j == 3:
+                w[2] += c * k / n
+        return w
+    now = np.zeros(d)
+    now[0] = 1
+    now[1] = -b[0]
+    for c, j in zip(b[1:], det):
+        now[j] -= c
+    lags = pp_lags(n)
+    g0, lam = rss / m, rss / m
+    for k in range(1, min(lags, m - 1) + 1):
+        usable = sum(x for g, x in by_lag.items() if g >= k)
+        lam += 2 * (1 - k / (lags + 1)) * float(now @ usable @ residual(k)) / m
+    s2 = rss / max(m - len(b), 1)
+    se = math.sqrt(max(s2 * inv[0, 0], 0.0))
+    if lam <= 0 or se <= 0:
+        return math.nan
+    return math.sqrt(g0 / lam) * b[0] / se - 0.5 * (lam - g0) / math.sqrt(lam) * (m * se / math.sqrt(s2))
+
+
+def _dfgls(by_lag, n, first, det):
+    """ADF without deterministics on the GLS-detrended series; detrending is a linear map of the products."""
+    s = sum(by_lag.values())
+    d = len(s)
+    a = 1 + (-7.0 if len(det) == 1 else -13.5) / n
+    q = np.zeros((3, d))  # quasi-differences of y, constant and trend
+    q[0, 0], q[0, 1], q[1, 2], q[2, 3], q[2, 2] = 1, 1 - a, 1 - a, 1 - a, a / n
+    t0 = (1 - (n + 1) / 2) / n
+    head = np.array([first, 1.0, t0])
+    g = (q @ s @ q.T + np.outer(head, head))[:1 + len(det), :1 + len(det)]
+    b = np.append(_fit(g, 0, list(range(1, 1 + len(det))))[0], 0.0)[:2]
+    m = np.eye(d)
+    m[0, 2] -= b[1] / n
+    m[1, 2] -= b[0] - b[1] / n
+    m[1, 3] -= b[1]
+    m[4:, 2] -= b[1] / n
+    return _adf({k: m @ x @ m.T for k, x in by_lag.items()}, adf_lags(n), [])
+
+
+def _kpss(lags, parts, n, kind):
+    """Partial sums of the detrended series over its long-run variance, automatic bandwidth."""
+    beta = 0.5 * lags[0, 1] / lags[0, 2] if kind == "ct" else 0.0
+    auto = lags[:, 0] - beta * lags[:, 1] + beta ** 2 * lags[:, 2]
+    s0, s1 = auto[0] / n, 0.0
+    for k in range(1, int(n ** (2 / 9)) + 1):
+        prod = auto[k] / (n / 2)
+        s0 += prod
+        s1 += k * prod
+    width = min(int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)), n - 1) if s0 else 0
+    width = min(width, len(auto) - 1)
+    lr = (auto[0] + 2 * sum((1 - k / (width + 1)) * auto[k] for k in range(1, width + 1))) / n
+    eta, start = 0.0, 0.0
+    for count, total, l, ll, lq, q, qq in parts:  # chunks in order, each from the sum before it
+        eta += ll + 2 * start * l + count * start ** 2 - 2 * beta * (lq + start * q) + beta ** 2 * qq
+        start += total
+    return eta / n ** 2 / lr if lr > 0 else math.nan
 
 
 def adf_critical(n, kind):
@@ -82,80 +203,10 @@ def adf_critical(n, kind):
     return a + b / n + c / n ** 2 + d / n ** 3
 
 
-def kpss_stat(y, kind):
-    """Partial sums of the detrended series over its long-run variance, automatic bandwidth."""
-    n = len(y)
-    _, r = ols(y, _trend(n, kind))
-    s0, s1 = r @ r / n, 0.0
-    for i in range(1, int(n ** (2 / 9)) + 1):
-        prod = r[i:] @ r[:-i] / (n / 2)
-        s0 += prod
-        s1 += i * prod
-    lags = min(int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)), n - 1) if s0 else 0
-    lr = (r @ r + 2 * sum((1 - i / (lags + 1)) * (r[i:] @ r[:-i]) for i in range(1, lags + 1))) / n
-    return (np.sum(np.cumsum(r) ** 2) / n ** 2 / lr if lr > 0 else np.nan), lags
-
-
-def pp_stat(y, kind):
-    """Lagged-level t corrected for serial correlation by a Bartlett long-run variance."""
-    n = len(y) - 1
-    x = np.column_stack([y[:-1], _trend(n, kind)])
-    b, u = ols(y[1:], x)
-    lags = int(math.ceil(12 * (len(y) / 100.0) ** 0.25))
-    g0 = u @ u / n
-    lam = g0 + 2 * sum((1 - i / (lags + 1)) * (u[i:] @ u[:-i]) / n for i in range(1, min(lags, n - 1) + 1))
-    s2 = u @ u / max(n - x.shape[1], 1)
-    se = math.sqrt(max(s2 * np.linalg.pinv(x.T @ x)[0, 0], 0.0))
-    if lam <= 0 or se <= 0:
-        return np.nan
-    return math.sqrt(g0 / lam) * (b[0] - 1) / se - 0.5 * (lam - g0) / math.sqrt(lam) * (n * se / math.sqrt(s2))
-
-
-def dfgls_stat(y, kind):
-    """ADF without deterministics on the GLS-detrended series."""
-    n = len(y)
-    a = 1 + (-7.0 if kind == "c" else -13.5) / n
-    z = _trend(n, kind)
-    qy, qz = np.r_[y[0], y[1:] - a * y[:-1]], np.vstack([z[:1], z[1:] - a * z[:-1]])
-    b, _ = ols(qy, qz)
-    return adf_stat(y - z @ b, "n", max_lag(n))
-
-
 def dfgls_critical(n, kind):
     return next(v for top, v in DFGLS_5[kind] if n <= top)
 
 
-def ar1(y):
-    """Persistence, its HAC standard error and the half-life of a shock."""
-    x = np.column_stack([np.ones(len(y) - 1), y[:-1]])
-    b, u = ols(y[1:], x)
-    g = x * u[:, None]
-    s = g.T @ g
-    lags = int(math.ceil(len(y) ** (1 / 3)))
-    for i in range(1, lags + 1):
-        c = g[i:].T @ g[:-i]
-        s += (1 - i / (lags + 1)) * (c + c.T)
-    inv = np.linalg.pinv(x.T @ x)
-    rho = float(b[1])
-    return rho, math.sqrt(max((inv @ s @ inv)[1, 1], 0.0)), (-math.log(2) / math.log(rho) if 0 < rho < 1 else None)
-
-
-def gph(y, power=0.5):
-    """Log-periodogram slope over the lowest frequencies."""
-    x = y - y.mean()
-    n = len(x)
-    m = int(n ** power)
-    if m < 5:
-        return None
-    f = 2 * np.pi * np.arange(1, m + 1) / n
-    per = np.abs(np.fft.fft(x)[1:m + 1]) ** 2 / (2 * np.pi * n)
-    if (per <= 0).any():
-        return None
-    b, _ = ols(np.log(per), np.column_stack([np.ones(m), -np.log(4 * np.sin(f / 2) ** 2)]))
-    se = math.pi / math.sqrt(24.0 * m)
-    return float(b[1]), se, math.erfc(abs(b[1] / se) / math.sqrt(2)), m
-
-
 def joint_class(a_c, a_ct, k_c, k_ct):
     """Column form of the joint reading of both tests under both trends."""
     known = a_c.isNotNull() & a_ct.isNotNull() & k_c.isNotNull() & k_ct.isNotNull()
@@ -164,67 +215,136 @@ def joint_class(a_c, a_ct, k_c, k_ct):
 
 
 _TESTS = [f"{t}_{k}" for t in ("dfgls", "pp", "adf", "kpss") for k in ("c", "ct")]
-_NAMES = ["n_obs", *[f"{t}_{s}" for t in _TESTS for s in ("stat", "reject")], "ar1_rho", "ar1_se", "ar1_halflife", "gph_d", "gph_se",
-          "gph_pval_d0", "gph_m"]
-_TYPES = ["long", *["double", "boolean"] * len(_TESTS), "double", "double", "double", "double", "double", "double", "long"]
+_NAMES = ["n_obs", *[f"{t}_{s}" for t in _TESTS for s in ("stat", "reject")], "ar1_rho", "ar1_const"]
+_TYPES = ["long", *["double", "boolean"] * len(_TESTS), "double", "double"]
 
 
-def _battery(y):
-    n = len(y)
+def _solve(n, flat, first, by_lag, lags, parts):
+    """All statistics of a series from its products."""
     out = dict.fromkeys(_NAMES)
     out["n_obs"] = n
-    flat = n == 0 or np.ptp(y) == 0
-    for k in ("c", "ct"):
-        jobs = {"adf": lambda: adf_stat(y, k)[0], "kpss": lambda: kpss_stat(y, k)[0], "pp": lambda: pp_stat(y, k), "dfgls": lambda: dfgls_stat(y, k)[0]}
-        for t, f in jobs.items():
-            if n < MIN_N[t] or flat:
-                continue
-            s = f()
-            if s is None or not np.isfinite(s):
-                continue
-            out[f"{t}_{k}_stat"] = float(s)
-            cut = {"adf": lambda: s < adf_critical(n, k), "pp": lambda: s < adf_critical(n, k), "kpss": lambda: s > KPSS_5[k],
-                   "dfgls": lambda: s < dfgls_critical(n, k)}[t]
-            out[f"{t}_{k}_reject"] = bool(cut())
-    if n >= MIN_N["ar1"] and not flat:
-        out["ar1_rho"], out["ar1_se"], out["ar1_halflife"] = ar1(y)
-    if n >= MIN_N["gph"] and not flat:
-        g = gph(y)
-        if g:
-            out["gph_d"], out["gph_se"], out["gph_pval_d0"], out["gph_m"] = g
+    if flat:
+        return out
+    for kind, det in (("c", [2]), ("ct", [2, 3])):
+        jobs = {"adf": (lambda: _adf(by_lag, adf_lags(n), det), lambda s: s < adf_critical(n, kind)),
+                "pp": (lambda: _pp(by_lag, n, det), lambda s: s < adf_critical(n, kind)),
+                "dfgls": (lambda: _dfgls(by_lag, n, first, det), lambda s: s < dfgls_critical(n, kind)),
+                "kpss": (lambda: _kpss(lags, parts, n, kind), lambda s: s > KPSS_5[kind])}
+        for t, (stat, reject) in jobs.items():
+            if n >= MIN_N[t]:
+                s = stat()
+                if math.isfinite(s):
+                    out[f"{t}_{kind}_stat"], out[f"{t}_{kind}_reject"] = float(s), bool(reject(s))
+    if n >= MIN_N["ar1"]:
+        b = _fit(sum(by_lag.values()), 0, [1, 2])[0]
+        out["ar1_rho"], out["ar1_const"] = float(1 + b[0]), float(b[1])
     return out
 
 
 def series_tests(long: DataFrame) -> DataFrame:
-    """The whole battery per (ticker, feature) of a long table (ticker, timestamp, feature, v)."""
-    schema = "ticker string, feature string, " + ", ".join(f"{n} {t}" for n, t in zip(_NAMES, _TYPES))
-
-    def run(key, pdf):
-        y = pdf.sort_values("timestamp")["v"].to_numpy(dtype=float)
-        o = _battery(y[np.isfinite(y)])
-        return pd.DataFrame([[*key, *[o[n] for n in _NAMES]]], columns=["ticker", "feature", *_NAMES], dtype=object)
+    """The whole battery per (ticker, feature) of a long table (ticker, timestamp, feature, v).
 
-    out = long.select("ticker", "feature", "timestamp", "v").groupBy("ticker", "feature").applyInPandas(run, schema)
+    Two passes over chunks: one for the products that every test is solved from, one for the robust error of the AR(1) coefficient, which needs its
+    residuals. The chunk tables are written once, since the solutions are read several times.
+    """
+    x = reuse(centred(long))
+    longest = x.agg(F.max("n")).first()[0] or 1
+    halo = max(pp_lags(longest), adf_lags(longest), kpss_lags(longest)) + 1
+    cols = "ticker string, feature string"
+
+    def gather(key, pdf):
+        pdf = pdf.sort_values("i")
+        n = int(pdf["n"].iloc[0])
+        i, y, home = pdf["i"].to_numpy(), pdf["y"].to_numpy(), pdf["home"].to_numpy(dtype=bool)
+        first = float(y[0]) if i[0] == 0 else None
+        rows = _products(i, y, home, n, max(pp_lags(n), adf_lags(n)), kpss_lags(n))
+        return pd.DataFrame([(*key, n, bool(pdf["flat"].iloc[0]), first, kind, g, v.tolist()) for kind, g, v in rows],
+                            columns=[*SERIES, "chunk", "n", "flat", "first", "kind", "g", "s"])
+
+    products = reuse(_chunked(x, halo).select(*SERIES, "chunk", "i", "y", "n", "flat", "home").groupBy(*SERIES, "chunk").applyInPandas(
+        gather, cols + ", chunk long, n long, flat boolean, first double, kind string, g long, s array<double>"))
+
+    def solve(key, pdf):
+        n = int(pdf["n"].iloc[0])
+        z, lags, parts = {}, 0.0, []
+        for r in pdf.sort_values("chunk").itertuples():
+            v = np.asarray(r.s, dtype=float)
+            if r.kind == "z":
+                z[r.g] = z.get(r.g, 0.0) + v.reshape(math.isqrt(len(v)), -1)
+            elif r.kind == "lag":
+                lags = lags + v.reshape(-1, 3)
+            else:
+                parts.append(v)
+        first = pdf["first"].dropna()
+        o = _solve(n, bool(pdf["flat"].iloc[0]), float(first.iloc[0]), z, lags, parts)
+        return pd.DataFrame([[*key, *[o[c] for c in _NAMES]]], columns=[*SERIES, *_NAMES], dtype=object)
+
+    # A group here holds n / CHUNK rows of products.
+    solved = reuse(products.groupBy(*SERIES).applyInPandas(solve, cols + ", " + ", ".join(f"{n} {t}" for n, t in zip(_NAMES, _TYPES))))
+    out = solved.join(_ar1_errors(x, solved), SERIES, "left")
+    rho = F.col("ar1_rho")
+    out = out.withColumn("ar1_halflife", F.when((rho > 0) & (rho < 1), -math.log(2) / F.ln(rho))).drop("ar1_const")
+    out = out.join(long_memory(long).drop("gph_n"), SERIES, "left")
     c = F.col
     out = out.withColumn("joint_class", joint_class(c("adf_c_reject"), c("adf_ct_reject"), c("kpss_c_reject"), c("kpss_ct_reject")))
     conflict = F.col("joint_class") == "conflicting"
     return out.withColumns({g: F.when(conflict, F.col(g)) for g in ("gph_d", "gph_se", "gph_pval_d0", "gph_m")})
 
 
+def _ar1_errors(x, solved):
+    """HAC standard error of the AR(1) coefficient: Bartlett sums of score products, lag by lag and chunk by chunk."""
+    longest = x.agg(F.max("n")).first()[0] or 1
+    halo = int(math.ceil(longest ** (1 / 3))) + 1
+    rows = x.join(solved.where("ar1_rho is not null").select(*SERIES, "ar1_rho", "ar1_const"), SERIES)
+
+    def gather(key, pdf):
+        pdf = pdf.sort_values("i")
+        n, rho, c = int(pdf["n"].iloc[0]), pdf["ar1_rho"].iloc[0], pdf["ar1_const"].iloc[0]
+        i, y, home = pdf["i"].to_numpy(), pdf["y"].to_numpy(), pdf["home"].to_numpy(dtype=bool)
+        prev = np.r_[np.nan, y[:-1]]
+        u = y - c - rho * prev
+        g = np.column_stack([u, prev * u])
+        own = np.flatnonzero(home & (i >= 1))
+        lags = int(math.ceil(n ** (1 / 3)))
+        s = g[own].T @ g[own]
+        for k in range(1, lags + 1):
+            r = own[i[own] >= k + 1]
+            w = g[r].T @ g[r - k]
+            s = s + (1 - k / (lags + 1)) * (w + w.T)
+        q = np.column_stack([np.ones(len(own)), prev[own]])
+        return pd.DataFrame([(*key, *s.ravel(), *(q.T @ q).ravel())], columns=[*SERIES, "chunk", *"abcdefgh"])
+
+    sums = (_chunked(rows, halo).groupBy(*SERIES, "chunk").applyInPandas(gather, "ticker string, feature string, chunk long, " + ", ".join(f"{k} double" for k in "abcdefgh"))
+            .groupBy(*SERIES).agg(*[F.sum(k).alias(k) for k in "abcdefgh"]))
+    # [inv(Q) S inv(Q)] of the slope, written out for two regressors
+    det = F.col("e") * F.col("h") - F.col("f") * F.col("g")
+    p, q = -F.col("f") / det, F.col("e") / det
+    var = p * p * F.col("a") + p * q * (F.col("b") + F.col("c")) + q * q * F.col("d")
+    return sums.select(*SERIES, F.sqrt(F.greatest(var, F.lit(0.0))).alias("ar1_se"))
+
+
 def long_memory(long: DataFrame) -> DataFrame:
-    """Log-periodogram estimate for every series."""
-    def run(key, pdf):
-        y = pdf.sort_values("timestamp")["v"].to_numpy(dtype=float)
-        y = y[np.isfinite(y)]
-        g = gph(y) if len(y) >= MIN_N["gph"] and np.ptp(y) > 0 else None
-        return pd.DataFrame([[*key, len(y), *(g or (None,) * 4)]], columns=["ticker", "feature", "gph_n", "gph_d", "gph_se", "gph_pval_d0", "gph_m"], dtype=object)
-    return long.select("ticker", "feature", "timestamp", "v").groupBy("ticker", "feature").applyInPandas(
-        run, "ticker string, feature string, gph_n long, gph_d double, gph_se double, gph_pval_d0 double, gph_m long")
+    """Log-periodogram slope over the lowest sqrt(n) frequencies of every series of MIN_N values or more.
+
+    Each value meets each frequency, and the sums combine before the shuffle: n * sqrt(n) products for a series of n.
+    """
+    x = centred(long)
+    size = x.groupBy(*SERIES).agg(F.first("n").alias("gph_n"))
+    m = F.floor(F.sqrt(F.col("n").cast("double")))
+    w = 2 * math.pi * F.col("k") / F.col("n")
+    turned = x.where((F.col("n") >= MIN_N["gph"]) & ~F.col("flat")).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), m)))
+    per = turned.groupBy(*SERIES, "k", "n").agg(F.sum(F.col("y") * F.cos(w * F.col("i"))).alias("re"), F.sum(F.col("y") * F.sin(w * F.col("i"))).alias("im"))
+    power = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (2 * math.pi * F.col("n"))
+    half = F.sin(math.pi * F.col("k") / F.col("n"))
+    per = per.withColumns({"lp": F.when(power > 0, F.ln(power)), "lf": -F.ln(4 * half * half)})
+    g = per.groupBy(*SERIES).agg(slope("lp", "lf").alias("gph_d"), F.count(F.lit(1)).alias("gph_m"), F.count("lp").alias("_used"))
+    g = g.where("_used = gph_m").withColumn("gph_se", math.pi / F.sqrt(24.0 * F.col("gph_m")))
+    g = g.withColumn("gph_pval_d0", normal_two_sided(F.col("gph_d") / F.col("gph_se")))
+    return size.join(g, SERIES, "left").select(*SERIES, "gph_n", "gph_d", "gph_se", "gph_pval_d0", "gph_m")
 
 
 def persistence(long: DataFrame) -> DataFrame:
     """AR(1) coefficient of every series as a regression slope on the row before it (built-in only)."""
-    from .sequence import sliding
     x = long.where(F.col("v").isNotNull()).select("ticker", "feature", "timestamp", "v")
     lag = sliding(x, ["ticker", "feature"], "timestamp", {"_l": lambda w: F.lag("v").over(w)}, before=1)
     g = lag.groupBy("ticker", "feature").agg(F.count(F.lit(1)).alias("ar1_n"), slope("v", "_l").alias("ar1_rho"))
@@ -235,38 +355,40 @@ def persistence(long: DataFrame) -> DataFrame:
 def cips(long: DataFrame, kind="c") -> DataFrame:
     """Panel unit-root test: cross-sectionally augmented regressions per ticker, truncated and averaged.
 
-    The cross-section mean is an aggregate per (feature, time); regressions run per (feature, ticker).
+    The cross-section mean is an aggregate per (feature, time). A row counts where its ticker has the values of the times right before it; the
+    regressions are solved from sums of products.
     """
     x = long.where(F.col("v").isNotNull()).select("feature", "ticker", "timestamp", "v")
     bar = x.groupBy("feature", "timestamp").agg(F.avg("v").alias("bar"))
-    from .sequence import with_position
     axis = with_position(bar, ["feature"], "timestamp", name="_i")
     size = axis.groupBy("feature").agg(F.count(F.lit(1)).alias("n_obs"))
-    j = x.join(axis, ["feature", "timestamp"])
     p = CIPS_LAGS
-    need = MIN_N["cips"] + p + 2
-
-    def run(key, pdf):
-        cols = ["feature", "ticker", "t"]
-        pdf = pdf.sort_values("_i")
-        i = pdf["_i"].to_numpy()
-        if len(i) < need:
-            return pd.DataFrame([[*key, None]], columns=cols, dtype=object)
-        span = i[-1] - i[0] + 1
-        y, b = np.full(span, np.nan), np.full(span, np.nan)
-        y[i - i[0]], b[i - i[0]] = pdf["v"], pdf["bar"]
-        dy, db = np.diff(y, prepend=np.nan), np.diff(b, prepend=np.nan)
-
-        def back(a, k):
-            return np.r_[np.full(k, np.nan), a[:-k]]
-
-        m = np.column_stack([dy, np.ones(span), back(y, 1), back(b, 1), db, *[back(dy, k) for k in range(1, p + 1)]]
-                            + ([np.arange(span, dtype=float)] if kind == "ct" else []))
-        m = m[np.isfinite(m).all(axis=1)]
-        t = _tstat(m[:, 0], m[:, 1:], 1)[0] if len(m) >= 20 else None
-        return pd.DataFrame([[*key, t]], columns=cols, dtype=object)
-
-    t = j.groupBy("feature", "ticker").applyInPandas(run, "feature string, ticker string, t double")
+    lags = {"_before": lambda w: F.lag("_i", p + 1).over(w), "_bar1": lambda w: F.lag("bar", 1).over(w)}
+    lags |= {f"_v{k}": (lambda w, k=k: F.lag("v", k).over(w)) for k in range(1, p + 2)}
+    j = sliding(x.join(axis, ["feature", "timestamp"]), ["feature", "ticker"], "timestamp", lags, before=p + 1)
+    whole = F.col("_i") - F.col("_before") == p + 1
+    z = [F.col("v") - F.col("_v1"), F.lit(1.0), F.col("_v1"), F.col("_bar1"), F.col("bar") - F.col("_bar1"),
+         *[F.col(f"_v{k}") - F.col(f"_v{k + 1}") for k in range(1, p + 1)], *([F.col("_i").cast("double")] if kind == "ct" else [])]
+    names = [f"z{k}" for k in range(len(z))]
+    pairs = [(a, b) for a in range(len(z)) for b in range(a, len(z))]
+    sums = j.withColumns(dict(zip(names, z))).groupBy("feature", "ticker").agg(
+        F.count(F.lit(1)).alias("rows"), *[F.sum(F.when(whole, F.col(names[a]) * F.col(names[b]))).alias(f"s{a}_{b}") for a, b in pairs])
+    d = len(z)
+
+    @F.pandas_udf(DoubleType())
+    def t_stat(s: pd.Series) -> pd.Series:
+        out = []
+        for v in s:
+            m = np.zeros((d, d))
+            for (a, b), q in zip(pairs, v):
+                m[a, b] = m[b, a] = q
+            b, rss, inv = _fit(m, 0, list(range(1, d)))
+            se = math.sqrt(max(rss / max(m[1, 1] - len(b), 1) * inv[1, 1], 0.0))
+            out.append(b[1] / se if se > 0 else None)
+        return pd.Series(out, dtype="float64")
+
+    enough = sums.where((F.col("rows") >= MIN_N["cips"] + p + 2) & (F.col("s1_1") >= 20))
+    t = enough.select("feature", "ticker", t_stat(F.array(*[f"s{a}_{b}" for a, b in pairs])).alias("t"))
     clipped = F.greatest(F.least("t", F.lit(CIPS_CLIP[1])), F.lit(CIPS_CLIP[0]))
     g = t.where(F.col("t").isNotNull()).groupBy("feature").agg(F.avg(clipped).alias("cips_stat"), F.count(F.lit(1)).alias("n_sections"))
     return g.where(F.col("n_sections") >= 4).join(size, "feature").withColumns({
@@ -335,64 +457,54 @@ def fold_stability(long: DataFrame, n_folds=5) -> DataFrame:
 
 # ---- structural breaks ---------------------------------------------------------------------------
 
-def segment(y, min_size, n_breaks):
-    """Greedy binary segmentation of the mean; break positions in the order they were found."""
-    s1, s2 = np.r_[0.0, np.cumsum(y)], np.r_[0.0, np.cumsum(y * y)]
-
-    def best(a, b):
-        k = np.arange(a + min_size, b - min_size + 1)
-        if len(k) == 0:
-            return 0.0, None
-
-        def cost(i, j):
-            return s2[j] - s2[i] - (s1[j] - s1[i]) ** 2 / (j - i)
-
-        gain = cost(a, b) - cost(np.full_like(k, a), k) - cost(k, np.full_like(k, b))
-        i = int(np.argmax(gain))
-        return float(gain[i]), int(k[i])
-
-    leaves, found = {(0, len(y)): best(0, len(y))}, []
-    for _ in range(n_breaks):
-        (a, b), (_, k) = max(leaves.items(), key=lambda kv: kv[1][0] if kv[1][1] is not None else -1.0)
-        if k is None:
-            break
-        found.append(k)
-        del leaves[(a, b)]
-        leaves[(a, k)], leaves[(k, b)] = best(a, k), best(k, b)
-    return found
-
+def structural_breaks(long: DataFrame, max_breaks=5, min_frac=0.15, fixed=None) -> DataFrame:
+    """Breaks in the mean per (ticker, feature): greedy binary segmentation, their number by BIC or fixed.
 
-def detect_breaks(y, max_breaks=5, min_frac=0.15, fixed=None):
-    """(breaks, BIC): the number of breaks by BIC, or a fixed number."""
-    n = len(y)
-    size = max(10, int(round(n * min_frac)))
-    if n < 30 or size * 2 > n:
-        return [], None
-    order = segment(y, size, fixed if fixed is not None else max_breaks)
+    Every row is a candidate. From prefix sums its gain in the segment it lies in is known, so a step is one aggregation that keeps the best candidate of
+    each series, and the breaks found so far travel back as a short array. The prefix sums are written once for the steps.
+    """
+    x = centred(long).withColumns({"y1": F.col("y"), "y2": F.col("y") * F.col("y")})
+    run = running(x, SERIES, "i", sums={"c1": F.col("y1"), "c2": F.col("y2")}, block=F.floor(F.col("i") / CHUNK))
+    run = reuse(run.select(*SERIES, "timestamp", "i", "n", (F.col("c1") - F.col("y1")).alias("s1"), (F.col("c2") - F.col("y2")).alias("s2"), "c1", "c2"))
+    point = F.struct(F.col("i").cast("long").alias("i"), "s1", "s2", "timestamp")
+    end = F.struct(F.col("n").cast("long").alias("i"), F.col("c1").alias("s1"), F.col("c2").alias("s2"), "timestamp")
+    state = run.groupBy(*SERIES, "n").agg(F.max(F.when(F.col("i") == F.col("n") - 1, end)).alias("stop"))
+    least = F.greatest(F.lit(10), F.bround(F.col("n") * min_frac, 0)).cast("long")
+    start = F.struct(F.lit(0).cast("long").alias("i"), F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2"), F.col("stop.timestamp").alias("timestamp"))
+    state = state.withColumns({"least": least, "start": start, "found": F.slice(F.array("stop"), 1, 0)})
+    rows = run.select(*SERIES, "timestamp", "i", "s1", "s2")
+
+    def cost(a, b):
+        d = b["s1"] - a["s1"]
+        return b["s2"] - a["s2"] - d * d / (b["i"] - a["i"])
+
+    for _ in range(max_breaks if fixed is None else fixed):
+        state = reuse(state)
+        cuts = F.concat(F.array("start"), F.col("found"), F.array("stop"))
+        j = rows.join(state.where((F.col("n") >= 30) & (F.col("least") * 2 <= F.col("n"))).withColumn("cuts", cuts), SERIES)
+        a = F.array_max(F.filter("cuts", lambda c: c["i"] <= F.col("i")))
+        b = F.array_min(F.filter("cuts", lambda c: c["i"] > F.col("i")))
+        j = j.withColumns({"a": a, "b": b}).where((F.col("i") >= F.col("a.i") + F.col("least")) & (F.col("i") <= F.col("b.i") - F.col("least")))
+        gain = cost(F.col("a"), F.col("b")) - cost(F.col("a"), point) - cost(point, F.col("b"))
+        best = j.groupBy(*SERIES).agg(F.max_by(point, F.struct(gain.alias("g"), (-F.col("i")).alias("k"))).alias("next"))
+        state = state.join(best, SERIES, "left").withColumn(
+            "found", F.when(F.col("next").isNotNull(), F.concat("found", F.array("next"))).otherwise(F.col("found"))).drop("next")
 
     def bic(k):
-        cuts = [0, *sorted(order[:k]), n]
-        rss = sum(float(np.sum((y[a:b] - y[a:b].mean()) ** 2)) for a, b in zip(cuts, cuts[1:]))
-        return n * math.log(rss / n) + (k + 1) * math.log(n) if rss > 0 else math.inf
-
-    ks = [len(order)] if fixed is not None else list(range(len(order) + 1))
-    scores = [bic(k) for k in ks]
-    i = int(np.argmin(scores))
-    return sorted(order[:ks[i]]), (scores[i] if math.isfinite(scores[i]) else None)
-
-
-def structural_breaks(long: DataFrame, max_breaks=5, min_frac=0.15, fixed=None) -> DataFrame:
-    """Breaks in the mean per (ticker, feature)."""
-    schema = ("ticker string, feature string, n_obs long, n_breaks long, break_timestamps array<timestamp_ntz>, segment_lengths array<long>, "
-              "median_segment_length double, mean_segment_length double, best_bic double")
-
-    def run(key, pdf):
-        pdf = pdf[np.isfinite(pdf["v"].astype(float))].sort_values("timestamp")
-        y = pdf["v"].to_numpy(dtype=float)
-        b, score = detect_breaks(y, max_breaks, min_frac, fixed)
-        seg = np.diff([0, *b, len(y)])
-        at = [pd.Timestamp(pdf["timestamp"].iloc[i]).to_pydatetime() for i in b]
-        row = [*key, len(y), len(b), at, [int(s) for s in seg], float(np.median(seg)), float(np.mean(seg)), score]
-        return pd.DataFrame([row], columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
-
-    return long.select("ticker", "feature", "timestamp", "v").groupBy("ticker", "feature").applyInPandas(run, schema)
+        cuts = F.array_sort(F.concat(F.array("start"), F.slice("found", F.lit(1), k), F.array("stop")))
+        rss = F.aggregate(F.sequence(F.lit(1), k + 1), F.lit(0.0), lambda s, q: s + cost(F.element_at(cuts, q), F.element_at(cuts, q + 1)))
+        n = F.col("n").cast("double")
+        return F.when(rss > 0, n * F.ln(rss / n) + (k + 1) * F.ln(n)).otherwise(F.lit(float("inf")))
+
+    tried = F.sequence(F.lit(0), F.size("found")) if fixed is None else F.array(F.size("found"))
+    pick = F.array_min(F.transform(tried, lambda k: F.struct(bic(k).alias("b"), k.alias("k"))))
+    fits = (F.col("n") >= 30) & (F.col("least") * 2 <= F.col("n"))
+    out = state.withColumn("pick", pick).withColumn("kept", F.array_sort(F.slice("found", F.lit(1), F.coalesce("pick.k", F.lit(0)))))
+    edges = F.concat(F.array("start"), F.col("kept"), F.array("stop"))
+    out = out.withColumn("lengths", F.transform(F.sequence(F.lit(1), F.size("kept") + 1), lambda q: F.element_at(edges, q + 1)["i"] - F.element_at(edges, q)["i"]))
+    k, mid = F.size("lengths"), F.array_sort("lengths")
+    median = (F.element_at(mid, F.floor((k + 1) / 2).cast("int")) + F.element_at(mid, F.floor(k / 2 + 1).cast("int"))) / 2.0
+    return out.select(*SERIES, F.col("n").alias("n_obs"), F.size("kept").cast("long").alias("n_breaks"),
+                      F.transform("kept", lambda c: c["timestamp"]).alias("break_timestamps"), F.col("lengths").alias("segment_lengths"),
+                      median.alias("median_segment_length"), (F.col("n") / k).alias("mean_segment_length"),
+                      F.when(fits & (F.col("pick.b") < float("inf")), F.col("pick.b")).alias("best_bic"))
