@@ -3,8 +3,9 @@
 The tree is fitted on a bounded sample and routes every row to a leaf. A query walks the tree best bin first: a priority queue
 holds branches by the distance to their centres, and leaves are visited in the order they come off it. How many leaves to visit is
 calibrated: for some sample vectors the exact neighbours over all rows are found once, and visits widen until the wanted share
-of them lies in visited leaves. Leaves are then searched exactly, in slices of bounded size on both sides, so a leaf with a third of
-all rows or queries spreads over many tasks.
+of them lies in visited leaves. The first leaves of a query are searched exactly and give it k neighbours; the further ones give only rows
+that are no farther than the k-th of these. Searches run in slices of bounded size on both sides, so a leaf with a third of all
+rows or queries spreads over many tasks.
 
 Sizes the driver and the broadcast tree may reach: ``MAX_SAMPLE`` vectors (fewer when wide), ``MAX_LEAVES`` leaves.
 """
@@ -23,7 +24,8 @@ MAX_LEAVES = 4096
 LEAF_ROWS = 256
 BRANCHES = 8
 PROBES = 100
-RECALL = 0.97
+RECALL = 0.95
+FIRST = 4  # leaves that bound the distance for the others
 SLICE_ROWS, SLICE_QUERIES = 4096, 1024
 
 
@@ -117,6 +119,26 @@ def _distances(x, q):
     return np.sqrt(((x - q) ** 2).sum(axis=1))
 
 
+def _search(ids, x, query_ids, q, bounds, k):
+    """(query_id, vec_id, score) of the k nearest rows for each query, no farther than its bound.
+
+    A matrix product finds the rows that may be within the bound; only their distances are then computed term by term.
+    """
+    xx, qq = (x * x).sum(axis=1), (q * q).sum(axis=1)
+    near = qq[:, None] + xx[None, :] - 2 * (q @ x.T)
+    near -= 1e-9 * (qq[:, None] + xx[None, :]) + np.square(np.minimum(bounds, 1e150))[:, None]
+    out = []
+    for j, i in enumerate(query_ids):
+        some = np.flatnonzero(near[j] <= 0)
+        some = some[ids[some] != i]
+        if len(some):
+            d = _distances(x[some], q[j])
+            best = _nearest(ids[some], d, k)
+            best = best[d[best] <= bounds[j]]
+            out.append((np.full(len(best), i), ids[some][best], d[best]))
+    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+
+
 def _nearest(ids, d, k):
     """Positions of the k least distances, ties to the smaller id, an id once."""
     if len(d) > 8 * k:
@@ -146,13 +168,8 @@ def exact_neighbours(data: DataFrame, ids, vectors, k, extra=()) -> DataFrame:
         for b in batches:
             if not len(b):
                 continue
-            x, own = _matrix(b["v"]), b["vec_id"].to_numpy()
-            for i, q in zip(ids, vectors):
-                d = _distances(x, q)
-                d[own == i] = np.inf
-                best = _nearest(own, d, k)
-                best = best[np.isfinite(d[best])]
-                yield pd.DataFrame({"query_id": i, "vec_id": own[best], "score": d[best]})
+            found = _search(b["vec_id"].to_numpy(), _matrix(b["v"]), ids, vectors, np.full(len(ids), np.inf), k)
+            yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
 
     found = data.select("vec_id", "v").mapInPandas(run, "query_id long, vec_id long, score double")
     return _top(found, ["query_id"], k)
@@ -206,40 +223,43 @@ def nearest(vectors: DataFrame, is_query: Column, k=10, id_col="vec_id", vector_
 
     def walk(batches):
         for b in batches:
-            q, leaf = [], []
+            q, leaf, turn = [], [], []
             for i, v in enumerate(_matrix(b["v"])):
                 seen, n = 0, 0
                 for at in shared.value.visits(v):
                     if n >= visits and seen >= enough:
                         break
                     if at in sizes:
-                        q.append(i), leaf.append(at)
+                        q.append(i), leaf.append(at), turn.append(n)
                         seen += sizes[at]
                     n += 1
-            yield pd.DataFrame({"query_id": b["vec_id"].to_numpy()[q], "q": b["v"].to_numpy()[q], "leaf": np.array(leaf, np.int64)})
+            yield pd.DataFrame({"query_id": b["vec_id"].to_numpy()[q], "q": b["v"].to_numpy()[q], "leaf": np.array(leaf, np.int64), "turn": np.array(turn, np.int64)})
 
-    asked = reuse(routed.where("is_query").select("vec_id", "v").mapInPandas(walk, "query_id long, q array<double>, leaf long"))
+    asked = reuse(routed.where("is_query").select("vec_id", "v").mapInPandas(walk, "query_id long, q array<double>, leaf long, turn long"))
+    first = reuse(_top(_in_leaves(asked.where(F.col("turn") < FIRST).withColumn("bound", F.lit(float("inf"))), routed, k), ["query_id"], k))
+    bounds = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("score")).otherwise(F.lit(float("inf"))).alias("bound"))
+    rest = asked.where(F.col("turn") >= FIRST).join(bounds, "query_id", "left").fillna({"bound": float("inf")})
+    found = first.select("query_id", "vec_id", "score").unionByName(_in_leaves(reuse(rest), routed, k))
+    return _top(found, ["query_id"], k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _in_leaves(asked, routed, k):
+    """(query_id, vec_id, score) candidates of (query_id, q, leaf, bound) in the rows of those leaves, at most k from each slice."""
     # One row per leaf: both counts are bounded by max_leaves, so every task can hold this table.
     parts = (asked.groupBy("leaf").agg(F.ceil(F.count("*") / SLICE_QUERIES).alias("q_parts"))
              .join(routed.groupBy("leaf").agg(F.ceil(F.count("*") / SLICE_ROWS).alias("d_parts")), "leaf"))
     parts = F.broadcast(reuse(parts))
-    left = (asked.join(parts, "leaf").withColumn("qp", F.pmod(F.xxhash64("query_id"), F.col("q_parts")))
-            .withColumn("dp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("d_parts") - 1))).select("leaf", "qp", "dp", "query_id", "q"))
+    left = (asked.select("leaf", "query_id", "q", "bound").join(parts, "leaf").withColumn("qp", F.pmod(F.xxhash64("query_id"), F.col("q_parts")))
+            .withColumn("dp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("d_parts") - 1))).select("leaf", "qp", "dp", "query_id", "q", "bound"))
     right = (routed.select("leaf", "vec_id", "v").join(parts, "leaf").withColumn("dp", F.pmod(F.xxhash64("vec_id"), F.col("d_parts")))
              .withColumn("qp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_parts") - 1))).select("leaf", "qp", "dp", "vec_id", "v"))
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
         if len(a) and len(b):
-            x, ids = _matrix(b["v"]), b["vec_id"].to_numpy()
-            for i, q in zip(a["query_id"].to_numpy(), _matrix(a["q"])):
-                d = _distances(x, q)
-                d[ids == i] = np.inf
-                best = _nearest(ids, d, k)
-                best = best[np.isfinite(d[best])]
-                out.append(pd.DataFrame({"query_id": i, "vec_id": ids[best], "score": d[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+            found = _search(b["vec_id"].to_numpy(), _matrix(b["v"]), a["query_id"].to_numpy(), _matrix(a["q"]), a["bound"].to_numpy(), k)
+        else:
+            found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
 
     keys = ["leaf", "qp", "dp"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
-    return _top(found, ["query_id"], k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
