@@ -86,15 +86,33 @@ def evaluate(signals: DataFrame, ohlc: DataFrame, caps: DataFrame, returns: Data
     }
 
 
-# The order each report is written in.
-ORDER = {
-    "pooled_metrics": GROUP_KEYS, "ticker_metrics": [*GROUP_KEYS, "ticker"], "threshold_analysis": [*GROUP_KEYS, "threshold"],
-    "mcnemar": GROUP_KEYS, "leaderboard": ["horizon", "rank"], "summary": ["section", "horizon", "item"],
+# The order reports are written in. A run's family comes first, so runs never interleave; "-" is descending.
+FAMILY_FIRST = ["horizon", "model_type", "panel_mode", "hpo_variant"]
+RUN_ORDER = [*FAMILY_FIRST, "set_id", "sentiment_model"]
+FURTHER = {
+    "ticker_metrics": ["ticker"], "threshold_analysis": ["threshold"], "threshold_lift": ["benchmark", "threshold"], "mcnemar": ["benchmark"],
+    "volatility_stratification": ["vol_regime"], "size_stratification": ["mcap_regime"], "regime_interaction": ["mcap_regime", "vol_regime"],
+    "regime_mcnemar_volatility": ["benchmark", "vol_regime"], "regime_mcnemar_size": ["benchmark", "mcap_regime"],
+    "regime_mcnemar_interaction": ["benchmark", "mcap_regime", "vol_regime"], "ticker_backtest": ["ticker", "cost_bps"],
+    "absolute_vs_naive": ["train_window_mode", "rolling_window_days"], "buy_and_hold": ["cost_bps"],
 }
+OWN_ORDER = {
+    "pooled_metrics": [*FAMILY_FIRST, "-accuracy", "set_id", "sentiment_model"],
+    "high_low_backtest": [*FAMILY_FIRST, "cost_bps", "-sharpe", "set_id", "sentiment_model"],
+    "threshold_backtest": [*FAMILY_FIRST, "threshold", "cost_bps", "-sharpe", "set_id", "sentiment_model"],
+    "horizon_contrasts": ["family", "horizon_pair", *RUN_ORDER], "test_families": ["family", "test_id"], "family_manifest": ["family"],
+    "leaderboard": ["horizon", "rank"], "summary": ["section", "horizon", "item"],
+}
+
+
+def report_order(name, columns):
+    """The columns a report is sorted by."""
+    keys = OWN_ORDER.get(name, [*RUN_ORDER, *FURTHER.get(name, [])])
+    return [F.col(k[1:]).desc() if k[0] == "-" else F.col(k) for k in keys if k.lstrip("-") in columns]
 
 
 def write_reports(tables: dict, folder, overwrite=False):
     """One CSV folder per report, in its declared order."""
     from ..sources.posts import write_csv
     for name, df in tables.items():
-        write_csv(df, f"{folder}/{name}", ORDER.get(name, ()), overwrite)
+        write_csv(df, f"{folder}/{name}", report_order(name, df.columns), overwrite)

@@ -10,7 +10,7 @@ from barweave.operators import backtest as B
 from barweave.operators import matching as M
 from barweave.operators import metrics as E
 from barweave.operators import prices as P
-from barweave.plans.evaluation import evaluate, write_reports
+from barweave.plans.evaluation import evaluate, report_order, write_reports
 from barweave.plans.pipelines import final_matrix, run_models, validate_prices
 from barweave.sources.registry import benchmark_map, feature_sets
 
@@ -197,7 +197,10 @@ def test_whole_chain(spark, tmp_path):
     for name, df in tables.items():
         rows = df.limit(1000).toPandas()
         assert len(rows) > 0 or name == "threshold_lift", name
-    write_reports({k: tables[k] for k in ("leaderboard", "mcnemar")}, str(tmp_path / "out"))
+    assert all(report_order(n, t.columns) for n, t in tables.items()) and len(report_order("high_low_backtest", tables["high_low_backtest"].columns)) == 8
+    write_reports({k: tables[k] for k in ("leaderboard", "mcnemar", "pooled_metrics")}, str(tmp_path / "out"))
+    pooled = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out" / "pooled_metrics")).toPandas()
+    assert list(pooled.accuracy) == sorted(pooled.accuracy, reverse=True)
     assert tables["completeness"].where("is_complete").count() >= 1
 
 
