@@ -7,9 +7,9 @@ probability equal to their weighted Jaccard similarity. Weights are discretised
 in part keeps the points below the weight. Points come in ascending time, so a process stops once it is behind every component.
 
 Bands of components name buckets. The distinct texts of a bucket are compared with its first text, then with the text
-that has most links so far; what remains in different classes is compared pair by pair. So a group of near copies of one original costs
-about one comparison for each of its texts, and no link is lost. Pairs are estimated from signatures (five standard errors
-of slack) and then verified by the overlap of their shingle bags.
+that has most links so far; what remains in different classes is compared within bounded cells of a bucket, which give only links that
+join classes. So a group of near copies of one original costs about one comparison for each of its texts, no list of pairs is made, and no
+class is missed. Pairs are estimated from signatures (five standard errors of slack) and then verified by the overlap of their shingle bags.
 """
 import re
 
@@ -253,20 +253,108 @@ def _verified(pairs, texts, similarity, k):
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of each linked node; root is the smallest node it reaches.
 
-    Every node takes the smallest root among its neighbours and then its root's root, until none changes. Only a count comes to the driver.
+    Every node takes the smallest root among its own and its neighbours', until none changes; every third time it also takes its root's root, so
+    long chains shorten by halves. Only an emptiness test comes to the driver.
     """
     edges = reuse(links.select(F.col("a").alias("node"), F.col("b").alias("peer")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("peer"))))
-    roots = reuse(edges.groupBy("node").agg(F.min("peer").alias("m")).select("node", F.least("node", "m").alias("root")))
+    roots, turn = edges.groupBy("node").agg(F.min("peer").alias("m")).select("node", F.least("node", "m").alias("root")), 0
+    roots = reuse(roots)
     while True:
-        heard = (edges.join(roots.select(F.col("node").alias("peer"), F.col("root").alias("r")), "peer").groupBy("node").agg(F.min("r").alias("r")))
-        moved = roots.join(heard, "node").select("node", F.col("root").alias("was"), F.least("root", "r").alias("root"))
-        up = roots.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        new = reuse(moved.join(up, "root", "left").select("node", "was", F.least("root", F.coalesce("top", "root")).alias("root")))
+        heard = edges.join(roots.select(F.col("node").alias("peer"), "root"), "peer").select("node", "root", F.lit(None).cast("binary").alias("was"))
+        own = roots.select("node", "root", F.col("root").alias("was"))
+        new = heard.unionByName(own).groupBy("node").agg(F.min("root").alias("root"), F.max("was").alias("was"))
+        turn += 1
+        if turn % 3 == 0:
+            up = roots.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            new = new.join(up, "root", "left").select("node", F.least("root", F.coalesce("top", "root")).alias("root"), "was")
+        new = reuse(new)
         if new.where(F.col("was") != F.col("root")).isEmpty():
             return new.select("node", "root")
         roots = new.select("node", "root")
 
 
+CELL = 256  # texts of a bucket that are compared with as many others in one task
+
+
+def _bag(text, k):
+    """Sorted hashes of a text's shingle occurrences: the n-th occurrence of a shingle has a hash of its own, so bags compare as sets."""
+    h = np.sort(_hashes(words(text), k))
+    first = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
+    nth = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    return np.sort(_mix(h + nth.astype(np.uint64) * _G))
+
+
+def _cell_links(rows, key, within, slack, similarity):
+    """Links that join different classes among the texts of one cell: rows (node, root, side, sig, keys, bag).
+
+    A pair counts in the first bucket it shares only, and not if its classes have met in this cell already: so a cell gives fewer links than texts.
+    """
+    parent = {}
+
+    def find(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+    side = np.array([r[2] for r in rows])
+    keys = [np.sort(r[4]) for r in rows]
+    out = []
+    for i in range(len(rows) - 1):
+        rest = sig[i + 1:]
+        likely = ((rest == sig[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= slack
+        if not within:
+            likely &= side[i + 1:] != side[i]
+        for j in np.flatnonzero(likely) + i + 1:
+            a, b = find(rows[i][1]), find(rows[j][1])
+            if a == b or np.intersect1d(keys[i], keys[j], assume_unique=True)[0] != key:
+                continue
+            x, y = rows[i][5], rows[j][5]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            alike = both / (len(x) + len(y) - both)
+            if alike >= similarity - 1e-12:
+                parent[max(a, b)] = min(a, b)
+                out.append((rows[i][0], rows[j][0], alike))
+    return out
+
+
+def _links_in_cells(open_, sigs, texts, similarity, slack, k):
+    """Links between the classes that still share a bucket. Large buckets are cut into cells of two blocks of ``CELL`` texts at most; no pair leaves
+    a task but the links."""
+    def bags(batches):
+        for batch in _slices(batches, TEXTS):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_bag(t.as_py(), k).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["node", "bag"])
+
+    held = texts.join(open_.select("node").distinct(), "node", "left_semi").mapInArrow(bags, "node binary, bag array<long>")
+    whole = held.join(sigs, "node")
+    blocks = open_.groupBy("key").agg(F.ceil(F.count("*") / CELL).alias("blocks"))
+    cells = open_.join(blocks, "key").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "root").join(whole, "node")
+
+    def run(batches):
+        at, rows = None, []
+
+        def done():
+            found = _cell_links(rows, at[0], at[1] == at[2], slack, similarity) if len({r[1] for r in rows}) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.binary(), pa.binary(), pa.float64()))], names=["a", "b", "similarity"])
+
+        for batch in batches:
+            key, lo, hi, side, node, root, sig, keys, bag = (batch.column(c) for c in range(9))
+            for i, cell in enumerate(zip(key.to_pylist(), lo.to_pylist(), hi.to_pylist())):
+                if cell != at:
+                    if rows:
+                        yield from done()
+                    at, rows = cell, []
+                rows.append((node[i].as_py(), root[i].as_py(), side[i].as_py(), sig[i].as_py(), np.array(keys[i].values), np.array(bag[i].values).view(np.uint64)))
+        if rows:
+            yield from done()
+
+    dealt = cells.select("key", "lo", "hi", "side", "node", "root", "sig", "keys", "bag").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+    return dealt.mapInArrow(run, "a binary, b binary, similarity double")
+
+
 def near_links(docs: DataFrame, id_col="doc_id", text_col="text", similarity=SIMILARITY, bands=BANDS, rows=ROWS, k=SHINGLE):
     """(texts, links, roots): the node of each row, links between distinct texts, and the root of each linked text."""
     owners = reuse(docs.select(F.col(id_col).alias("doc_id"), node_of(F.col(text_col)).alias("node")))
@@ -288,23 +376,23 @@ def near_links(docs: DataFrame, id_col="doc_id", text_col="text", similarity=SIM
         return reuse(_verified(close, texts, similarity, k))
 
     links = checked(entries.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-    roots = components(links)
+    # A first guess of the classes: it only decides which pairs need not be looked at again.
+    near = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    roots = reuse(near.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     degree = reuse(ends.groupBy("node").agg(F.count("*").alias("degree")))
     open_ = reuse(_undecided(entries, roots))
-    if not open_.isEmpty():
+    if open_.isEmpty():
+        roots = components(links)
+    else:
         hubs = (open_.join(degree, "node", "left").groupBy("key")
                 .agg(F.max_by(F.struct("node", "root"), F.struct(F.coalesce("degree", F.lit(0)), "node")).alias("hub")))
         star = open_.join(reuse(hubs), "key").where("root <> hub.root").select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
         more = checked(star)
-        if not more.isEmpty():
-            links = reuse(links.unionByName(more).distinct())
-            roots = components(links)
-            open_ = reuse(_undecided(entries, roots))
-        left, right = open_.alias("l"), open_.alias("r")
-        rest = (left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")))
-                .select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))
-        last = checked(rest)
+        links = reuse(links.unionByName(more).distinct())
+        roots = components(links)
+        open_ = reuse(_undecided(entries, roots))
+        last = reuse(_links_in_cells(open_, sigs, texts, similarity, slack, k))
         if not last.isEmpty():
             links = reuse(links.unionByName(last).distinct())
             roots = components(links)
