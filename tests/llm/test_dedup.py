@@ -106,7 +106,9 @@ def near_rows():
     return rows
 
 
-def test_near_groups_equal_brute_force(spark):
+@pytest.mark.parametrize("cell", [256, 3])
+def test_near_groups_equal_brute_force(spark, monkeypatch, cell):
+    monkeypatch.setattr(N, "CELL", cell)
     rows = near_rows()
     got = N.near_groups(docs(spark, rows))
     r = got.collect()
