@@ -250,13 +250,46 @@ def _verified(pairs, texts, similarity, k):
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, similarity double")
 
 
+CONTRACT = 100_000  # links that are merged by themselves first
+
+
+def _contracted(links):
+    """The same classes with shorter paths: links read together become links to the smallest node they join. No shuffle."""
+    def run(batches):
+        parent, seen = {}, 0
+
+        def find(x):
+            while parent.get(x, x) != x:
+                parent[x] = parent.get(parent[x], parent[x])
+                x = parent[x]
+            return x
+
+        def stars():
+            nodes = [x for x in parent if find(x) != x]
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([find(x) for x in nodes], pa.binary())], names=["a", "b"])
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = find(a), find(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+            seen += batch.num_rows
+            if seen >= CONTRACT:
+                yield stars()
+                parent, seen = {}, 0
+        yield stars()
+
+    return links.select("a", "b").mapInArrow(run, "a binary, b binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of each linked node; root is the smallest node it reaches.
 
-    Every node takes the smallest root among its own and its neighbours', until none changes; every third time it also takes its root's root, so
+    Links read together are contracted first. Then every node takes the smallest root among its own and its neighbours', until none changes; every third time it also takes its root's root, so
     long chains shorten by halves. Only an emptiness test comes to the driver.
     """
-    edges = reuse(links.select(F.col("a").alias("node"), F.col("b").alias("peer")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("peer"))))
+    ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("peer")), F.struct(F.col("b").alias("node"), F.col("a").alias("peer")))
+    edges = reuse(_contracted(links).select(F.explode(ends).alias("e")).select("e.*"))
     roots, turn = edges.groupBy("node").agg(F.min("peer").alias("m")).select("node", F.least("node", "m").alias("root")), 0
     roots = reuse(roots)
     while True:
