@@ -55,8 +55,8 @@ def pp_lags(n):
 
 
 def kpss_lags(n):
-    """The largest bandwidth that the automatic rule can choose."""
-    return min(int(1.1447 * (float(int(n ** (2 / 9))) ** 2) ** (1 / 3) * n ** (1 / 3)) + 1, n - 1)
+    """Lags that the automatic rule looks at; the bandwidth it then chooses can be anything up to n - 1."""
+    return int(n ** (2 / 9))
 
 
 def _products(i, y, home, n, p, top):
@@ -180,22 +180,20 @@ def _dfgls(by_lag, n, first, det):
 
 
 def _kpss(lags, parts, n, kind):
-    """Partial sums of the detrended series over its long-run variance, automatic bandwidth."""
+    """(scaled squares of the partial sums of the detrended series, its slope, the bandwidth of its long-run variance, the sum of the series)."""
     beta = 0.5 * lags[0, 1] / lags[0, 2] if kind == "ct" else 0.0
     auto = lags[:, 0] - beta * lags[:, 1] + beta ** 2 * lags[:, 2]
     s0, s1 = auto[0] / n, 0.0
-    for k in range(1, int(n ** (2 / 9)) + 1):
+    for k in range(1, kpss_lags(n) + 1):
         prod = auto[k] / (n / 2)
         s0 += prod
         s1 += k * prod
-    width = min(int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)), n - 1) if s0 else 0
-    width = min(width, len(auto) - 1)
-    lr = (auto[0] + 2 * sum((1 - k / (width + 1)) * auto[k] for k in range(1, width + 1))) / n
+    width = int(min(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3), n - 1)) if s0 else 0
     eta, start = 0.0, 0.0
     for count, total, l, ll, lq, q, qq in parts:  # chunks in order, each from the sum before it
         eta += ll + 2 * start * l + count * start ** 2 - 2 * beta * (lq + start * q) + beta ** 2 * qq
         start += total
-    return eta / n ** 2 / lr if lr > 0 else math.nan
+    return float(eta / n ** 2), float(beta), width, float(start)
 
 
 def adf_critical(n, kind):
@@ -217,24 +215,28 @@ def joint_class(a_c, a_ct, k_c, k_ct):
 _TESTS = [f"{t}_{k}" for t in ("dfgls", "pp", "adf", "kpss") for k in ("c", "ct")]
 _NAMES = ["n_obs", *[f"{t}_{s}" for t in _TESTS for s in ("stat", "reject")], "ar1_rho", "ar1_const"]
 _TYPES = ["long", *["double", "boolean"] * len(_TESTS), "double", "double"]
+# What the second pass of the KPSS test needs; its statistics come from there.
+_KPSS = [f"_{v}_{k}" for k in KPSS_5 for v in ("eta", "beta", "width", "total")]
+_KPSS_TYPES = ["double", "double", "long", "double"] * len(KPSS_5)
 
 
 def _solve(n, flat, first, by_lag, lags, parts):
-    """All statistics of a series from its products."""
-    out = dict.fromkeys(_NAMES)
+    """All statistics of a series from its products; of KPSS all but the long-run variance."""
+    out = dict.fromkeys(_NAMES + _KPSS)
     out["n_obs"] = n
     if flat:
         return out
     for kind, det in (("c", [2]), ("ct", [2, 3])):
         jobs = {"adf": (lambda: _adf(by_lag, adf_lags(n), det), lambda s: s < adf_critical(n, kind)),
                 "pp": (lambda: _pp(by_lag, n, det), lambda s: s < adf_critical(n, kind)),
-                "dfgls": (lambda: _dfgls(by_lag, n, first, det), lambda s: s < dfgls_critical(n, kind)),
-                "kpss": (lambda: _kpss(lags, parts, n, kind), lambda s: s > KPSS_5[kind])}
+                "dfgls": (lambda: _dfgls(by_lag, n, first, det), lambda s: s < dfgls_critical(n, kind))}
         for t, (stat, reject) in jobs.items():
             if n >= MIN_N[t]:
                 s = stat()
                 if math.isfinite(s):
                     out[f"{t}_{kind}_stat"], out[f"{t}_{kind}_reject"] = float(s), bool(reject(s))
+        if n >= MIN_N["kpss"]:
+            out |= zip([f"_{v}_{kind}" for v in ("eta", "beta", "width", "total")], _kpss(lags, parts, n, kind))
     if n >= MIN_N["ar1"]:
         b = _fit(sum(by_lag.values()), 0, [1, 2])[0]
         out["ar1_rho"], out["ar1_const"] = float(1 + b[0]), float(b[1])
@@ -244,8 +246,8 @@ def _solve(n, flat, first, by_lag, lags, parts):
 def series_tests(long: DataFrame) -> DataFrame:
     """The whole battery per (ticker, feature) of a long table (ticker, timestamp, feature, v).
 
-    Two passes over chunks: one for the products that every test is solved from, one for the robust error of the AR(1) coefficient, which needs its
-    residuals. The chunk tables are written once, since the solutions are read several times.
+    Passes over chunks: one for the products that every test is solved from, one for the robust error of the AR(1) coefficient, which needs its
+    residuals, and one for the long-run variances of the KPSS tests, which need their bandwidths. The chunk tables are written once, since the solutions are read several times.
     """
     x = reuse(centred(long))
     longest = x.agg(F.max("n")).first()[0] or 1
@@ -277,11 +279,15 @@ def series_tests(long: DataFrame) -> DataFrame:
                 parts.append(v)
         first = pdf["first"].dropna()
         o = _solve(n, bool(pdf["flat"].iloc[0]), float(first.iloc[0]), z, lags, parts)
-        return pd.DataFrame([[*key, *[o[c] for c in _NAMES]]], columns=[*SERIES, *_NAMES], dtype=object)
+        return pd.DataFrame([[*key, *[o[c] for c in _NAMES + _KPSS]]], columns=[*SERIES, *_NAMES, *_KPSS], dtype=object)
 
     # A group here holds n / CHUNK rows of products.
-    solved = reuse(products.groupBy(*SERIES).applyInPandas(solve, cols + ", " + ", ".join(f"{n} {t}" for n, t in zip(_NAMES, _TYPES))))
-    out = solved.join(_ar1_errors(x, solved), SERIES, "left")
+    solved = reuse(products.groupBy(*SERIES).applyInPandas(solve, cols + ", " + ", ".join(f"{n} {t}" for n, t in zip(_NAMES + _KPSS, _TYPES + _KPSS_TYPES))))
+    out = solved.join(_ar1_errors(x, solved), SERIES, "left").join(_long_run(x, solved), SERIES, "left")
+    for k, cut in KPSS_5.items():
+        lr = F.col(f"_lr_{k}")
+        out = out.withColumn(f"kpss_{k}_stat", F.when(lr > 0, F.col(f"_eta_{k}") / lr)).withColumn(f"kpss_{k}_reject", F.col(f"kpss_{k}_stat") > cut)
+    out = out.drop(*_KPSS, *[f"_lr_{k}" for k in KPSS_5])
     rho = F.col("ar1_rho")
     out = out.withColumn("ar1_halflife", F.when((rho > 0) & (rho < 1), -math.log(2) / F.ln(rho))).drop("ar1_const")
     out = out.join(long_memory(long).drop("gph_n"), SERIES, "left")
@@ -291,6 +297,41 @@ def series_tests(long: DataFrame) -> DataFrame:
     return out.withColumns({g: F.when(conflict, F.col(g)) for g in ("gph_d", "gph_se", "gph_pval_d0", "gph_m")})
 
 
+def _long_run(x, solved):
+    """Bartlett long-run variances of the detrended series for bandwidths of any length.
+
+    (width + 1) times the weighted sum of all lag products is the sum of squares of all sums of width + 1 neighbours, the cut ones at both ends
+    too. Such a sum is a difference of two running totals, so a chunk needs its rows and those width + 1 before them, not the rows between.
+    """
+    size = CHUNK
+    known = solved.where("_eta_c is not null").select(*SERIES, *_KPSS)
+    rows = running(x.select(*SERIES, "i", "y", "n"), SERIES, "i", sums={"total": F.col("y")}, block=F.floor(F.col("i") / size)).join(known, SERIES)
+    seen = [F.floor((F.col("i") + k) / size) for k in (F.lit(0), *[F.col(f"_width_{k}") + 1 for k in KPSS_5])]
+    rows = rows.drop("y").withColumn("chunk", F.explode(F.array_distinct(F.array(*seen))))
+
+    def gather(key, pdf):
+        pdf = pdf.sort_values("i")
+        n, i, total = int(pdf["n"].iloc[0]), pdf["i"].to_numpy(), pdf["total"].to_numpy()
+        out = []
+        for k in KPSS_5:
+            beta, width, end = float(pdf[f"_beta_{k}"].iloc[0]), int(pdf[f"_width_{k}"].iloc[0]), float(pdf[f"_total_{k}"].iloc[0])
+
+            def upto(t):
+                """The running total of the detrended series; 0 before it and its sum after it."""
+                inside = (t >= 0) & (t < n)
+                u = t[inside]
+                p = np.where(t < 0, 0.0, end)
+                p[inside] = total[np.searchsorted(i, u)] - beta * (u + 1.0) * (u + 1 - n) / 2
+                return p
+            t = np.arange(key[2] * size, min((key[2] + 1) * size, n + width + 1))
+            d = upto(t) - upto(t - width - 1)
+            out.append(float(d @ d) / (width + 1) / n)
+        return pd.DataFrame([(*key, *out)], columns=[*SERIES, "chunk", *KPSS_5])
+
+    return rows.groupBy(*SERIES, "chunk").applyInPandas(gather, "ticker string, feature string, chunk long, " + ", ".join(f"{k} double" for k in KPSS_5)).groupBy(
+        *SERIES).agg(*[F.sum(k).alias(f"_lr_{k}") for k in KPSS_5])
+
+
 def _ar1_errors(x, solved):
     """HAC standard error of the AR(1) coefficient: Bartlett sums of score products, lag by lag and chunk by chunk."""
     longest = x.agg(F.max("n")).first()[0] or 1

@@ -150,6 +150,32 @@ def test_battery_from_sums_equals_whole_series(spark, monkeypatch):
             assert close(got[k]["gph_d"], want["gph_d"])
 
 
+def test_kpss_bandwidth_has_no_cap(spark, monkeypatch):
+    """Negative autocovariances bring the rule's denominator near 0, and the bandwidth far above n^(1/3)."""
+    monkeypatch.setattr(S, "CHUNK", 64)
+    monkeypatch.setattr(S._chunked, "__defaults__", (64,))
+    rng = np.random.default_rng(12)
+    arrays, frames = {}, []
+    for k, (n, kind) in enumerate([(300, "diff"), (1000, "diff"), (3000, "diff"), (700, "ar"), (1500, "ar"), (900, "trended")]):
+        e = rng.normal(size=n + 1)
+        y = np.diff(e) + (0.01 * np.arange(n) if kind == "trended" else 0)
+        if kind == "ar":
+            y = np.zeros(n)
+            for i in range(1, n):
+                y[i] = -0.9 * y[i - 1] + e[i]
+        arrays[f"K{k}"] = y
+        frames.append(pd.DataFrame({"ticker": f"K{k}", "timestamp": pd.date_range("2020-01-01", periods=n), "feature": "f", "v": y}))
+    df = spark.createDataFrame(pd.concat(frames)).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    wide = 0
+    for r in S.series_tests(df).collect():
+        y = arrays[r["ticker"]]
+        for kind in ("c", "ct"):
+            stat, lags = R.kpss_stat(y, kind)
+            wide += lags > 64
+            assert close(r[f"kpss_{kind}_stat"], stat) and r[f"kpss_{kind}_reject"] == (stat > S.KPSS_5[kind]), (r["ticker"], kind, lags)
+    assert wide >= 4
+
+
 def test_long_memory_equals_whole_series(spark):
     df, arrays = panel(spark)
     for r in S.long_memory(df).collect():
