@@ -175,23 +175,22 @@ def _(t):
 
 # ---- walk-forward models: no SQL equivalent (iterative fits); checked against brute force in tests ----
 
-SETS3 = {"ECON": registry.CORE, "SENT_VAD_L": ["vader_title_score_mean"], "ECON_VAD_L": [*registry.CORE, "vader_title_score_mean"]}
+SETS = {set_id: features for set_id, _, _, _, features in registry.set_rows()}
 
 
 @query("panel_walk_forward")
 def _(t):
-    f = reuse(final_1d(t))
-    return L.panel_walk_forward(f, SETS3, days=180, chunk_days=60)
+    return L.panel_walk_forward(reuse(final_1d(t)), SETS, days=180, chunk_days=60)
 
 
 @query("panel_walk_forward_tuned")
 def _(t):
-    return L.panel_walk_forward(panel(t), {"ECON": registry.CORE}, days=180, chunk_days=60, grid=L.C_GRID, fixed_effects=True)
+    return L.panel_walk_forward(reuse(final_1d(t)), SETS, days=180, chunk_days=60, grid=L.C_GRID, fixed_effects=True)
 
 
 @query("asset_walk_forward")
 def _(t):
-    return L.asset_walk_forward(panel(t), {"ECON": registry.CORE}, chunk=100)
+    return L.asset_walk_forward(reuse(final_1d(t)), SETS, chunk=100)
 
 
 # ---- text ----------------------------------------------------------------------------------------

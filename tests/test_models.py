@@ -1,11 +1,17 @@
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from barweave.operators import forecasts as L
 from barweave.operators import inference as I
 from barweave.operators import windows as N
+from barweave.sources import registry
+
+SF = "/root/testdata/sf0.001"
 
 
 def panel(n=160, tickers=("A", "B", "C"), seed=0):
@@ -190,3 +196,13 @@ def test_bh_is_monotone_and_separate_by_family(spark):
     q = {r["test_id"]: r["q_value_bh"] for r in I.benjamini_hochberg(df).collect()}
     assert q["1"] == pytest.approx(0.03) and q["2"] == pytest.approx(0.04) and q["3"] == pytest.approx(0.04)
     assert q["4"] == pytest.approx(0.04) and q["5"] is None
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
+@pytest.mark.parametrize("name", ["panel_walk_forward", "asset_walk_forward", "panel_walk_forward_tuned"])
+def test_queries_forecast_every_registered_set(spark, monkeypatch, name):
+    seen = {}
+    monkeypatch.setattr(L, name.removesuffix("_tuned"), lambda df, sets, **how: seen.update(df=df, sets=sets) or df)
+    entry.queries()[name](spark, SF)
+    assert seen["sets"] == {r[0]: r[4] for r in registry.set_rows()} and len(seen["sets"]) == 17
+    assert {f for fs in seen["sets"].values() for f in fs} | {"ticker", "timestamp", "target"} <= set(seen["df"].columns)
