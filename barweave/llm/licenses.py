@@ -1,10 +1,11 @@
 """Licence notices in documents, by a trained classifier of text segments.
 
-Segments are sentences within lines. Their word one- and two-grams, of the vocabulary that the licence templates use, enter a sparse
+Segments are sentences within lines; blank lines end a paragraph. What is classified are the segments and, as notices are wrapped at any place,
+all runs of segments of a paragraph up to ``WINDOW`` words, with single newlines as spaces; longer segments also in overlapping windows. Their word one- and two-grams, of the vocabulary that the licence templates use, enter a sparse
 multinomial logistic regression fitted by Spark on variants of the templates (cut, thinned, and set among other words) and on segments of
 the corpus without licence words (a bounded sample: ``MAX_PLAIN``). A family's probability must pass a threshold calibrated on held-out variants
 and plain segments; below it a segment that is more likely a notice than not is of family "unknown". A prediction is confirmed when the
-segment contains enough of one of the family's templates.
+whole joined notice contains enough of one of the family's templates.
 """
 import random
 import re
@@ -21,6 +22,7 @@ MAX_PLAIN = 3000
 VARIANTS = 40
 SURE = 0.99  # share of held-out family predictions above the threshold that are right
 CONFIRMED = 0.6
+WINDOW = 48  # words of a run of segments; the longest template has 33
 NONE, UNKNOWN = "none", "unknown"
 
 # Customary wording of licence notices.
@@ -102,7 +104,7 @@ def plain_segments(docs: DataFrame, id_col="doc_id", text_col="text", limit=MAX_
 class Model:
     def __init__(self, families, vocab, weights, bias, threshold, templates):
         self.families, self.vocab, self.weights, self.bias, self.threshold = families, vocab, weights, bias, threshold
-        self.unigrams = {g for g in vocab if " " not in g}
+        self.columns = np.ascontiguousarray(weights.T)
         self.grams = {f: [(grams(tokens(t)), tokens(t)) for t in ts] for f, ts in templates.items()}
 
     def probabilities(self, ids):
@@ -115,23 +117,122 @@ class Model:
         have = grams(words)
         return max(len(g & have) / len(g) for g, _ in self.grams[family])
 
-    def classify(self, segment):
-        """(family, probability, similarity, confirmed) of a segment, or None for plain text."""
-        words = tokens(segment)
-        if self.unigrams.isdisjoint(words):
-            return None
-        ids = feature_ids(words, self.vocab)
-        p = self.probabilities(ids)
+    def label(self, p):
+        """(family, probability) of a unit by its probabilities, or None for plain text."""
         none = self.families.index(NONE)
         if p[none] >= 0.5:
             return None
         q = p.copy()
         q[none] = -1
         best = int(q.argmax())
-        sim = self.similarity(words, self.families[best])
-        if p[best] < self.threshold:
-            return UNKNOWN, float(p[best]), sim, False
-        return self.families[best], float(p[best]), sim, sim >= CONFIRMED
+        return (self.families[best] if p[best] >= self.threshold else UNKNOWN), float(p[best]), self.families[best]
+
+    def score(self, units):
+        """Probabilities of many units, each a set of feature ids."""
+        n = np.array([len(u) for u in units])
+        flat = np.fromiter((i for u in units for i in u), dtype=np.int64, count=int(n.sum()))
+        z = np.add.reduceat(self.columns[flat], np.r_[0, np.cumsum(n)[:-1]], axis=0) / np.sqrt(n)[:, None] + self.bias
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    def adds(self, words, more, family):
+        """Whether ``more`` brings a pair of words of the family's template nearest to the joined words that ``words`` lack."""
+        have, rest = grams(words[0] + words[1]), grams(more)
+        near = max((g for g, _ in self.grams[family]), key=lambda g: len(g & have) / len(g))
+        return any(" " in x for x in (near & have) - rest)
+
+    def notices(self, text):
+        """[first segment, family, probability, similarity, confirmed, words of the notice] of every notice of a text."""
+        parts = segments(text)
+        words = [tokens(s) for s in parts]
+        lookup, units, where = self.vocab.get, [], []
+
+        def ids(w):
+            return {i for i in map(lookup, grams(w)) if i is not None}
+        own = [ids(w) for w in words]
+        last = len(parts)
+        for i, w in enumerate(words):
+            if not w:
+                continue
+            if own[i]:
+                units.append(own[i])
+                where.append((i, i))
+                if len(w) > WINDOW:
+                    for at in range(0, len(w) - WINDOW // 2, WINDOW // 2):
+                        u = ids(w[at:at + WINDOW])
+                        if u:
+                            units.append(u)
+                            where.append((i, i))
+            # a run starts and ends with a segment that has words of the vocabulary
+            size, u, j = len(w), own[i], i + 1
+            while own[i] and j < last and words[j] and size + len(words[j]) <= WINDOW:
+                seam = lookup(f"{words[j - 1][-1]} {words[j][0]}")
+                u = u | own[j] if seam is None else u | own[j] | {seam}
+                size += len(words[j])
+                if own[j]:
+                    units.append(u)
+                    where.append((i, j))
+                j += 1
+        if not units:
+            return []
+        p = self.score(units)
+        none = self.families.index(NONE)
+        single, runs = {}, []
+        for k in np.flatnonzero(p[:, none] < 0.5):
+            (i, j), hit = where[k], self.label(p[k])
+            if i < j:
+                if hit[0] != UNKNOWN:
+                    runs.append((j - i, i, j, hit))
+            elif i not in single or (hit[0] != UNKNOWN, hit[1]) > (single[i][0] != UNKNOWN, single[i][1]):
+                single[i] = hit
+
+        def joined(i, j):
+            return [x for w in words[i:j + 1] for x in w]
+
+        def similar(i, j, family):
+            return self.similarity(joined(i, j), family)
+        # shortest runs first; a run counts where it holds no notice that is whole already, and both its ends belong to it
+        whole = {i for i, (f, _, best) in single.items() if f != UNKNOWN and similar(i, i, best) >= CONFIRMED}
+        found = []
+        for _, i, j, hit in sorted(runs, key=lambda r: (r[0], -r[3][1], r[1])):
+            f = hit[0]
+            if whole.isdisjoint(range(i, j + 1)) and self.adds((words[i], joined(i + 1, j)), joined(i + 1, j), f) and self.adds(
+                    (joined(i, j - 1), words[j]), joined(i, j - 1), f):
+                if similar(i, j, f) >= CONFIRMED or not any(k in single for k in range(i, j + 1)):
+                    found.append([i, j, hit])
+                    whole.update(range(i, j + 1))
+        taken = {k for i, j, _ in found for k in range(i, j + 1)}
+        found += [[i, i, hit] for i, hit in single.items() if i not in taken]
+        out = []
+        for i, j, (f, prob, best) in sorted(found, key=lambda x: x[0]):
+            if out and out[-1][1] == i - 1 and out[-1][2] == f:  # neighbours of one family are one notice
+                out[-1][1], out[-1][3] = j, max(out[-1][3], prob)
+            else:
+                out.append([i, j, f, prob, best])
+        # a wrapped notice also takes the lines beside it that go on with its template, whatever they are judged alone
+        grown = []
+        claimed = {k for i, j, f, *_ in out if f != UNKNOWN for k in range(i, j + 1)}
+        for i, j, f, prob, best in out:
+            if f == UNKNOWN:
+                grown.append([i, j, f, prob, best])
+                continue
+            while j + 1 < last and words[j + 1] and j + 1 not in claimed and self.adds((joined(i, j), words[j + 1]), joined(i, j), f):
+                j += 1
+                claimed.add(j)
+            while i > 0 and words[i - 1] and i - 1 not in claimed and self.adds((words[i - 1], joined(i, j)), joined(i, j), f):
+                i -= 1
+                claimed.add(i)
+            if grown and grown[-1][1] == i - 1 and grown[-1][2] == f:
+                grown[-1][1], grown[-1][3] = j, max(grown[-1][3], prob)
+            else:
+                grown.append([i, j, f, prob, best])
+        rows = []
+        for i, j, f, prob, best in grown:
+            if f == UNKNOWN and not claimed.isdisjoint(range(i, j + 1)):
+                continue
+            sim = similar(i, j, best)
+            rows.append([i, f, prob, sim, f != UNKNOWN and sim >= CONFIRMED, "\n".join(parts[i:j + 1])])
+        return rows
 
 
 def train(spark, plain, templates=TEMPLATES, variants=VARIANTS, seed=11) -> Model:
@@ -170,8 +271,8 @@ def train(spark, plain, templates=TEMPLATES, variants=VARIANTS, seed=11) -> Mode
 def license_notices(docs: DataFrame, id_col="doc_id", text_col="text", templates=TEMPLATES, max_plain=MAX_PLAIN) -> DataFrame:
     """One row per notice: doc_id, segment, family, probability, similarity, confirmed, notice.
 
-    Every segment of every whole text is scored. Neighbouring segments of one family are one notice, with the largest probability and
-    similarity of them. ``segment`` counts from 0. Null and empty texts have no notices; repeated rows repeat theirs; other columns are ignored.
+    Every segment of every whole text is scored, alone and in runs. Neighbouring segments of one family are one notice, with the largest probability of
+    them and the similarity of all its words. ``segment`` counts from 0. Null and empty texts have no notices; repeated rows repeat theirs; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     model = train(docs.sparkSession, plain_segments(docs, id_col, text_col, max_plain), templates)
@@ -182,17 +283,7 @@ def license_notices(docs: DataFrame, id_col="doc_id", text_col="text", templates
         for b in batches:
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                open_ = None
-                for n, s in enumerate(segments(t)):
-                    hit = m.classify(s)
-                    if hit is None:
-                        open_ = None
-                    elif open_ is not None and open_[2] == hit[0]:
-                        open_[3:6] = [max(open_[3], hit[1]), max(open_[4], hit[2]), open_[5] or hit[3]]
-                        open_[6] += "\n" + s
-                    else:
-                        open_ = [i, n, *hit, s]
-                        rows.append(open_)
+                rows += [[i, *r] for r in m.notices(t)]
             cols = list(zip(*rows)) if rows else [[]] * 7
             types = [b.schema.field(0).type, pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],

@@ -176,3 +176,20 @@ def test_license_notices(spark):
     assert [r["family"] for r in by[None]] == ["mit"] and [r["family"] for r in by[105]] == ["cc-by-nc"] and by[105][0]["segment"] == 4000
     assert not {100, 101, 102} & set(by) and not any(r["confirmed"] for i in (103, 104) for r in by.get(i, []))
     assert L.license_notices(docs(spark, [])).count() == 0
+
+
+def test_wrapped_license_notices(spark):
+    fill = "Nothing to see in this line of words about rivers and mills.\nDie Leute gingen unter der Brücke und das Jahr verging."
+    wrapped = {
+        "bsd": "Use of this source code is governed by a BSD-style license\nthat can be found in the LICENSE file.",
+        "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation",
+        "mit": "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated\ndocumentation files"}
+    rows = [(i, f"{fill}{gap}{n}{gap}{fill}") for i, (n, gap) in enumerate((n, gap) for n in wrapped.values() for gap in ("\n\n", "\n"))]
+    rows.append((50, "river mill " * 300 + L.TEMPLATES["mit"][2] + " stone" * 300))
+    by = {}
+    for r in L.license_notices(docs(spark, rows)).collect():
+        by.setdefault(r["doc_id"], []).append(r)
+    for i, f in enumerate(f for f in wrapped for _ in range(2)):
+        assert [(r["family"], r["confirmed"], r["notice"]) for r in by[i]] == [(f, True, wrapped[f])], (f, by.get(i))
+    assert all(by[i][0]["similarity"] > 0.95 for i in range(6))
+    assert [(r["family"], r["confirmed"]) for r in by[50]] == [("mit", True)]
