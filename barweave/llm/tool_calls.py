@@ -7,6 +7,7 @@ canonical JSON (sorted keys, no blanks, UTF-8).
 """
 import json
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,21 +20,80 @@ TURNS = 1024  # turns of a conversation that are ranked together
 _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+# Keywords that are checked, and those that only describe; any other is refused.
+_CHECKED = {"type", "enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "pattern", "minItems",
+            "maxItems", "items", "properties", "required", "additionalProperties", "anyOf", "oneOf", "allOf"}
+_NOTES = {"title", "description", "default", "examples", "$schema", "$id", "$comment"}
+
+
+def check_schema(schema, at="$"):
+    """Fails on a schema with a keyword that ``violations`` does not check."""
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at}: not a schema")
+    if unknown := sorted(set(schema) - _CHECKED - _NOTES):
+        raise ValueError(f"{at}: keywords that are not checked: {', '.join(unknown)}")
+    kinds = schema.get("type", [])
+    if unknown := {*(kinds if isinstance(kinds, list) else [kinds])} - {*_KINDS, "number", "integer"}:
+        raise ValueError(f"{at}: no such type: {', '.join(sorted(map(str, unknown)))}")
+    for k, v in schema.get("properties", {}).items():
+        check_schema(v, f"{at}.{k}")
+    for k in ("items", "additionalProperties"):
+        if k in schema:
+            check_schema(schema[k], f"{at}.{k}")
+    for k in ("anyOf", "oneOf", "allOf"):
+        for v in schema.get(k, []):
+            check_schema(v, f"{at}.{k}")
+
+
+def _equal(a, b):
+    """Equality of JSON values: true is not 1."""
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_equal, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_equal(v, b[k]) for k, v in a.items())
+    return isinstance(a, bool) == isinstance(b, bool) and a == b
+
+
+def _fits(value, kind):
+    if kind in ("number", "integer"):
+        number = isinstance(value, (int, float)) and not isinstance(value, bool)
+        return number and (kind == "number" or isinstance(value, int) or value.is_integer())
+    return isinstance(value, _KINDS[kind])
+
+
 def violations(value, schema, at="$"):
-    """What is wrong with a parsed value under the type, enum, range, length, items, properties and required rules of a schema."""
+    """What is wrong with a parsed value under a schema of the keywords that ``check_schema`` lets through."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: not allowed"]
     kind = schema.get("type")
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    fits = {None: True, "number": number, "integer": number and float(value).is_integer() if number and math.isfinite(value) else False}.get(
-        kind, isinstance(value, _KINDS.get(kind, object)))
-    if not fits:
-        return [f"{at}: not of type {kind}"]
+    if kind is not None and not any(_fits(value, k) for k in (kind if isinstance(kind, list) else [kind])):
+        return [f"{at}: not of type {' or '.join(kind) if isinstance(kind, list) else kind}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(_equal(value, v) for v in schema["enum"]):
         out.append(f"{at}: not among the allowed values")
+    if "const" in schema and not _equal(value, schema["const"]):
+        out.append(f"{at}: not the allowed value")
     if number and "minimum" in schema and value < schema["minimum"]:
         out.append(f"{at}: below {schema['minimum']}")
     if number and "maximum" in schema and value > schema["maximum"]:
         out.append(f"{at}: above {schema['maximum']}")
+    if number and "exclusiveMinimum" in schema and value <= schema["exclusiveMinimum"]:
+        out.append(f"{at}: not above {schema['exclusiveMinimum']}")
+    if number and "exclusiveMaximum" in schema and value >= schema["exclusiveMaximum"]:
+        out.append(f"{at}: not below {schema['exclusiveMaximum']}")
+    if isinstance(value, (str, list)) and len(value) > schema.get("maxLength" if isinstance(value, str) else "maxItems", math.inf):
+        out.append(f"{at}: too long")
+    if isinstance(value, str) and "pattern" in schema and not re.search(schema["pattern"], value):
+        out.append(f"{at}: not of the pattern")
+    for v in schema.get("allOf", []):
+        out += violations(value, v, at)
+    if "anyOf" in schema and all(violations(value, v, at) for v in schema["anyOf"]):
+        out.append(f"{at}: none of the alternatives")
+    if "oneOf" in schema and sum(not violations(value, v, at) for v in schema["oneOf"]) != 1:
+        out.append(f"{at}: not exactly one of the alternatives")
     if isinstance(value, (str, list)) and len(value) < schema.get("minLength" if isinstance(value, str) else "minItems", 0):
         out.append(f"{at}: too short")
     if isinstance(value, list) and "items" in schema:
@@ -47,6 +107,8 @@ def violations(value, schema, at="$"):
                 out += violations(value[k], known[k], f"{at}.{k}")
             elif schema.get("additionalProperties") is False:
                 out.append(f"{at}.{k}: not known")
+            else:
+                out += violations(value[k], schema.get("additionalProperties", True), f"{at}.{k}")
     return out
 
 
@@ -81,6 +143,9 @@ def check_call(tool, arguments, schemas):
 
 
 def _describe(schemas: dict):
+    for tool, schema in schemas.items():
+        check_schema(schema, tool)
+
     @F.pandas_udf("problems array<string>, json string")
     def run(d: pd.DataFrame) -> pd.DataFrame:
         out = []

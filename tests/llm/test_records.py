@@ -226,3 +226,16 @@ def test_pipeline_stages_against_brute_force(spark):
     want = sorted((r.doc_id, len(coder.encode(r.text)), hashlib.sha256(r.text.encode()).hexdigest()) for r in mixed.itertuples())
     out = P.run(spark, SMALL)
     assert sorted((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in out.collect()) == want
+
+
+def test_schema_rules_that_were_passed_over():
+    for schema, good, bad in (
+            ({"maxLength": 2}, "ab", "abc"), ({"maxItems": 1}, [1], [1, 2]), ({"pattern": "^a"}, "ab", "ba"), ({"const": 1}, 1.0, True),
+            ({"exclusiveMinimum": 0}, 0.1, 0), ({"exclusiveMaximum": 5}, 4, 5), ({"type": ["string", "null"]}, None, 3),
+            ({"anyOf": [{"type": "string"}, {"minimum": 3}]}, 3, 2), ({"oneOf": [{"minimum": 3}, {"maximum": 5}]}, 6, 4),
+            ({"allOf": [{"minimum": 3}, {"maximum": 5}]}, 4, 6), ({"enum": [1]}, 1, True), ({"additionalProperties": {"type": "string"}}, {"a": "x"}, {"a": 1})):
+        assert C.violations(good, schema) == [] and len(C.violations(bad, schema)) == 1, schema
+    C.check_schema({"type": "object", "properties": {"a": {"title": "x", "items": {"const": 1}}}})
+    for schema in ({"multipleOf": 2}, {"properties": {"a": {"format": "uri"}}}, {"type": "text"}, {"items": [{}]}):
+        with pytest.raises(ValueError):
+            C.check_schema(schema)
