@@ -22,7 +22,7 @@ MAX_PLAIN = 3000
 VARIANTS = 40
 SURE = 0.99  # share of held-out family predictions above the threshold that are right
 CONFIRMED = 0.6
-WINDOW = 48  # words of a run of segments; the longest template has 33
+WINDOW = 48  # words of a run of segments; the longest template has 29
 NONE, UNKNOWN = "none", "unknown"
 
 # Customary wording of licence notices.
