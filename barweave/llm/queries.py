@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..session import reuse
+from . import lexical, whitening, word_bpe
 from .ann import nearest
 from .bpe import round_trip
 from .common import prepared, table
@@ -139,3 +140,33 @@ c AS (SELECT *, hi - size AS lo, greatest(0, first + extra - blocks) * 16 AS hea
 SELECT doc_id, source, size, source_size, target, CAST(passes * size + greatest(0, least(head, hi) - lo) + greatest(0, least(tail, hi) - greatest(first * 16, lo)) AS BIGINT) AS taken FROM c""")
 def op10(spark, sf_dir):
     return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query("op11_rank_array_bpe")
+def op11(spark, sf_dir):
+    return word_bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+def terms_sql(table, id_col):
+    return (f"SELECT {id_col}, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+            rf"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM {table}")
+
+
+@query("op12_term_pipeline_search", rf"""
+WITH d AS ({terms_sql("documents", "doc_id")}), q AS ({terms_sql("benchmark", "item_id")}),
+post AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d) GROUP BY row, term),
+ask AS (SELECT row, term, count(*) AS times FROM (SELECT row, unnest(terms) AS term FROM q) GROUP BY row, term),
+total AS (SELECT count(*) FILTER (len(terms) > 0) AS n, CAST(sum(len(terms)) AS BIGINT) AS l FROM d),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM post, total GROUP BY term),
+m AS (SELECT row, doc_id, 100 - 75 + ((75 * len(terms) * n) // l) AS m FROM d, total WHERE len(terms) > 0),
+s AS (SELECT ask.row AS item, post.row AS row, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM ask JOIN post USING (term) JOIN w USING (term) JOIN m ON m.row = post.row GROUP BY ask.row, post.row)
+SELECT item_id, rank, doc_id, score FROM (SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id, s.row) AS INTEGER) AS rank, doc_id, score
+  FROM s JOIN m ON m.row = s.row JOIN q ON q.row = s.item WHERE score > 0) WHERE rank <= 10""")
+def op12(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_qdwh_whitening")
+def op13(spark, sf_dir):
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
