@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
 Targets share a token budget by weight, capped at a multiple of each source's size. Blocks of equal token count are the
-seats: highest quotients v / (2k - 1) give each source its blocks, and each shard of a source its share of them. Within a
+seats: highest quotients v / (2k - 1) give each source its blocks, and each shard of a source its share of them. The block is so
+small that the least target above zero holds ``FINE`` blocks, down to single words, so rounding loses no source. Within a
 shard the documents stand in a seeded order; every block is taken ``quota div blocks`` times, and the rest of the quota is
 a run of neighbouring blocks from a seeded start, so at most two documents of a shard are cut. Everything is DataFrame code.
 
@@ -12,13 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import reuse
-from .common import free_name, same
+from .common import same
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
-BLOCK = 16
+BLOCK, FINE = 16, 32  # words of a block at most; blocks that the least target holds
 SHARD_ROWS = 1500
 SEED = "mix-1"
 
@@ -87,10 +88,10 @@ def apportion(df: DataFrame, keys, votes, seats, order, name="quota") -> DataFra
 
 
 def mixture(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=SHARE, cap=CAP,
-            block=BLOCK, shard_rows=SHARD_ROWS) -> DataFrame:
+            block=None, shard_rows=SHARD_ROWS) -> DataFrame:
     """One row per input row: doc_id, source, text_key, size, source_size, target, taken, and where the taken words lie.
 
-    ``passes`` full copies are taken, then words [start_1, end_1) and [start_2, end_2) of the document. Sizes count words of any text, null
+    ``block`` fixes the words of a block, which else follow from the least target. ``passes`` full copies are taken, then words [start_1, end_1) and [start_2, end_2) of the document. Sizes count words of any text, null
     as empty; a null source is a source of its own; rows without words get taken 0. Rows are ordered by a digest of seed, id
     and text, so reruns agree and rows that repeat both are interchangeable. Other columns are ignored.
     """
@@ -100,16 +101,18 @@ def mixture(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sourc
         .withColumn("src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
         .withColumn("place", seeded(F.col("doc_id").cast("string"), F.col("text_key"))))
     sizes = rows.groupBy("src").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(Window.partitionBy())
+    words = F.lit(block) if block else F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.coalesce(least, F.lit(0.0)) / FINE)))
     goal = (targets(sizes, weights, share, cap).withColumn("shards", F.ceil(F.col("rows") / shard_rows).cast("long"))
-            .withColumn("blocks_wanted", F.col("target") / block))
+            .withColumn("block", words.cast("long")).withColumn("blocks_wanted", F.col("target") / F.col("block")))
     goal = goal.withColumn("seats", F.round(F.sum("blocks_wanted").over(Window.partitionBy())).cast("long"))
     goal = reuse(apportion(goal.withColumn("all", F.lit(1)), ["all"], "blocks_wanted", "seats", ["src"], "source_quota")
-                 .select("src", "source_size", "target", "shards", "source_quota"))
-    placed = (rows.join(goal.select("src", "source_size", "target", "shards"), "src")
+                 .select("src", "source_size", "target", "shards", "block", "source_quota"))
+    placed = (rows.join(goal.select("src", "source_size", "target", "shards", "block"), "src")
               .withColumn("shard", as_number(F.col("place")) % F.col("shards")))
     placed = reuse(placed)
-    shards = (placed.groupBy("src", "shard").agg(F.sum("size").alias("shard_size"))
-              .withColumn("blocks", F.ceil(F.col("shard_size") / block).cast("long")).join(goal.select("src", "source_quota"), "src"))
+    shards = (placed.groupBy("src", "shard").agg(F.sum("size").alias("shard_size"), F.first("block").alias("block"))
+              .withColumn("blocks", F.ceil(F.col("shard_size") / F.col("block")).cast("long")).join(goal.select("src", "source_quota"), "src"))
     shards = shards.withColumn("votes", F.col("blocks").cast("double"))
     limit = F.sum("blocks").over(Window.partitionBy("src")) * cap
     shards = shards.withColumn("seats", F.least(F.col("source_quota"), limit))
@@ -118,7 +121,7 @@ def mixture(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sourc
                      F.when(F.col("blocks") > 0, as_number(seeded(F.col("src"), F.col("shard").cast("string"))) % F.col("blocks"))
                      .otherwise(F.lit(0)).alias("first")))
     order = Window.partitionBy("src", "shard").orderBy("place", "doc_id", "size")
-    d = placed.join(quota, ["src", "shard"])
+    d, block = placed.join(quota, ["src", "shard"]), F.col("block")
     d = d.withColumn("b", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("a", F.col("b") - F.col("size"))
     passes = F.when(F.col("blocks") > 0, F.expr("quota div blocks")).otherwise(F.lit(0))
     extra = F.when(F.col("blocks") > 0, F.expr("quota % blocks")).otherwise(F.lit(0))
@@ -143,28 +146,28 @@ def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_co
 
     A cut joins its words by single blanks; whole copies keep their text. Documents of which nothing is taken are left out.
     """
-    start, end = free_name(docs, "cut_start"), free_name(docs, "cut_end")
+    names = docs.columns
+    given = {n: F.col(f"c{i}") for i, n in enumerate(names)}  # own names cannot clash with these
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    id_, text, source = (f"c{names.index(n)}" for n in (id_col, text_col, source_col))
     cut = F.col("end_1") - F.col("start_1") + F.col("end_2") - F.col("start_2")
     whole = F.col("passes") + F.when(cut >= F.col("size"), 1).otherwise(0)
-    pieces = F.array(*[F.struct(F.col(f"start_{i}").alias(start), F.col(f"end_{i}").alias(end)) for i in (1, 2)])
-    cuts = F.when(cut < F.col("size"), F.filter(pieces, lambda p: p[end] > p[start])).otherwise(F.expr("array()"))
-    uncut = F.array_repeat(F.struct(F.lit(None).cast("long").alias(start), F.lit(None).cast("long").alias(end)), whole.cast("int"))
-    plan = (mixture(docs, id_col, text_col, source_col, **how).where("taken > 0")
+    pieces = F.array(*[F.struct(F.col(f"start_{i}").alias("start"), F.col(f"end_{i}").alias("end")) for i in (1, 2)])
+    cuts = F.when(cut < F.col("size"), F.filter(pieces, lambda p: p["end"] > p["start"])).otherwise(F.expr("array()"))
+    uncut = F.array_repeat(F.struct(F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end")), whole.cast("int"))
+    plan = (mixture(docs, id_, text, source, **how).where("taken > 0")
             .select("doc_id", "source", "text_key", F.explode(F.concat(uncut, cuts)).alias("piece"))
             .groupBy("doc_id", "source", "text_key").agg(F.collect_list("piece").alias("pieces")))
-    plan = plan.select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("text_key").alias("_mix_key"),
-                       F.col("pieces").alias("_mix_pieces"))
-    names, key, many = docs.columns, free_name(docs, "text_key"), free_name(docs, "n_rows")
-    keyed = docs.withColumn(key, F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    keyed = docs.withColumn("key", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     # Rows that repeat id, source and text share one list of pieces, so one of them carries it.
-    repeats = keyed.groupBy(id_col, source_col, key).agg(F.count("*").alias(many)).where(F.col(many) > 1).select(
-        F.col(id_col).alias("_rep_id"), F.col(source_col).alias("_rep_source"), F.col(key).alias("_rep_key"))
-    match = (same(F.col(id_col), F.col("_rep_id")) & same(F.col(source_col), F.col("_rep_source")) & (F.col(key) == F.col("_rep_key")))
+    repeats = keyed.groupBy(id_, source, "key").agg(F.count("*").alias("many")).where("many > 1").select(
+        F.col(id_).alias("rep_id"), F.col(source).alias("rep_source"), F.col("key").alias("rep_key"))
+    match = same(F.col(id_), F.col("rep_id")) & same(F.col(source), F.col("rep_source")) & (F.col("key") == F.col("rep_key"))
     once = keyed.join(repeats, match, "left_anti")
-    first = keyed.join(repeats, match, "left_semi").dropDuplicates([id_col, source_col, key])
-    on = same(F.col(id_col), F.col("_mix_id")) & same(F.col(source_col), F.col("_mix_source")) & (F.col(key) == F.col("_mix_key"))
-    taken = once.unionByName(first).join(plan, on).withColumn("_piece", F.explode("_mix_pieces"))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    a, b = F.col(f"_piece.{start}"), F.col(f"_piece.{end}")
+    first = keyed.join(repeats, match, "left_semi").dropDuplicates([id_, source, "key"])
+    on = same(F.col(id_), F.col("doc_id")) & same(F.col(source), F.col("source")) & (F.col("key") == F.col("text_key"))
+    taken = once.unionByName(first).join(plan, on).withColumn("piece", F.explode("pieces"))
+    words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
+    a, b = F.col("piece.start"), F.col("piece.end")
     part = F.array_join(F.slice(words, (a + 1).cast("int"), (b - a).cast("int")), " ")
-    return taken.withColumn(text_col, F.when(a.isNull(), F.col(text_col)).otherwise(part)).select(*names)
+    return taken.withColumn(text, F.when(a.isNull(), F.col(text)).otherwise(part)).select(*[c.alias(n) for n, c in given.items()])

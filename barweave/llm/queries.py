@@ -125,10 +125,11 @@ w AS (SELECT *, 2.0 * source_size AS cap, sum(source_size) OVER () * 1.5 AS budg
 l AS (SELECT *, (budget - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(wt) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
   row_number() OVER o AS rk FROM w WINDOW o AS (ORDER BY cap / wt, source NULLS LAST)),
 t AS (SELECT *, least(cap, coalesce((SELECT arg_min(level, rk) FROM l WHERE level <= cap / wt), 'inf'::DOUBLE) * wt)::DOUBLE AS target FROM w),
-v AS (SELECT *, target / 16 AS votes, sum(target / 16) OVER () AS sum_votes, CAST(round(sum(target / 16) OVER ()) AS BIGINT) AS seats FROM t),
+u AS (SELECT *, CAST(greatest(1, least(16, floor(coalesce(min(target) FILTER (target > 0) OVER (), 0) / 32))) AS BIGINT) AS block FROM t),
+v AS (SELECT *, target / block AS votes, sum(target / block) OVER () AS sum_votes, CAST(round(sum(target / block) OVER ()) AS BIGINT) AS seats FROM u),
 sq AS (SELECT src, count(*) AS source_quota FROM ({seats_sql("v", "", "votes", "seats", "src")}) GROUP BY src),
-pl AS (SELECT p.*, t.source_size, t.target, CAST('0x' || substr(place, 1, 8) AS BIGINT) % CAST(shards AS BIGINT) AS shard FROM p JOIN t USING (src)),
-sh AS (SELECT src, shard, sum(size) AS shard_size, ceil(sum(size) / 16.0) AS blocks FROM pl GROUP BY src, shard),
+pl AS (SELECT p.*, u.source_size, u.target, u.block, CAST('0x' || substr(place, 1, 8) AS BIGINT) % CAST(shards AS BIGINT) AS shard FROM p JOIN u USING (src)),
+sh AS (SELECT src, shard, sum(size) AS shard_size, ceil(sum(size) * 1.0 / any_value(block)) AS blocks FROM pl GROUP BY src, shard),
 sv AS (SELECT sh.*, blocks AS votes, sum(blocks) OVER (PARTITION BY src) AS sum_votes,
   least(coalesce(source_quota, 0), 2 * sum(blocks) OVER (PARTITION BY src)) AS seats FROM sh LEFT JOIN sq USING (src)),
 q AS (SELECT src, shard, count(*) AS quota FROM ({seats_sql("sv", "src", "votes", "seats", "shard")}) GROUP BY src, shard),
@@ -136,8 +137,8 @@ b AS (SELECT src, shard, shard_size, CAST(blocks AS BIGINT) AS blocks, CAST(coal
   CASE WHEN blocks > 0 THEN CAST('0x' || substr(md5('mix-1:' || src || ':' || shard), 1, 8) AS BIGINT) % CAST(blocks AS BIGINT) ELSE 0 END AS first FROM sh LEFT JOIN q USING (src, shard)),
 r AS (SELECT *, sum(size) OVER (PARTITION BY src, shard ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) AS hi, CASE WHEN blocks > 0 THEN quota // blocks ELSE 0 END AS passes,
   CASE WHEN blocks > 0 THEN quota % blocks ELSE 0 END AS extra FROM pl JOIN b USING (src, shard)),
-c AS (SELECT *, hi - size AS lo, greatest(0, first + extra - blocks) * 16 AS head, least(shard_size, (first + extra) * 16) AS tail FROM r)
-SELECT doc_id, source, size, source_size, target, CAST(passes * size + greatest(0, least(head, hi) - lo) + greatest(0, least(tail, hi) - greatest(first * 16, lo)) AS BIGINT) AS taken FROM c""")
+c AS (SELECT *, hi - size AS lo, greatest(0, first + extra - blocks) * block AS head, least(shard_size, (first + extra) * block) AS tail FROM r)
+SELECT doc_id, source, size, source_size, target, CAST(passes * size + greatest(0, least(head, hi) - lo) + greatest(0, least(tail, hi) - greatest(first * block, lo)) AS BIGINT) AS taken FROM c""")
 def op10(spark, sf_dir):
     return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
