@@ -112,7 +112,17 @@ def violations(value, schema, at="$"):
     return out
 
 
+def _plain(value):
+    """Whole numbers without a fraction, so that 1 and 1.0 are written alike."""
+    if isinstance(value, float) and value.is_integer():
+        return int(value)
+    if isinstance(value, list):
+        return [_plain(v) for v in value]
+    return {k: _plain(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+
 def canonical(value):
+    value = _plain(value)
     text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     try:
         text.encode()
@@ -125,10 +135,24 @@ def _no_constant(name):
     raise ValueError(f"{name} is not JSON")
 
 
+def _finite(text):
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError(f"{text} is too large")
+    return value
+
+
+def _once(pairs):
+    value = dict(pairs)
+    if len(value) < len(pairs):
+        raise ValueError("a key is repeated")
+    return value
+
+
 def parse(text):
-    """(value, problem) of a JSON text."""
+    """(value, problem) of a JSON text. Numbers beyond doubles, literals such as NaN and objects that repeat a key are not taken."""
     try:
-        return json.loads(text, parse_constant=_no_constant), None
+        return json.loads(text, parse_constant=_no_constant, parse_float=_finite, object_pairs_hook=_once), None
     except (ValueError, TypeError, RecursionError):
         return None, "$: not JSON"
 

@@ -239,3 +239,12 @@ def test_schema_rules_that_were_passed_over():
     for schema in ({"multipleOf": 2}, {"properties": {"a": {"format": "uri"}}}, {"type": "text"}, {"items": [{}]}):
         with pytest.raises(ValueError):
             C.check_schema(schema)
+
+
+def test_json_that_is_none_is_refused():
+    import json
+    from barweave.llm import tool_calls as T
+    for bad in ("1e999", '{"a": -1e400}', '{"limit": 3, "limit": 99}', '[{"x": {"k": 1, "k": 1}}]', "NaN", "[Infinity]"):
+        assert T.parse(bad) == (None, "$: not JSON"), bad
+    assert T.canonical(T.parse('{"b": 1.0, "a": [2.50, 1e2, -0.0, true]}')[0]) == '{"a":[2.5,100,0,true],"b":1}'
+    assert json.loads(T.canonical({"id": "x", "call": {"name": "f", "arguments": "1e999"}, "result": None}))["call"]["arguments"] == "1e999"
