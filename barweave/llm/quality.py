@@ -73,7 +73,8 @@ def fold(doc_id: Column, folds=FOLDS) -> Column:
 def training_rows(docs, labels, id_col="doc_id", text_col="text", label_col="quality", max_labelled=MAX_LABELLED) -> DataFrame:
     """Features of at most about ``max_labelled`` labelled documents outside the held-out fold, lowest digests first.
 
-    Labels other than 0 and 1 and null ids do not count; repeated labels of a document count once if they agree, else not at all.
+    Labels other than 0 and 1 and null ids do not count; repeated labels of a document count once if they agree, else not at all. Of an
+    id's rows the text of the lowest digest counts.
     """
     y = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(F.col(id_col)) != HELD_OUT))
     y = y.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("_max")).where("y = _max").drop("_max")
@@ -81,7 +82,8 @@ def training_rows(docs, labels, id_col="doc_id", text_col="text", label_col="qua
     chosen = y.orderBy("digest").limit(max_labelled)
     # max_labelled rows of an id, a digit and a digest: bounded, so every task can hold them.
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    return known.select("doc_id", "y", "digest", feature_column(F.col("text")).alias("x")).dropDuplicates(["doc_id"])
+    first = F.min(F.struct(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")), "x")).alias("first")
+    return known.withColumn("x", feature_column(F.col("text"))).groupBy("doc_id", "y", "digest").agg(first).select("doc_id", "y", "digest", "first.x")
 
 
 def fit(sample: DataFrame, rivals=RIVALS, reg=1e-4) -> dict:
@@ -153,5 +155,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", **how) -> DataFrame:
     """The rows of ``docs`` that the model does not reject, with all their columns."""
-    score = free_name(docs, "score")
+    score = free_name(docs, "score")  # the only name that meets the table's own
     return docs.withColumn(score, score_column(fit_documents(docs, labels, id_col, text_col, **how), F.col(text_col))).where(F.col(score) >= 0.5).drop(score)

@@ -193,3 +193,11 @@ def test_wrapped_license_notices(spark):
         assert [(r["family"], r["confirmed"], r["notice"]) for r in by[i]] == [(f, True, wrapped[f])], (f, by.get(i))
     assert all(by[i][0]["similarity"] > 0.95 for i in range(6))
     assert [(r["family"], r["confirmed"]) for r in by[50]] == [("mit", True)]
+
+
+def test_repeated_ids_give_one_model(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "x", "!!", "9"]) for _ in range(rng.randint(1, 40)))) for i in range(40) for _ in range(2)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    models = [Q.fit_documents(docs(spark, r).repartition(n), labels) for r, n in ((rows, 1), (rows[::-1], 5), (rows, 7))]
+    assert all(np.allclose(m["weights"], models[0]["weights"], atol=1e-9) for m in models[1:])
