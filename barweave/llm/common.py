@@ -36,3 +36,17 @@ def same(a: Column, b: Column) -> Column:
 def text_key(text: Column) -> Column:
     """Tells rows that share a doc_id apart by their text."""
     return F.xxhash64(text)
+
+
+def stayers(docs: DataFrame, id_col, text_col, key_of, choose) -> DataFrame:
+    """The rows of ``docs`` that ``choose(docs, id, text)`` names by (doc_id, key, n_rows), one each, with all their columns.
+
+    ``key_of`` makes the key of a text. Meanwhile the columns have positional names, so none of the table's own can clash.
+    """
+    names = docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    id_, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    stay = choose(docs, id_, text).withColumnRenamed("key", "stay_key")
+    kept = docs.withColumn("key", key_of(F.col(text))).join(stay, same(F.col(id_), F.col("doc_id")) & (F.col("key") == F.col("stay_key")))
+    once, many = kept.where("n_rows = 1"), kept.where("n_rows > 1").dropDuplicates([id_, "key"])
+    return once.unionByName(many).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reuse
-from .common import free_name, same, text_key
+from .common import same, stayers, text_key
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PRIMES = (2147483647, 2147483629)
@@ -198,11 +198,5 @@ def exact_groups(docs: DataFrame, id_col="doc_id", text_col="text", **how) -> Da
 
 def drop_exact(docs: DataFrame, id_col="doc_id", text_col="text", **how) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    c = classes(docs, id_col, text_col, **how).where(same(F.col("doc_id"), F.col("keep_id")))
-    stay = c.select(F.col("doc_id").alias("_keep_doc"), F.col("text_key").alias("_keep_text"), F.col("n_rows").alias("_keep_rows"))
-    key = free_name(docs, "text_key")
-    keyed = docs.withColumn(key, text_key(F.col(text_col)))
-    kept = keyed.join(stay, same(F.col(id_col), F.col("_keep_doc")) & (F.col(key) == F.col("_keep_text")))
-    names = docs.columns
-    once = kept.where("_keep_rows = 1").select(*names)
-    return once.unionByName(kept.where("_keep_rows > 1").dropDuplicates(["_keep_doc", key]).select(*names))
+    return stayers(docs, id_col, text_col, text_key, lambda d, i, t: classes(d, i, t, **how).where(same(F.col("doc_id"), F.col("keep_id"))).select(
+        "doc_id", F.col("text_key").alias("key"), "n_rows"))

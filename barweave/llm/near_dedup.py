@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reuse
-from .common import free_name, same
+from .common import same, stayers
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -463,10 +463,4 @@ def _classes(docs, id_col, text_col, **how):
 
 def drop_near(docs: DataFrame, id_col="doc_id", text_col="text", **how) -> DataFrame:
     """The row that stays of each class, with all columns of ``docs``."""
-    stay = _classes(docs, id_col, text_col, **how).where("stays").select(
-        F.col("doc_id").alias("_keep_doc"), F.col("node").alias("_keep_node"), F.col("n_rows").alias("_keep_rows"))
-    key, names = free_name(docs, "node"), docs.columns
-    keyed = docs.withColumn(key, node_of(F.col(text_col)))
-    kept = keyed.join(stay, same(F.col(id_col), F.col("_keep_doc")) & (F.col(key) == F.col("_keep_node")))
-    once = kept.where("_keep_rows = 1").select(*names)
-    return once.unionByName(kept.where("_keep_rows > 1").dropDuplicates(["_keep_doc", key]).select(*names))
+    return stayers(docs, id_col, text_col, node_of, lambda d, i, t: _classes(d, i, t, **how).where("stays").select("doc_id", F.col("node").alias("key"), "n_rows"))

@@ -107,3 +107,31 @@ def test_mixed_documents_hold_the_taken_words(spark):
         assert words == whole or " ".join(words) in " ".join(whole) or len(words) < len(whole)
     assert have == want
     assert "Python" not in mix._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_sources_keep_their_words(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(100)), "large") for i in range(20)] + [(100 + i, "a b c", f"small {i}") for i in range(12)]
+    taken, goal = {}, {}
+    for r in M.mixture(docs(spark, rows)).collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        goal[r["source"]] = r["target"]
+        assert r["taken"] <= 2 * r["size"]
+    assert all(abs(taken[s] - goal[s]) <= 2 for s in goal), (taken, goal)
+    mix = M.mixed_documents(docs(spark, rows)).groupBy("source").count().collect()
+    assert {r["source"] for r in mix} == set(goal)
+
+
+def test_own_column_names_do_not_clash(spark):
+    """Every name that an operator uses inside, as a column of the table."""
+    import re as regex
+    from barweave.llm import common, exact_dedup, near_dedup, quality
+    source = "".join(open(m.__file__).read() for m in (common, exact_dedup, near_dedup, M, quality))
+    names = sorted({n for n in regex.findall(r'"([a-z_]\w*)"', source) if n not in ("doc_id", "text", "source", "lang")} | {"c0", "c1", "_keep_rows", "_mix_id", "_piece"})
+    rows = [(1, "a b c d e f g", "x"), (2, "a b c d e f g", "x"), (3, "A b c d e f g", "y"), (4, None, None), (4, None, None)]
+    d = spark.createDataFrame([(*r, *range(len(names))) for r in rows], ", ".join(["doc_id long, text string, source string", *(f"`{n}` int" for n in names)]))
+    assert [r["doc_id"] for r in exact_dedup.drop_exact(d).orderBy("doc_id").collect()] == [3, 4]
+    assert [r["doc_id"] for r in near_dedup.drop_near(d).orderBy("doc_id").collect()] == [1, 4]
+    mix = M.mixed_documents(d)
+    assert mix.columns == d.columns and {r["doc_id"] for r in mix.collect()} == {1, 2, 3}
+    assert exact_dedup.exact_groups(d).count() == near_dedup.near_groups(d).count() == M.mixture(d).count() == 5
+    assert quality.keep_good(d, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).columns == d.columns
