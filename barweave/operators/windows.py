@@ -128,15 +128,6 @@ def expanding_folds(df: DataFrame, keys, ts, n_folds) -> DataFrame:
     return x.withColumn("role", F.when(F.col("_b") == F.col("fold"), "valid").otherwise("train")).drop("_i", "_n", "_b")
 
 
-def chunked_rows(df: DataFrame, days, chunk_days, ts="timestamp") -> DataFrame:
-    """Each row once per test chunk whose windows can see it: about 1 + days / chunk_days copies."""
-    m = micros(ts)
-    c = int(chunk_days * DAY_MICROS)
-    home = F.floor(m / c)
-    last = F.floor((m + int(days * DAY_MICROS)) / c)
-    return df.withColumns({"_home": home, "chunk": F.explode(F.sequence(home, last))})
-
-
 def window_contract(signals: DataFrame, bars_per_day) -> DataFrame:
     """Violations of a rolling run's window columns, one row per broken rule."""
     d, n, mode = F.col("rolling_window_days"), F.col("rolling_window_timestamps"), F.col("train_window_mode")

@@ -10,6 +10,7 @@ from barweave.operators import forecasts as L
 from barweave.operators import inference as I
 from barweave.operators import windows as N
 from barweave.sources import registry
+from tests import reference_models as R
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,8 +35,8 @@ def test_solver_reaches_the_optimum():
     x = rng.normal(size=(200, 4))
     y = (x[:, 0] + rng.normal(size=200) > 0).astype(float)
     for c in (0.01, 1.0, 10.0):
-        w = L.fit_logit(x, y, c)
-        p = L.predict_logit(w, x)
+        w = R.fit_logit(x, y, c)
+        p = R.predict_logit(w, x)
         grad = np.r_[c * np.sum(p - y), w[1:] + c * x.T @ (p - y)]
         assert np.abs(grad).max() < 1e-6
 
@@ -50,8 +51,8 @@ def brute(pdf, features, days, c, init=0.5, least=30):
         te = pdf[pdf["timestamp"] == tau]
         x, xt = tr[features].to_numpy(float), te[features].to_numpy(float)
         mu, sd = x.mean(0), x.std(0)
-        w = L.fit_logit((x - mu) / sd, tr["target"].to_numpy(float), c)
-        for t, p in zip(te["ticker"], L.predict_logit(w, (xt - mu) / sd)):
+        w = R.fit_logit((x - mu) / sd, tr["target"].to_numpy(float), c)
+        for t, p in zip(te["ticker"], R.predict_logit(w, (xt - mu) / sd)):
             out[(pd.Timestamp(tau), t)] = p
     return out
 
@@ -106,12 +107,12 @@ def test_winsoriser_uses_own_limits_then_pooled():
     x = rng.normal(size=(60, 1))
     x[0] = 50.0
     tk = np.array(["A"] * 50 + ["B"] * 10)
-    pre = L.Preprocessor(x, tk, ["log_return_t"], False)
+    pre = R.Preprocessor(x, tk, ["log_return_t"], False)
     lo, hi = np.quantile(x[:50, 0], [0.005, 0.995])
     assert np.isclose(pre.clip(np.array([[99.0]]), np.array(["A"]))[0, 0], hi)
     assert pre.limits["B"] is None
     assert np.isclose(pre.clip(np.array([[99.0]]), np.array(["B"]))[0, 0], np.quantile(x[:, 0], 0.995))
-    assert L.Preprocessor(x, tk, ["other"], False).clip(x, tk).max() == 50.0
+    assert R.Preprocessor(x, tk, ["other"], False).clip(x, tk).max() == 50.0
 
 
 def test_rolling_probability_by_hand(spark):
@@ -206,3 +207,81 @@ def test_queries_forecast_every_registered_set(spark, monkeypatch, name):
     entry.queries()[name](spark, SF)
     assert seen["sets"] == {r[0]: r[4] for r in registry.set_rows()} and len(seen["sets"]) == 17
     assert {f for fs in seen["sets"].values() for f in fs} | {"ticker", "timestamp", "target"} <= set(seen["df"].columns)
+
+
+# ---- limits, gaps, effects and searches against one window at a time --------------------------------
+
+def rough_panel(n=100, seed=5):
+    """Heavy tails, gaps in one feature, a ticker that starts late and one that ends early."""
+    rng = np.random.default_rng(seed)
+    pdf = panel(n, ("A", "B", "C", "D"), seed)
+    pdf["log_return_t"] = rng.standard_t(2, len(pdf)) + pdf["signal"]
+    pdf["volume_diff"] = np.where(rng.random(len(pdf)) < 0.15, np.nan, rng.standard_t(3, len(pdf)))
+    day = (pdf["timestamp"] - pdf["timestamp"].min()).dt.days
+    return pdf[~((pdf.ticker == "D") & (day < n - 32)) & ~((pdf.ticker == "B") & (day > n - 12))].reset_index(drop=True)
+
+
+def one_by_one(pdf, sets, days, grid=None, effects=False, assets=False, objective="log_loss"):
+    out = {}
+    pdf = pdf.sort_values(["timestamp", "ticker"])
+    for part in ([g for _, g in pdf.groupby("ticker")] if assets else [pdf]):
+        times = np.sort(part["timestamp"].unique())
+        for tau in times[max(int(len(times) * 0.5), 30):]:
+            for s, feats in sets.items():
+                rows = part[(part["timestamp"] < tau) & ((part["timestamp"] >= tau - np.timedelta64(days, "D")) if days else True)].dropna(subset=feats)
+                te = part[part["timestamp"] == tau].dropna(subset=feats)
+                x, y, tk, ts = rows[feats].to_numpy(float), rows["target"].to_numpy(float), rows["ticker"].to_numpy(str), rows["timestamp"].to_numpy()
+                if len(rows) < 20 or not len(te) or len(np.unique(y)) < 2:
+                    continue
+                if grid:
+                    pre, w, c, score, status = R.tune(x, y, tk, ts, feats, effects, grid, objective, not assets)
+                else:
+                    pre = R.Preprocessor(x, tk, feats, effects)
+                    w, c, score, status = R.fit_logit(pre(x, tk), y, 1.0), 1.0, None, "fixed"
+                for t, p in zip(te["ticker"], R.predict_logit(w, pre(te[feats].to_numpy(float), te["ticker"].to_numpy(str)))):
+                    out[s, pd.Timestamp(tau), t] = p, c, score, status
+    return out
+
+
+ROUGH = {"R": ["log_return_t", "signal"], "V": ["volume_diff", "noise"], "RV": ["volume_diff", "log_return_t", "signal"]}
+
+
+@pytest.mark.parametrize("how", [{}, {"fixed_effects": True}, {"grid": L.C_GRID, "fixed_effects": True}, {"grid": (0.1, 10.0), "objective": "accuracy"}], ids=str)
+def test_panel_fits_equal_one_window_at_a_time(spark, how):
+    pdf = rough_panel()
+    want = one_by_one(pdf, ROUGH, 45, how.get("grid"), how.get("fixed_effects", False), objective=how.get("objective", "log_loss"))
+    got = L.panel_walk_forward(to_spark(spark, pdf).replace(float("nan"), None), ROUGH, days=45, chunk_days=20, **how).toPandas()
+    assert len(got) == len(want)
+    for r in got.itertuples():
+        p, c, score, status = want[r.set_id, r.timestamp, r.ticker]
+        assert r.hpo_status == status and r.best_C == c and abs(r.probability - p) < 1e-7, (r, p, c, status)
+        assert (score is None and np.isnan(r.hpo_score)) or abs(r.hpo_score - score) < 1e-7
+
+
+@pytest.mark.parametrize("how", [{}, {"grid": (0.1, 1.0)}], ids=str)
+def test_asset_fits_equal_one_window_at_a_time(spark, how):
+    pdf = rough_panel(130)
+    want = one_by_one(pdf, ROUGH, None, how.get("grid"), assets=True)
+    got = L.asset_walk_forward(to_spark(spark, pdf).replace(float("nan"), None), ROUGH, chunk=17, **how).toPandas()
+    assert len(got) == len(want)
+    for r in got.itertuples():
+        p, c, _, status = want[r.set_id, r.timestamp, r.ticker]
+        assert r.hpo_status == status and r.best_C == c and abs(r.probability - p) < 1e-7
+
+
+@pytest.mark.parametrize("bucket_rows", [10 ** 6, 60, 7])
+def test_quantiles_of_ranges(spark, bucket_rows):
+    from barweave.operators.ranges import range_quantiles
+    rng = np.random.default_rng(2)
+    v = pd.DataFrame({"k": rng.choice(["a", "b"], 700, p=[0.9, 0.1]), "t": rng.integers(0, 200, 700), "v": np.round(rng.standard_cauchy(700), 1)})
+    q = pd.DataFrame([(k, i, lo, lo + span) for k in "abc" for i, (lo, span) in enumerate([(0, 200), (10, 5), (50, 80), (199, 1), (300, 9), (20, 180), (7, 0)])], columns=["k", "win", "lo", "hi"])
+    got = range_quantiles(spark.createDataFrame(v), spark.createDataFrame(q), ["k"], (0.005, 0.5, 0.995), bucket_rows).collect()
+    assert {(r["k"], r["win"]) for r in got} == {(k, i) for k in "ab" for i in range(7)} and len(got) == 14
+    for r in got:
+        a = q[(q.k == r["k"]) & (q.win == r["win"])].iloc[0]
+        seg = v[(v.k == r["k"]) & (v.t >= a.lo) & (v.t < a.hi)].v.to_numpy()
+        assert r["n"] == len(seg)
+        if len(seg):
+            np.testing.assert_allclose(r["q"], np.quantile(seg, (0.005, 0.5, 0.995)), rtol=1e-12, atol=1e-12)
+        else:
+            assert all(np.isnan(x) for x in r["q"])
