@@ -351,19 +351,34 @@ def _cell_links(rows, key, within, slack, similarity):
     return out
 
 
+def _cells(open_):
+    """The entries (key, node, root) of mixed buckets at every pair of blocks (lo, hi) that they are compared in.
+
+    A class with many texts in a bucket has blocks of its own, smaller classes share blocks; two blocks of one class never meet, since its texts are linked
+    already. So a bucket of many copies and a few strangers sends the copies once and the strangers once per block.
+    """
+    sizes = open_.groupBy("key", "root").agg(F.count("*").alias("n"))
+    small = sizes.where(F.col("n") * 2 < CELL).groupBy("key").agg(F.ceil(F.sum("n") / CELL).alias("shared"))
+    sizes = sizes.join(small, "key", "left").withColumn("own", F.when(F.col("n") * 2 >= CELL, F.ceil(F.col("n") / CELL)))
+    name = F.hex(F.col("root").cast("binary"))
+    side = F.when(F.col("own").isNotNull(), F.concat_ws(":", name, F.pmod(F.xxhash64("node"), F.col("own")))).otherwise(F.concat_ws(":", F.lit(""), F.pmod(F.xxhash64("root"), F.col("shared"))))
+    placed = reuse(open_.join(sizes, ["key", "root"]).select("key", "node", "root", side.alias("side"), F.when(F.col("own").isNotNull(), F.col("root")).alias("only")))
+    blocks = placed.select("key", "side", "only").distinct()
+    a, b = blocks.select("key", F.col("side").alias("lo"), F.col("only").alias("x")), blocks.select("key", F.col("side").alias("hi"), F.col("only").alias("y"))
+    pairs = a.join(b, "key").where((F.col("lo") <= F.col("hi")) & F.coalesce(F.col("x") != F.col("y"), F.lit(True))).select("key", "lo", "hi")
+    ends = pairs.withColumn("side", F.explode(F.array_distinct(F.array("lo", "hi"))))
+    return placed.drop("only").join(ends, ["key", "side"]).select("key", "lo", "hi", "side", "node", "root")
+
+
 def _links_in_cells(open_, sigs, texts, similarity, slack, k):
-    """Links between the classes that still share a bucket. Large buckets are cut into cells of two blocks of ``CELL`` texts at most; no pair leaves
-    a task but the links."""
+    """Links between the classes that still share a bucket, from the pairs of blocks that ``_cells`` names; no pair leaves a task but the links."""
     def bags(batches):
         for batch in _slices(batches, TEXTS):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_bag(t.as_py(), k).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["node", "bag"])
 
     held = texts.join(open_.select("node").distinct(), "node", "left_semi").mapInArrow(bags, "node binary, bag array<long>")
     whole = held.join(sigs, "node")
-    blocks = open_.groupBy("key").agg(F.ceil(F.count("*") / CELL).alias("blocks"))
-    cells = open_.join(blocks, "key").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = cells.select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "root").join(whole, "node")
+    cells = _cells(open_).join(whole, "node").select("key", "lo", "hi", "side", "node", "root", "sig", "keys", "bag")
 
     def run(batches):
         at, rows = None, []
@@ -384,7 +399,7 @@ def _links_in_cells(open_, sigs, texts, similarity, slack, k):
         if rows:
             yield from done()
 
-    dealt = cells.select("key", "lo", "hi", "side", "node", "root", "sig", "keys", "bag").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+    dealt = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
     return dealt.mapInArrow(run, "a binary, b binary, similarity double")
 
 

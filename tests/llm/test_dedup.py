@@ -141,3 +141,19 @@ def test_signatures_estimate_weighted_similarity():
         assert abs((s[0] == s[1]).mean() - true) < 4 * np.sqrt(true * (1 - true) / 4000)
         alone = N.signatures([b], 4000)  # what else is signed does not matter
         assert (alone[0] == s[1]).all()
+
+
+def test_cells_of_a_hot_bucket_grow_with_its_texts(spark):
+    """A large class and some strangers: the class is sent once, not once per block; every pair of different classes meets."""
+    rows = [("k", f"n{i:05d}", "big") for i in range(3000)] + [("k", f"s{i}", f"s{i % 2}") for i in range(3)] + [("k", f"m{i:04d}", "mid") for i in range(300)] + [("j", "n00001", "big"), ("j", "s1", "s1")]
+    open_ = spark.createDataFrame([(k, n.encode(), r.encode()) for k, n, r in rows], "key string, node binary, root binary")
+    cells = N._cells(open_).collect()
+    assert len(cells) < 5 * len(rows)  # two large classes: 12 blocks meet 2
+    met, members = set(), {}
+    for c in cells:
+        members.setdefault((c["key"], c["lo"], c["hi"]), []).append((c["side"], bytes(c["node"]), bytes(c["root"])))
+    for (key, lo, hi), m in members.items():
+        assert len(m) <= 2 * 2 * N.CELL
+        met |= {(key, *sorted((a[1], b[1]))) for a in m for b in m if a[2] != b[2] and (lo == hi or a[0] != b[0])}
+    want = {(k, *sorted((a.encode(), b.encode()))) for k, a, x in rows for q, b, y in rows if k == q and x != y}
+    assert met == want
