@@ -557,17 +557,18 @@ FROM pairs_c GROUP BY {G}, timestamp""", "pairs_c")
 
 
 def _dm_sql(v):
-    return f"""SELECT {G}, n_timestamps, n_matched, effect, effect_ntweighted, FALSE AS degenerate, hac_lag, block_length, se_hac, effect / se_hac AS z_hac,
- {normal_sql('(effect / se_hac)')} AS p_hac, TRUE AS test_valid, '' AS skip_reason FROM (
+    return f"""SELECT {G}, n_timestamps, n_matched, effect, effect_ntweighted, degenerate, hac_lag, block_length, CASE WHEN NOT degenerate THEN se_hac END AS se_hac, z_hac,
+ {normal_sql('z_hac')} AS p_hac, NOT degenerate AS test_valid, CASE WHEN degenerate THEN 'degenerate_zero_variance' ELSE '' END AS skip_reason FROM (
+ SELECT *, CASE WHEN NOT degenerate AND se_hac > 0 THEN effect / se_hac END AS z_hac FROM (
  SELECT {G}, any_value(n) AS n_timestamps, any_value(nm) AS n_matched, any_value(mu) AS effect, any_value(nw) AS effect_ntweighted, any_value(l) AS hac_lag,
-  any_value(blk) AS block_length, sqrt(greatest(CASE WHEN sum(w * p) < 0 THEN sum(CASE WHEN k = 0 THEN p END) ELSE sum(w * p) END, 0) / any_value(n) / any_value(n)) AS se_hac FROM (
+  any_value(n) < 2 OR any_value(spread) < 1e-18 AS degenerate, any_value(blk) AS block_length, sqrt(greatest(CASE WHEN sum(w * p) < 0 THEN sum(CASE WHEN k = 0 THEN p END) ELSE sum(w * p) END, 0) / any_value(n) / any_value(n)) AS se_hac FROM (
   SELECT a.*, k, a.x * b.x AS p, CASE WHEN k = 0 THEN 1.0 ELSE 2 * (1 - k / (a.l + 1.0)) END AS w FROM dtc_{v} a CROSS JOIN range(0, 40) r(k)
-   JOIN (SELECT {G}, pos AS pb, x FROM dtc_{v}) b USING ({G}) WHERE k <= a.l AND b.pb = a.pos + k) GROUP BY {G})"""
+   JOIN (SELECT {G}, pos AS pb, x FROM dtc_{v}) b USING ({G}) WHERE k <= a.l AND b.pb = a.pos + k) GROUP BY {G}))"""
 
 
 for _v in ("ll", "acc"):
     cte(f"dtc_{_v}", f"""SELECT *, {_v} - mu AS x, CAST(floor(4 * pow(n / 100.0, 2.0 / 9)) AS BIGINT) AS l, greatest(CAST(round_even(pow(n, 1.0 / 3), 0) AS BIGINT), 1) AS blk FROM (
- SELECT *, row_number() OVER (PARTITION BY {G} ORDER BY timestamp) AS pos, count(*) OVER w AS n, sum(n_t) OVER w AS nm, avg({_v}) OVER w AS mu,
+ SELECT *, row_number() OVER (PARTITION BY {G} ORDER BY timestamp) AS pos, count(*) OVER w AS n, sum(n_t) OVER w AS nm, avg({_v}) OVER w AS mu, var_pop({_v}) OVER w AS spread,
   sum({_v} * n_t) OVER w / sum(n_t) OVER w AS nw FROM dt WINDOW w AS (PARTITION BY {G}))""", "dt")
     cte(f"dm_{_v}", _dm_sql(_v), f"dtc_{_v}")
 DM_D, DM_L = "effect effect_ntweighted se_hac z_hac p_hac", "n_timestamps n_matched hac_lag block_length"
@@ -592,9 +593,21 @@ def _(t):
     return I.timestamp_test(cpairs(t), "acc", n_boot=0)
 
 
-@query("block_bootstrap")
+cte("boot_size", f"""SELECT *, ceil(t * 1.0 / length)::BIGINT AS blocks, t - length + 1 AS starts, t - (ceil(t * 1.0 / length)::BIGINT - 1) * length AS short,
+ concat_ws('|', {", ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in G.split(", "))}) AS g
+FROM (SELECT {G}, effect, n_timestamps AS t, CASE WHEN n_timestamps > block_length THEN block_length ELSE 1 END AS length FROM dm_ll WHERE NOT degenerate)""", "dm_ll")
+cte("boot_total", f"SELECT {G}, pos AS place, sum(ll) OVER (PARTITION BY {G} ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS total FROM dtc_ll UNION ALL SELECT {G}, 0, 0.0 FROM boot_size", "dtc_ll", "boot_size")
+cte("boot_draws", f"""SELECT {G}, effect, t, r, b = blocks - 1 AS is_last, CAST('0x' || substr(md5('{I.BOOT_SEED}:' || g || ':' || r || ':' || b), 1, 8) AS BIGINT) % starts AS start
+FROM (SELECT *, unnest(range(0, blocks)) AS b FROM boot_size, range(0, {I.N_BOOT}) reps(r))""", "boot_size")
+cte("boot_sums", f"""SELECT s.*, f.total - s.total AS full_sum, q.total - s.total AS rest_sum FROM (SELECT {G}, place, total, length, short FROM boot_total JOIN boot_size USING ({G}) WHERE place < starts) s
+ JOIN (SELECT {G}, place AS f_at, total FROM boot_total) f USING ({G}) JOIN (SELECT {G}, place AS q_at, total FROM boot_total) q USING ({G}) WHERE f_at = s.place + length AND q_at = s.place + short""", "boot_total")
+cte("boot", f"""SELECT {G}, stddev_samp(m) AS se_boot, quantile_cont(m, 0.025) AS ci95_low, quantile_cont(m, 0.975) AS ci95_high, avg(CASE WHEN abs(m - effect) >= abs(effect) THEN 1.0 ELSE 0.0 END) AS p_boot
+FROM (SELECT {G}, r, any_value(effect) AS effect, sum(CASE WHEN is_last THEN rest_sum ELSE full_sum END) / any_value(t) AS m FROM boot_draws d
+ JOIN (SELECT {G}, place AS start, full_sum, rest_sum FROM boot_sums) s USING ({G}, start) GROUP BY {G}, r) GROUP BY {G}""", "boot_draws", "boot_sums")
+
+
+@query("block_bootstrap", f"SELECT * FROM dm_ll LEFT JOIN boot USING ({G})", ["dm_ll", "boot"], doubles=f"{DM_D} se_boot ci95_low ci95_high p_boot", longs=DM_L)
 def _(t):
-    """Checked against brute force in the tests: random draws have no SQL equivalent."""
     return I.timestamp_test(cpairs(t), "ll")
 
 

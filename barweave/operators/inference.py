@@ -1,16 +1,15 @@
 """Tests on matched forecasts: clustered differences, timestamp differentials, bootstrap, BH families."""
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.identity import GROUP_KEYS
 from ..functions.numeric import log_loss, ratio
 from ..functions.tails import normal_two_sided, t_two_sided
-from .sequence import with_position
+from ..session import reuse
+from .sequence import running, with_position
 
 # Tolerances, bootstrap size and level, small-cluster warning, test families.
 ZERO_SE = 1e-12
@@ -115,53 +114,50 @@ def hac(diff: DataFrame, stats: DataFrame, value, keys=GROUP_KEYS) -> DataFrame:
     return g.select(*keys, F.sqrt(F.greatest(omega, F.lit(0.0)) / F.col("_t")).alias("se_hac"))
 
 
-def _replicates(prefix, length, reps, seed):
-    """Means of overlapping moving-block resamples, from the prefix sums of one series."""
-    t = len(prefix) - 1
-    rng = np.random.default_rng(seed)
-    if t - length <= 0:
-        d = np.diff(prefix)
-        return d[rng.integers(0, t, size=(reps, t))].mean(axis=1)
-    blocks = -(-t // length)
-    starts = rng.integers(0, t - length + 1, size=(reps, blocks))
-    size = np.full(blocks, length)
-    size[-1] = t - (blocks - 1) * length
-    return (prefix[starts + size] - prefix[starts]).sum(axis=1) / t
+def group_name(keys) -> Column:
+    return F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+
+
+def drawn_start(group, replicate, block, starts, seed=BOOT_SEED) -> Column:
+    """The start of a drawn block among ``starts``, from a digest of seed, group, replicate and block: a draw depends on its coordinates alone."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), group, replicate.cast("string"), block.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % starts
+
+
+def block_sums(diff: DataFrame, sizes: DataFrame, value, keys) -> DataFrame:
+    """(keys, start, full, rest): sums of a whole block and of the shorter last one from every start, as differences of running totals."""
+    rows = running(diff.where(F.col(value).isNotNull()).select(*keys, "timestamp", value), keys, "timestamp", sums={"_sum": F.col(value), "_pos": F.lit(1)})
+    total = rows.select(*keys, F.col("_pos").cast("long").alias("at"), "_sum").unionByName(sizes.select(*keys, F.lit(0).cast("long").alias("at"), F.lit(0.0).alias("_sum")))
+    total = reuse(total)
+    start = total.join(sizes, keys).where(F.col("at") < F.col("starts")).select(
+        *keys, F.col("at").alias("start"), F.col("_sum").alias("_from"), (F.col("at") + F.col("length")).alias("_full"), (F.col("at") + F.col("short")).alias("_rest"))
+    for c in ("full", "rest"):
+        start = start.join(total.select(*keys, F.col("at").alias(f"_{c}"), F.col("_sum").alias(c)), [*keys, f"_{c}"])
+    return start.select(*keys, "start", *[(F.col(c) - F.col("_from")).alias(c) for c in ("full", "rest")])
 
 
 def bootstrap(diff: DataFrame, stats: DataFrame, value, keys=GROUP_KEYS, n_boot=N_BOOT, seed=BOOT_SEED) -> DataFrame:
     """Moving-block bootstrap of the mean: SE, 95 % interval, centred two-sided p.
 
-    A group's series (one number per timestamp, so bounded by the calendar) travels as one array to chunks of
-    replicates, which run in parallel with seeds of their own; only replicate means come back. The
-    replicate count is a constant, so the exact percentiles keep a constant-size state.
+    A replicate adds up the sums of its drawn blocks, which an equi-join looks up by start; a series of at most one block is drawn value by value.
+    Draws are column code over (group, replicate, block), dealt by chunks of replicates, and a task sums whole replicates, so
+    what it shuffles is one number each. The replicate count is a constant, so the exact percentiles keep a constant-size state.
     """
     keys = list(keys)
-    arr = diff.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("timestamp").alias("t"), F.col(value).alias("v")))).alias("_s"))
-    chunks = -(-n_boot // BOOT_CHUNK)
-    jobs = arr.join(stats.where(~F.col("degenerate")).select(*keys, "effect", "block_length"), keys).select(
-        *keys, "effect", "block_length", F.transform("_s", lambda s: s.v).alias("_d"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"))
-    jobs = jobs.repartition(*keys, "_chunk")
-
-    def run(batches):
-        for pdf in batches:
-            outs = []
-            for _, r in pdf.iterrows():
-                reps = min(BOOT_CHUNK, n_boot - int(r["_chunk"]) * BOOT_CHUNK)
-                prefix = np.concatenate([[0.0], np.cumsum(np.asarray(r["_d"], dtype=float))])
-                m = _replicates(prefix, int(r["block_length"]), reps, [seed, int(r["_chunk"])])
-                o = pd.DataFrame({"_mean": m})
-                for k in keys:
-                    o[k] = r[k]
-                o["effect"] = r["effect"]
-                outs.append(o[[*keys, "effect", "_mean"]])
-            yield pd.concat(outs) if outs else pd.DataFrame(columns=[*keys, "effect", "_mean"])
-
-    schema = ", ".join([*[f"`{k}` {jobs.schema[k].dataType.simpleString()}" for k in keys], "effect double", "_mean double"])
+    t = F.col("n_timestamps")
+    length = F.when(t > F.col("block_length"), F.col("block_length")).otherwise(1).cast("long")
+    sizes = stats.where(~F.col("degenerate")).select(*keys, "effect", t.alias("t"), length.alias("length"))
+    sizes = reuse(sizes.withColumn("blocks", F.ceil(F.col("t") / F.col("length"))).withColumns({
+        "starts": F.col("t") - F.col("length") + 1, "short": F.col("t") - (F.col("blocks") - 1) * F.col("length"), "g": group_name(keys)}))
+    jobs = sizes.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(-(-n_boot // BOOT_CHUNK) - 1)))).repartition(*keys, "chunk")
+    first = (F.col("chunk") * BOOT_CHUNK).cast("long")
+    draws = jobs.withColumn("r", F.explode(F.sequence(first, F.least(first + BOOT_CHUNK, F.lit(n_boot)) - 1)))
+    draws = draws.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    draws = draws.select(*keys, "effect", "t", "r", (F.col("b") == F.col("blocks") - 1).alias("is_last"), drawn_start(F.col("g"), F.col("r"), F.col("b"), F.col("starts"), seed).alias("start"))
+    sums = block_sums(diff, sizes.select(*keys, "length", "short", "starts"), value, keys)
+    reps = draws.join(sums, [*keys, "start"]).groupBy(*keys, "r").agg(
+        (F.sum(F.when(F.col("is_last"), F.col("rest")).otherwise(F.col("full"))) / F.max("t")).alias("_mean"), F.max("effect").alias("effect"))
     m = F.col("_mean")
-    reps = jobs.select(*keys, "effect", "block_length", "_d", "_chunk").mapInPandas(run, schema)
     g = reps.groupBy(*keys).agg(
         F.stddev_samp(m).alias("se_boot"), F.percentile(m, F.array(F.lit(0.025), F.lit(0.975))).alias("_ci"),
         F.avg((F.abs(m - F.col("effect")) >= F.abs("effect")).cast("int")).alias("p_boot"))
