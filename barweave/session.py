@@ -1,5 +1,7 @@
 """Session settings shared by jobs, tests and the bench."""
+import re
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,8 +43,16 @@ def use_utc(spark):
 
 
 def shared_folder(spark):
-    """The folder for intermediate tables, which every executor reaches: spark.checkpoint.dir, or the warehouse if that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The folder for intermediate tables, which every executor reaches: spark.checkpoint.dir, or the warehouse if that is unset.
+
+    A warehouse in the driver's own file system serves local runs only; on a cluster it raises, since executors would not find what others wrote.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    named = spark.conf.get("spark.sql.warehouse.dir")
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")) and re.match(r"file:|/|[^:]*$", named):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor reaches")
     return named.rstrip("/")
 
 
@@ -77,7 +87,17 @@ def drop(spark, path):
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release():
-    """Delete the intermediate tables written so far; call it once their readers are done."""
-    while _WRITTEN:
-        drop(*_WRITTEN.pop())
+@contextmanager
+def collecting():
+    """Gives a list that, when the block ends, holds the intermediate tables written in it."""
+    mine, before = [], len(_WRITTEN)
+    yield mine
+    mine += _WRITTEN[before:]
+
+
+def release(tables=None):
+    """Delete intermediate tables once their readers are done: those of ``collecting``, or else all written so far."""
+    for entry in list(_WRITTEN if tables is None else tables):
+        if entry in _WRITTEN:
+            _WRITTEN.remove(entry)
+            drop(*entry)

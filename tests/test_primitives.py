@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from barweave.functions.tails import student_two_sided
@@ -162,3 +163,41 @@ def test_tokens_keep_letters_of_every_script(spark):
     from barweave.functions.text import tokens
     got = spark.createDataFrame([("Größe déçu qualité, l'été",)], "t string").select(tokens("t").alias("x")).first()["x"]
     assert got == ["größe", "déçu", "qualité", "l'été"]
+
+
+def test_tables_of_a_block_are_released_alone(spark):
+    from barweave.session import collecting, release, reuse
+    kept = reuse(spark.range(3))
+    with collecting() as mine:
+        reuse(spark.range(4))
+        reuse(spark.range(5))
+    assert len(mine) == 2
+    release(mine)
+    release(mine)  # a second time is nothing
+    assert kept.count() == 3
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from barweave.session import shared_folder
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = {k.replace("_", "."): v for k, v in conf.items()}
+
+    def of(**conf):
+        return shared_folder(Session(**conf))
+
+    assert of(spark_checkpoint_dir="file:/shared/", spark_master="spark://x") == "file:/shared"
+    named = "spark.sql.warehouse.dir"
+    for master in ("local", "local[4]"):
+        s = Session(spark_master=master)
+        s.conf[named] = "file:/tmp/w"
+        assert shared_folder(s) == "file:/tmp/w"
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://x:7077"):
+        s = Session(spark_master=master)
+        for folder in ("file:/tmp/w", "/tmp/w", "spark-warehouse"):
+            s.conf[named] = folder
+            with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+                shared_folder(s)
+        s.conf[named] = "hdfs://n/w/"
+        assert shared_folder(s) == "hdfs://n/w"
