@@ -201,3 +201,35 @@ def test_repeated_ids_give_one_model(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
     models = [Q.fit_documents(docs(spark, r).repartition(n), labels) for r, n in ((rows, 1), (rows[::-1], 5), (rows, 7))]
     assert all(np.allclose(m["weights"], models[0]["weights"], atol=1e-9) for m in models[1:])
+
+
+FOREIGN = [*L.OTHERS, "GNU Affero General Public License, version 3", "Licensed under the Eclipse Public License, version 2.0.", "Licensed under the EUPL, Version 1.2",
+           "Licensed under the Boost Software License, Version 1.0.", "Licensed under the Frobozz Public License, version 2.0.", "SPDX-License-Identifier: EPL-2.0",
+           "SPDX-License-Identifier: AGPL-3.0-only", "This work is licensed under the Unknown General Public License, version 3."]
+IDENTIFIERS = {"Apache-2.0": "apache-2.0", "MIT": "mit", "GPL-3.0-or-later": "gpl", "LGPL-2.1-only": "lgpl", "BSD-3-Clause": "bsd", "MPL-2.0": "mpl-2.0", "CC-BY-SA-4.0": "cc-by-sa"}
+
+
+def test_licences_of_no_family_are_not_confirmed(spark):
+    fill = "Nothing to see in this line of words about rivers and mills.\n"
+    rows = [(i, fill + t + "\n" + fill) for i, t in enumerate(FOREIGN)] + [(100 + i, f"{fill}// SPDX-License-Identifier: {n}\n{fill}") for i, n in enumerate(IDENTIFIERS)]
+    got = L.license_notices(docs(spark, rows)).collect()
+    assert not [(FOREIGN[r["doc_id"]], r["family"]) for r in got if r["doc_id"] < 100 and r["confirmed"]]
+    have = {r["doc_id"]: (r["family"], r["confirmed"]) for r in got if r["doc_id"] >= 100}
+    assert have == {100 + i: (f, True) for i, f in enumerate(IDENTIFIERS.values())}
+
+
+def test_licence_lines_of_the_documents(spark):
+    """Every line that is a template's wording is found, and nothing is confirmed where no licence word stands."""
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {}
+    for r in L.license_notices(d).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    planted, missed, false = 0, [], []
+    for r in d.select("doc_id", "text").collect():
+        text = r["text"] or ""
+        want = {f for f, ts in L.TEMPLATES.items() for t in ts if any(line.strip() == t for line in text.split("\n"))}
+        planted += len(want)
+        have = {x["family"] for x in got.get(r["doc_id"], []) if x["confirmed"]}
+        missed += [(r["doc_id"], f) for f in want - have]
+        false += [(r["doc_id"], f) for f in have if not L._CUE.search(text)]
+    assert len(missed) <= 0.02 * planted and not false, (planted, missed, false)
