@@ -248,3 +248,16 @@ def test_json_that_is_none_is_refused():
         assert T.parse(bad) == (None, "$: not JSON"), bad
     assert T.canonical(T.parse('{"b": 1.0, "a": [2.50, 1e2, -0.0, true]}')[0]) == '{"a":[2.5,100,0,true],"b":1}'
     assert json.loads(T.canonical({"id": "x", "call": {"name": "f", "arguments": "1e999"}, "result": None}))["call"]["arguments"] == "1e999"
+
+
+def test_pipeline_stages_leave_tables_of_others(spark):
+    import corpus_pipeline as P
+    from barweave.session import reuse
+    other = reuse(spark.range(7))
+    d = spark.createDataFrame([(1, "a b c d e f", "en", "x"), (2, "A b c d e f", "en", "x"), (3, None, None, None)], "doc_id long, text string, lang string, source string")
+    kept = P.exact(spark, d, None)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
+    assert P.mixing(spark, d, None).columns == d.columns  # a table without n_chars
+    assert other.count() == 7
+    for _, stage in P.STAGES[1:]:
+        assert stage(spark, d.limit(0), None).count() == 0
