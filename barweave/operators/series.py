@@ -9,6 +9,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -364,17 +365,25 @@ def _ar1_errors(x, solved):
     return sums.select(*SERIES, F.sqrt(F.greatest(var, F.lit(0.0))).alias("ar1_se"))
 
 
+def _waves(key, table):
+    """Sums of y * cos and y * sin over one chunk of a series at its lowest sqrt(n) frequencies; angles from whole numbers of turns."""
+    n, i, y = table.column("n")[0].as_py(), table.column("i").to_numpy().astype(np.int64), table.column("y").to_numpy()
+    ks = np.arange(1, int(np.floor(np.sqrt(n))) + 1)
+    sums = [(np.cos(a) @ y, np.sin(a) @ y) for part in np.array_split(ks, -(-len(ks) // 256)) for a in [2 * np.pi * ((part[:, None] * i) % n) / n]]
+    columns = {"k": pa.array(ks), "n": pa.array(np.full(len(ks), n, np.int64)), "re": pa.array(np.concatenate([s[0] for s in sums])), "im": pa.array(np.concatenate([s[1] for s in sums]))}
+    return pa.table({**{c: pa.array([v.as_py()] * len(ks), pa.string()) for c, v in zip(SERIES, key)}, **columns})
+
+
 def long_memory(long: DataFrame) -> DataFrame:
     """Log-periodogram slope over the lowest sqrt(n) frequencies of every series of MIN_N values or more.
 
-    Each value meets each frequency, and the sums combine before the shuffle: n * sqrt(n) products for a series of n.
+    Every chunk of a series gives one pair of sums per frequency, added up over the chunks: sqrt(n) * n / ``CHUNK`` rows for a series of n.
     """
     x = centred(long)
     size = x.groupBy(*SERIES).agg(F.first("n").alias("gph_n"))
-    m = F.floor(F.sqrt(F.col("n").cast("double")))
-    w = 2 * math.pi * F.col("k") / F.col("n")
-    turned = x.where((F.col("n") >= MIN_N["gph"]) & ~F.col("flat")).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), m)))
-    per = turned.groupBy(*SERIES, "k", "n").agg(F.sum(F.col("y") * F.cos(w * F.col("i"))).alias("re"), F.sum(F.col("y") * F.sin(w * F.col("i"))).alias("im"))
+    held = x.where((F.col("n") >= MIN_N["gph"]) & ~F.col("flat")).select(*SERIES, "n", "i", "y", F.floor(F.col("i") / CHUNK).alias("chunk"))
+    sums = held.groupBy(*SERIES, "chunk").applyInArrow(lambda key, t: _waves(key[:len(SERIES)], t), ", ".join(f"{c} string" for c in SERIES) + ", k long, n long, re double, im double")
+    per = sums.groupBy(*SERIES, "k", "n").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
     power = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (2 * math.pi * F.col("n"))
     half = F.sin(math.pi * F.col("k") / F.col("n"))
     per = per.withColumns({"lp": F.when(power > 0, F.ln(power)), "lf": -F.ln(4 * half * half)})

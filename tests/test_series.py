@@ -184,6 +184,14 @@ def test_long_memory_equals_whole_series(spark):
         assert r["gph_n"] == len(y) and all(close(a, b) for a, b in zip((r["gph_d"], r["gph_se"], r["gph_pval_d0"], r["gph_m"]), g or (None,) * 4))
 
 
+def test_long_memory_does_not_depend_on_chunks(spark, monkeypatch):
+    df, _ = panel(spark)
+    whole = sorted(map(tuple, S.long_memory(df).collect()))
+    monkeypatch.setattr(S, "CHUNK", 37)
+    parts = sorted(map(tuple, S.long_memory(df).collect()))
+    assert len(whole) == len(parts) and all(close(a, b) if isinstance(a, float) else a == b for x, y in zip(whole, parts) for a, b in zip(x, y))
+
+
 def test_breaks_equal_whole_series(spark):
     df, arrays = panel(spark)
     for fixed in (None, 2):
