@@ -109,12 +109,25 @@ def _(t):
     return N.test_after_train(before.withColumn("train_end_timestamp", F.when(leak, F.col("timestamp")).otherwise(F.col("prior")))).select("timestamp")
 
 
-@query("window_contract", """SELECT * FROM (VALUES ('mode_not_constant', 0), ('days_partly_null', 0), ('timestamps_partly_null', 0), ('days_not_positive', 0),
- ('timestamps_not_positive', 0), ('days_not_constant', 0), ('timestamps_not_constant', 1), ('timestamps_not_days_times_bars',
- (SELECT count(*) FROM price_1d WHERE ticker = 'T1')), ('no_window_given', 0)) v(rule, n_violations)""", ["price_1d"], longs="n_violations")
+cte("stamped", """SELECT CASE WHEN ticker = 'T2' THEN 'expanding' ELSE 'rolling_fixed' END AS mode, CASE WHEN ticker = 'T3' THEN NULL WHEN ticker = 'T4' AND d % 5 = 0 THEN -180.0 ELSE 180.0 END AS days,
+ CASE WHEN ticker = 'T1' THEN 181 WHEN ticker = 'T2' AND d % 7 = 0 THEN NULL WHEN ticker = 'T0' AND d % 3 = 0 THEN 0 ELSE 180 END AS times
+FROM (SELECT ticker, epoch_us(timestamp) // 86400000000 AS d FROM price_1d)""", "price_1d")
+
+
+@query("window_contract", """SELECT rule, n_violations FROM (SELECT CAST(count(DISTINCT mode) > 1 AS INT) AS mode_not_constant, CAST(count(days) > 0 AND count(days) < count(*) AS INT) AS days_partly_null,
+ CAST(count(times) > 0 AND count(times) < count(*) AS INT) AS timestamps_partly_null, count(*) FILTER (days <= 0) AS days_not_positive, count(*) FILTER (times <= 0) AS timestamps_not_positive,
+ CAST(count(DISTINCT days) > 1 AS INT) AS days_not_constant, CAST(count(DISTINCT times) > 1 AS INT) AS timestamps_not_constant,
+ count(*) FILTER (times <> floor(days)) AS timestamps_not_days_times_bars, CAST(count(days) = 0 AND count(times) = 0 AS INT) AS no_window_given FROM stamped)
+ UNPIVOT (n_violations FOR rule IN (mode_not_constant, days_partly_null, timestamps_partly_null, days_not_positive, timestamps_not_positive, days_not_constant, timestamps_not_constant,
+ timestamps_not_days_times_bars, no_window_given))""", ["stamped"], longs="n_violations")
 def _(t):
-    s = N.stamp_window(panel(t), 180, 1)
-    s = s.withColumn("rolling_window_timestamps", F.when(F.col("ticker") == "T1", 181).otherwise(F.col("rolling_window_timestamps")))
+    """Windows of a run in which some tickers break the contract, each in another way."""
+    d = F.floor(times.micros("timestamp") / 86400000000)
+    days, n, of = F.col("rolling_window_days"), F.col("rolling_window_timestamps"), lambda k: F.col("ticker") == k
+    s = N.stamp_window(panel(t), 180, 1).withColumns({
+        "train_window_mode": F.when(of("T2"), "expanding").otherwise(F.col("train_window_mode")),
+        "rolling_window_days": F.when(of("T3"), None).when(of("T4") & (d % 5 == 0), -days).otherwise(days),
+        "rolling_window_timestamps": F.when(of("T1"), 181).when(of("T2") & (d % 7 == 0), None).when(of("T0") & (d % 3 == 0), 0).otherwise(n)})
     return N.window_contract(s, 1)
 
 
