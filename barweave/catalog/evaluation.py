@@ -316,6 +316,34 @@ def _(t):
         "window_mode", "window_size", "window_days", "benchmark_set_id", "benchmark_hpo_variant")
 
 
+cte("gappy", """SELECT * EXCLUDE (hpo_variant), CASE WHEN set_id = 'ECON' AND horizon = '6h' AND panel_mode = 'pooled' THEN 'tuned' ELSE hpo_variant END AS hpo_variant,
+ CASE WHEN model_type = 'per_asset' THEN 'rolling_fixed' ELSE 'expanding' END AS mode, CASE WHEN model_type = 'per_asset' THEN CASE WHEN set_id LIKE '%VAD%' THEN 90.0 ELSE 180.0 END END AS days
+FROM signals WHERE NOT (horizon = '1d' AND panel_mode = 'pooled' AND ((set_id = 'ECON' AND epoch_us(timestamp) // 86400000000 % 2 = 1) OR (set_id = 'ECON_CBT_L' AND epoch_us(timestamp) // 86400000000 % 2 = 0)))""", "signals")
+
+
+def gappy(t):
+    """Forecasts of which some have no benchmark with their training window, some one of another tuning variant, some none at their times."""
+    odd = F.floor(times.micros("timestamp") / 86400000000) % 2 == 1
+    pooled, econ, per = F.col("panel_mode") == "pooled", F.col("set_id") == "ECON", F.col("model_type") == "per_asset"
+    s = identity.with_group_defaults(sig(t)).where(~((F.col("horizon") == "1d") & pooled & ((econ & odd) | ((F.col("set_id") == "ECON_CBT_L") & ~odd))))
+    days = F.when(per, F.when(F.col("set_id").contains("VAD"), 90.0).otherwise(180.0))
+    return s.withColumns({"hpo_variant": F.when(econ & (F.col("horizon") == "6h") & pooled, "tuned").otherwise(F.col("hpo_variant")), "rolling_window_days": days,
+                          "train_window_timestamps": days, "train_window_mode": F.when(per, "rolling_fixed").otherwise("expanding")})
+
+
+@query("incremental_value_gaps", f"""SELECT {G}, window_mode, window_size, window_days, benchmark_set_id, benchmark_hpo_variant, coalesce(n, 0) AS n_matched,
+ CASE WHEN benchmark_hpo_variant IS NULL THEN 'missing_benchmark' WHEN n IS NULL THEN 'no_overlap' ELSE 'ok' END AS status
+FROM (SELECT {G}, any_value(mode) AS window_mode, coalesce(max(days), 0.0) AS window_size, coalesce(max(days), -1.0) AS window_days, 'ECON' AS benchmark_set_id FROM gappy WHERE category = 'combined' GROUP BY {G}) m
+LEFT JOIN (SELECT horizon, model_type, panel_mode, coalesce(max(days), -1.0) AS window_days, hpo_variant AS benchmark_hpo_variant FROM gappy WHERE set_id = 'ECON'
+ GROUP BY horizon, model_type, panel_mode, hpo_variant) b USING (horizon, model_type, panel_mode, window_days)
+LEFT JOIN (SELECT {", ".join("x." + k for k in G.split(", "))}, count(*) AS n FROM gappy x JOIN gappy e ON e.set_id = 'ECON' AND x.category = 'combined' AND x.horizon = e.horizon AND x.model_type = e.model_type
+ AND x.panel_mode = e.panel_mode AND x.timestamp = e.timestamp AND x.ticker = e.ticker AND x.days IS NOT DISTINCT FROM e.days GROUP BY ALL) n USING ({G})""", ["gappy"],
+       doubles="window_size window_days", longs="n_matched")
+def _(t):
+    return M.incremental_value(gappy(t), mapping(t)).select(
+        *[c.strip() for c in G.split(",")], "window_mode", "window_size", "window_days", "benchmark_set_id", "benchmark_hpo_variant", "n_matched", "status")
+
+
 NG = "horizon, set_id, sentiment_model, model_type, panel_mode, hpo_variant"
 cte("npairs", """SELECT m.*, e.probability AS probability_b, e.prediction AS prediction_b, CAST(m.prediction = m.target AS INT) AS correct_m,
  CAST(e.prediction = m.target AS INT) AS correct_b FROM (SELECT * FROM signals WHERE set_id <> 'NAIVE') m

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import ECON, FAMILY_KEYS, GROUP_KEYS, NAIVE, universe_digest
 from ..functions.numeric import ratio
 from ..functions.tails import chi2_1_tail
+from ..session import reuse
 from .metrics import THRESHOLDS, metric_columns, outcome_counts, prediction_at, trade_mask
 from .sequence import keep_first
 
@@ -182,9 +183,9 @@ def pick_benchmarks(signals: DataFrame, mapping: DataFrame) -> DataFrame:
     return j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
 
 
-def incremental_pairs(signals: DataFrame, mapping: DataFrame, order=None) -> DataFrame:
-    """Matched forecasts of every combined group and its chosen benchmark."""
-    picks = pick_benchmarks(signals, mapping)
+def incremental_pairs(signals: DataFrame, mapping: DataFrame, order=None, picks=None) -> DataFrame:
+    """Matched forecasts of every combined group and its chosen benchmark; ``picks`` spares the choice where it is made already."""
+    picks = pick_benchmarks(signals, mapping) if picks is None else picks
     chosen = picks.where(F.col("benchmark_hpo_variant").isNotNull())
     m = first_per_key(signals.join(mapping.select("set_id"), "set_id", "left_semi"), [*GROUP_KEYS, *OBS], order)
     m = m.join(chosen.select(*GROUP_KEYS, "benchmark_set_id", "benchmark_hpo_variant"), GROUP_KEYS)
@@ -222,8 +223,8 @@ def _both_sides(pairs, keys, a, b):
 
 def incremental_value(signals: DataFrame, mapping: DataFrame, order=None) -> DataFrame:
     """Does a combined set beat its matched benchmark: both sides' metrics, lifts, test and status."""
-    picks = pick_benchmarks(signals, mapping)
-    sides = _both_sides(incremental_pairs(signals, mapping, order), GROUP_KEYS, "model", "benchmark") \
+    picks = reuse(pick_benchmarks(signals, mapping))  # a row per group, read on both sides of the join
+    sides = _both_sides(incremental_pairs(signals, mapping, order, picks), GROUP_KEYS, "model", "benchmark") \
         .drop("n_target_mismatch")
     j = picks.join(sides, GROUP_KEYS, "left")
     status = F.when(F.col("benchmark_hpo_variant").isNull(), "missing_benchmark") \
