@@ -367,6 +367,34 @@ def _(t):
     return M.absolute_vs_naive(identity.with_group_defaults(sig(t)).drop("train_window_timestamps"))
 
 
+cte("noisy", """SELECT * EXCLUDE (d, copies, target, copy), CASE WHEN set_id = 'ECON_CBT_L' AND horizon = '1d' AND ticker = 'T0' AND d % 97 = 0 THEN 1 - target ELSE target END AS target
+FROM (SELECT *, unnest(range(0, copies)) AS copy FROM (SELECT *, CASE WHEN (set_id = 'ECON' AND ticker = 'T1' AND d % 3 = 0) OR (set_id = 'NAIVE' AND ticker = 'T2' AND d % 5 = 0) THEN 2 ELSE 1 END AS copies
+ FROM (SELECT *, epoch_us(timestamp) // 86400000000 AS d FROM signals) WHERE NOT (set_id = 'NAIVE' AND horizon = '6h' AND model_type = 'per_asset')))""", "signals")
+
+
+def noisy(t):
+    """Forecasts with repeated model and reference rows, a family without reference, and one set whose targets differ in places."""
+    d, of = F.floor(times.micros("timestamp") / 86400000000), lambda k: F.col("set_id") == k
+    twice = (of("ECON") & (F.col("ticker") == "T1") & (d % 3 == 0)) | (of("NAIVE") & (F.col("ticker") == "T2") & (d % 5 == 0))
+    other = of("ECON_CBT_L") & (F.col("horizon") == "1d") & (F.col("ticker") == "T0") & (d % 97 == 0)
+    s = identity.with_group_defaults(sig(t)).drop("train_window_timestamps").where(~(of("NAIVE") & (F.col("horizon") == "6h") & (F.col("model_type") == "per_asset")))
+    s = s.withColumn("target", F.when(other, 1 - F.col("target")).otherwise(F.col("target")))
+    return s.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(twice, 2).otherwise(1)))).drop("_copy")
+
+
+@query("absolute_vs_naive_gaps", f"""SELECT {G}, n_model, coalesce(n_naive, 0) AS n_naive, coalesce(n_matched, 0) AS n_matched, n_duplicate_model_keys, coalesce(n_duplicate_naive_keys, 0) AS n_duplicate_naive_keys,
+ wrong = 0 AS targets_identical, CASE WHEN n_naive IS NULL THEN 'missing_naive' WHEN n_matched IS NULL THEN 'no_overlap' WHEN wrong > 0 THEN 'target_mismatch' ELSE 'ok' END AS status
+FROM (SELECT {G}, count(*) AS n_model, sum(k - 1) AS n_duplicate_model_keys FROM (SELECT {G}, timestamp, ticker, count(*) AS k FROM noisy WHERE set_id <> 'NAIVE' GROUP BY ALL) GROUP BY {G})
+LEFT JOIN (SELECT horizon, model_type, panel_mode, count(*) AS n_naive, sum(k - 1) AS n_duplicate_naive_keys FROM (SELECT horizon, model_type, panel_mode, timestamp, ticker, count(*) AS k
+ FROM noisy WHERE set_id = 'NAIVE' GROUP BY ALL) GROUP BY 1, 2, 3) USING (horizon, model_type, panel_mode)
+LEFT JOIN (SELECT {", ".join("x." + k for k in G.split(", "))}, count(*) AS n_matched, count(*) FILTER (x.target IS DISTINCT FROM e.target) AS wrong FROM (SELECT DISTINCT {G}, timestamp, ticker, target FROM noisy WHERE set_id <> 'NAIVE') x
+ JOIN (SELECT DISTINCT horizon, model_type, panel_mode, timestamp, ticker, target FROM noisy WHERE set_id = 'NAIVE') e ON x.horizon = e.horizon AND x.model_type = e.model_type AND x.panel_mode = e.panel_mode
+ AND x.timestamp = e.timestamp AND x.ticker = e.ticker GROUP BY ALL) USING ({G})""", ["noisy"], longs="n_model n_naive n_matched n_duplicate_model_keys n_duplicate_naive_keys")
+def _(t):
+    return M.absolute_vs_naive(noisy(t)).select(
+        *G.split(", "), "n_model", "n_naive", "n_matched", "n_duplicate_model_keys", "n_duplicate_naive_keys", "targets_identical", "status")
+
+
 cte("complete_base", f"""SELECT {G}, count(*) AS n_rows, count(DISTINCT ticker) AS n_tickers, count(DISTINCT timestamp) AS n_timestamps,
  min(timestamp) AS first_timestamp, max(timestamp) AS last_timestamp, count(DISTINCT (ticker, timestamp)) AS np FROM signals GROUP BY {G}""", "signals")
 cte("complete_all", f"""SELECT b.*, e.x AS expected_timestamps, g.x AS grid, coalesce(h.hit, 0) AS hit FROM complete_base b
