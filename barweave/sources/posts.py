@@ -1,11 +1,12 @@
 """Post exports, forecast files, provenance tables and sinks."""
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions.identity import blank_to, canonical_sentiment_model, require_columns, with_group_defaults
 from ..functions.times import calendar_parts, forecast_origin, normalise_times, origin_mismatches
 from ..operators.sequence import keep_first
+from ..session import drop
 
 POST_SCHEMA = StructType([
     StructField("submission", StringType()), StructField("subreddit", StringType()),
@@ -159,3 +160,35 @@ def write_csv(df: DataFrame, path, order_by=(), overwrite=False):
     """A result table as CSV, in its declared order."""
     out = df.orderBy(*order_by) if order_by else df
     out.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).csv(path)
+
+
+def committed(spark: SparkSession, path, signature) -> set:
+    """Chunks that ``write_chunks`` has finished under this signature."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_commits")
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return set()
+    return {r["chunk"] for r in spark.read.parquet(f"{path}/_commits").where(F.col("signature") == signature).select("chunk").distinct().collect()}
+
+
+def write_chunks(df: DataFrame, path, key, signature, gate=None) -> list:
+    """Writes one folder per value of ``key`` and notes each with ``signature`` when it is complete; gives the values written now.
+
+    Chunks noted under the same signature are not computed again, so a job that was killed goes on where it stood; a chunk without a note is
+    written anew. ``gate`` is a condition that no row may meet: it is counted while the chunk is written, and a chunk that breaks it is deleted. The values of
+    ``key`` come to the driver: a column of few values, such as months or instruments.
+    """
+    spark, written = df.sparkSession, []
+    done = committed(spark, path, signature)
+    for (value,) in sorted(df.select(F.col(key).cast("string")).distinct().collect()):
+        if value in done:
+            continue
+        seen = Observation()
+        part = df.where(F.col(key).cast("string") == value).drop(key)
+        part = part.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.lit(False) if gate is None else gate).alias("broken"))
+        part.write.mode("overwrite").parquet(f"{path}/{key}={value}")
+        if seen.get["broken"]:
+            drop(spark, f"{path}/{key}={value}")
+            raise ValueError(f"{key}={value}: {seen.get['broken']} rows break the gate")
+        spark.createDataFrame([(value, signature, seen.get["rows"])], "chunk string, signature string, rows long").coalesce(1).write.mode("append").parquet(f"{path}/_commits")
+        written.append(value)
+    return written

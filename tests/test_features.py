@@ -260,3 +260,17 @@ def test_contract_checked_scan(spark, tmp_path):
     assert read_features(spark, str(tmp_path / "s"), SLOT_CONTRACT, "1d").count() == 0
     with pytest.raises(ValueError):
         read_features(spark, str(tmp_path / "s"))
+
+
+def test_chunks_resume_and_gates_stop_them(spark, tmp_path):
+    from barweave.sources import posts as Q
+    path = str(tmp_path / "chunks")
+    df = spark.createDataFrame([(k, i) for k in "abc" for i in range(4)], "k string, v int")
+    assert Q.write_chunks(df.where("k < 'c'"), path, "k", "s1") == ["a", "b"]
+    assert Q.write_chunks(df, path, "k", "s1") == ["c"] and Q.write_chunks(df, path, "k", "s1") == []
+    (tmp_path / "chunks" / "k=b").rename(tmp_path / "gone")  # another signature writes everything again
+    assert Q.write_chunks(df, path, "k", "s2") == ["a", "b", "c"]
+    assert sorted(map(tuple, spark.read.parquet(path).select("k", "v").collect())) == sorted((k, i) for k in "abc" for i in range(4))
+    with pytest.raises(ValueError, match="k=a: 1 rows break the gate"):
+        Q.write_chunks(df, path, "k", "s3", gate=F.col("v") == 2)
+    assert not (tmp_path / "chunks" / "k=a").exists() and not Q.committed(spark, path, "s3")
