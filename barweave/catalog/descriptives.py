@@ -269,14 +269,26 @@ cte("centred", """SELECT ticker, feature, timestamp, v - avg(v) OVER (PARTITION
  count(*) OVER (PARTITION BY ticker, feature) AS n FROM slong WHERE v IS NOT NULL""", "slong")
 
 
-@query("long_memory", f"""SELECT a.*, b.gph_d, b.gph_se, {normal_sql('(gph_d / gph_se)')} AS gph_pval_d0, b.gph_m FROM (SELECT ticker, feature, count(*) AS gph_n FROM centred GROUP BY 1, 2) a LEFT JOIN (
+cte("gph", f"""SELECT a.*, b.gph_d, b.gph_se, {normal_sql('(gph_d / gph_se)')} AS gph_pval_d0, b.gph_m FROM (SELECT ticker, feature, count(*) AS gph_n FROM centred GROUP BY 1, 2) a LEFT JOIN (
  SELECT ticker, feature, regr_slope(ln((re * re + im * im) / (2 * pi() * n)), -ln(4 * sin(pi() * k / n) * sin(pi() * k / n))) AS gph_d, pi() / sqrt(24.0 * count(*)) AS gph_se, count(*) AS gph_m FROM (
   SELECT ticker, feature, n, k, sum(y * cos(2 * pi() * k * i / n)) AS re, sum(y * sin(2 * pi() * k * i / n)) AS im FROM centred, unnest(range(1, 1 + CAST(floor(sqrt(n)) AS BIGINT))) u(k) WHERE n >= 200 GROUP BY ALL) GROUP BY 1, 2) b
- USING (ticker, feature)""", ["centred"], doubles="gph_d gph_se gph_pval_d0", longs="gph_n gph_m")
+ USING (ticker, feature)""", "centred")
+
+
+@query("long_memory", "SELECT * FROM gph", ["gph"], doubles="gph_d gph_se gph_pval_d0", longs="gph_n gph_m")
 def _(t):
     return series.long_memory(long_price(t))
 
 
+@query("series_pvalues_bh", """SELECT horizon, ticker, feature, gph_pval_d0, q AS gph_pval_d0_bh, q <= 0.05 AS gph_reject_d0_bh FROM (
+ SELECT *, CASE WHEN gph_pval_d0 IS NOT NULL AND n >= 2 THEN least(1.0, min(gph_pval_d0 * n / r) OVER (PARTITION BY horizon ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) END AS q FROM (
+  SELECT '1d' AS horizon, *, count(gph_pval_d0) OVER () AS n, row_number() OVER (ORDER BY gph_pval_d0 NULLS LAST, ticker, feature) AS r FROM gph))""", ["gph"], doubles="gph_pval_d0 gph_pval_d0_bh")
+def _(t):
+    """Long-memory tests of all series of a bar width, corrected for their number."""
+    r = series.corrected(series.long_memory(long_price(t)).withColumn("horizon", F.lit("1d")), ["gph_pval_d0"])
+    return r.select("horizon", "ticker", "feature", "gph_pval_d0", "gph_pval_d0_bh", "gph_reject_d0_bh")
+
+
 @query("panel_unit_root")
 def _(t):
     l = long_price(t)

@@ -18,6 +18,7 @@ from pyspark.sql.types import DoubleType
 from ..functions.numeric import clean, ratio, slope
 from ..functions.tails import kolmogorov_p, normal_two_sided
 from ..session import reuse
+from .inference import ALPHA, benjamini_hochberg
 from .sequence import running, sliding, with_position
 from .windows import expanding_folds
 
@@ -393,6 +394,20 @@ def long_memory(long: DataFrame) -> DataFrame:
     return size.join(g, SERIES, "left").select(*SERIES, "gph_n", "gph_d", "gph_se", "gph_pval_d0", "gph_m")
 
 
+def corrected(records: DataFrame, pvals, keys=tuple(SERIES), block="horizon", alpha=ALPHA) -> DataFrame:
+    """Adds ``*_pval_bh`` and ``*_reject_bh`` to the records of many series: p-values corrected within (block, test).
+
+    Where a block has fewer than two p-values of a test, both stay null. A block holds one row per series, so its ranking is small.
+    """
+    at = [block, *keys]
+    tests = F.explode(F.array(*[F.struct(F.lit(p).alias("test"), F.col(p).alias("p")) for p in pvals])).alias("t")
+    long = records.select(*at, tests).select(*at, "t.test", F.col("t.p").alias("p_value_raw"), F.concat_ws("|", block, "t.test").alias("family"), F.concat_ws("|", *keys).alias("test_id"))
+    q = benjamini_hochberg(long, alpha=alpha).withColumn("_known", F.count("p_value_raw").over(W.partitionBy("family")))
+    one = {p: F.max(F.when((F.col("test") == p) & (F.col("_known") >= 2), F.col("q_value_bh"))) for p in pvals}
+    wide = q.groupBy(*at).agg(*[e.alias(f"{p}_bh") for p, e in one.items()])
+    return records.join(wide.withColumns({p.replace("pval", "reject") + "_bh": F.col(f"{p}_bh") <= alpha for p in pvals}), at, "left")
+
+
 def persistence(long: DataFrame) -> DataFrame:
     """AR(1) coefficient of every series as a regression slope on the row before it (built-in only)."""
     x = long.where(F.col("v").isNotNull()).select("ticker", "feature", "timestamp", "v")

@@ -217,3 +217,13 @@ def test_cips_equals_sections(spark):
             ts.append(R.cips_t(g.v.to_numpy(), g.bar.to_numpy(), np.array([at[t] for t in g.timestamp]), kind))
         want = np.mean(np.clip(ts, *S.CIPS_CLIP))
         assert close(S.cips(df, kind).first()["cips_stat"], want)
+
+
+def test_corrected_p_values(spark):
+    rows = [("1d", f"t{i}", "f", p, 0.5 if i == 0 else None) for i, p in enumerate([0.01, 0.04, 0.03, None, 0.9])] + [("6h", "t0", "f", 0.02, 0.1)]
+    got = {(r["horizon"], r["ticker"]): r for r in S.corrected(spark.createDataFrame(rows, "horizon string, ticker string, feature string, a_pval double, b_pval_c double"), ["a_pval", "b_pval_c"]).collect()}
+    assert len(got) == 6
+    q = [got["1d", f"t{i}"]["a_pval_bh"] for i in range(5)]
+    np.testing.assert_allclose([q[0], q[1], q[2], q[4]], [0.04, 0.04 * 4 / 3, 0.04 * 4 / 3, 0.9])
+    assert q[3] is None and got["1d", "t0"]["a_reject_bh"] and not got["1d", "t4"]["a_reject_bh"] and got["1d", "t3"]["a_reject_bh"] is None
+    assert got["6h", "t0"]["a_pval_bh"] is None and all(r["b_pval_c_bh"] is None and r["b_reject_c_bh"] is None for r in got.values())  # fewer than two p-values
