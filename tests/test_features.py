@@ -212,6 +212,20 @@ def test_provenance_and_consistency(spark, tmp_path):
     assert not r["exchange_consistent"] and r["symbol_consistent"] and r["exchange_1d"] == "y" and r["n_horizons"] == 2
 
 
+def overlapping_provenance(spark):
+    rows = [("1h", 1, 10.0, "2021-05-01"), ("1h", 1, 90.0, "2020-05-01"), ("1h", 2, 5.0, "2019-05-01"), ("1h", None, 1.0, "2018-05-01"),
+            ("6h", 3, 70.0, None), ("6h", 3, 80.0, "2020-01-01")]
+    rows = spark.createDataFrame([("BTC", h, "x", "BTC/USDT", "USDT", *r) for h, *r in rows],
+                                 "coin string, horizon string, exchange string, symbol string, quote string, missing_bars long, coverage_pct double, first_date string")
+    a = Q.normalise_provenance(rows.withColumn("last_date", F.lit("2022-01-01")), "a.csv")
+    return Q.union_provenance([a, a.withColumns({"missing_bars": F.lit(0).cast("long"), "source_file": F.lit("b.csv")})])
+
+
+def test_provenance_overlap_within_a_table(spark):
+    got = {r["horizon"]: (r["missing_bars"], r["coverage_pct"], r["first_date"], r["source_file"]) for r in overlapping_provenance(spark).collect()}
+    assert got == {"1h": (1, 90.0, "2020-05-01", "a.csv"), "6h": (3, 80.0, "2020-01-01", "a.csv")}
+
+
 def test_wide_headers(spark):
     w = spark.sql("select date'2022-01-01' date, 5L `000000000001_BTC`, -1L `000000001027_ETH`, 7L `000000001567_XNO`, 9L `weird name!`")
     got = {r["ticker"]: r["market_cap"] for r in M.wide_to_long(w).collect()}
