@@ -226,6 +226,11 @@ def test_provenance_overlap_within_a_table(spark):
     assert got == {"1h": (1, 90.0, "2020-05-01", "a.csv"), "6h": (3, 80.0, "2020-01-01", "a.csv")}
 
 
+def test_consistency_of_overlapping_provenance(spark):
+    r = A.source_consistency(overlapping_provenance(spark)).first()
+    assert (r["coverage_min"], r["coverage_max"], r["first_date"], r["missing_bars"]) == (80.0, 90.0, "2020-01-01", 4)
+
+
 def test_wide_headers(spark):
     w = spark.sql("select date'2022-01-01' date, 5L `000000000001_BTC`, -1L `000000001027_ETH`, 7L `000000001567_XNO`, 9L `weird name!`")
     got = {r["ticker"]: r["market_cap"] for r in M.wide_to_long(w).collect()}
