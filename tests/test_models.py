@@ -167,6 +167,23 @@ def test_bootstrap_matches_brute_force_in_distribution(spark):
     assert abs(a["ci95_low"] - np.quantile(means, .025)) < 0.1 * np.std(means) * 2
 
 
+def test_bootstrap_sends_no_draws_to_the_driver(spark):
+    _, df = pairs_frame(spark, 80)
+    diff = I.differentials(df, ["grp"])
+    st = I.effects(diff, "acc", ["grp"])
+    sizes = "spark.sql.maxBroadcastTableSize", "spark.sql.autoBroadcastJoinThreshold"
+    before, got = [spark.conf.get(k) for k in sizes], []
+    try:
+        for values in (before[0], before[1]), (str(40 << 20), before[1]), (before[0], "-1"):  # a small table counts as 32 MB, 800,000 draws as more
+            for k, v in zip(sizes, values):
+                spark.conf.set(k, v)
+            got.append(I.bootstrap(diff, st, "acc", ["grp"], n_boot=40_000).first())
+    finally:
+        for k, v in zip(sizes, before):
+            spark.conf.set(k, v)
+    assert all(np.allclose(list(x)[1:], list(got[0])[1:], rtol=1e-12) for x in got) and {x["grp"] for x in got} == {"g"}
+
+
 def test_cluster_difference_equals_sandwich(spark):
     pdf, df = pairs_frame(spark, 50)
     got = I.cluster_difference(df.withColumn("d", F.col("correct_m") - F.col("correct_b")), ["grp"]).first()
