@@ -167,6 +167,26 @@ def test_bootstrap_matches_brute_force_in_distribution(spark):
     assert abs(a["ci95_low"] - np.quantile(means, .025)) < 0.1 * np.std(means) * 2
 
 
+def untested_differences(spark):
+    """One valid size test; of the volatility tests one lacks controls, one has a single ticker on either side."""
+    cols = ", ".join(f"'{v}' {k}" for k, v in {"horizon": "6h", "model_type": "m", "panel_mode": "p", "hpo_variant": "f", "sentiment_model": "-"}.items())
+    d = spark.sql(f"""SELECT {cols}, set_id, 'K' || k AS ticker, (id * 7 + k) % 3 - 1 AS d, CASE k WHEN 0 THEN 'high' WHEN 1 THEN 'mid' ELSE CASE set_id WHEN 'B' THEN 'low' ELSE 'high' END END AS regime,
+        CASE WHEN id % 2 = 0 THEN 'small' ELSE 'large' END AS size FROM range(40), (SELECT explode(array(0, 1, 2)) AS k), (SELECT explode(array('A', 'B')) AS set_id)""")
+    vol = I.cluster_difference(d, I.GROUP_KEYS)
+    size = I.cluster_difference(d.where("set_id = 'A'"), I.GROUP_KEYS, regime="size", treatment="small", control="large")
+    return vol, size
+
+
+def test_untested_differences_are_listed(spark):
+    vol, size = untested_differences(spark)
+    got = I.assemble_families(vol_diff=vol, size_diff=size)
+    rows = {r["test_id"].split("|")[0] + r["set_id"]: r for r in got.collect()}
+    assert set(rows) == {"C_H2_volatilityA", "C_H2_volatilityB", "D_H3_marketcapA"}
+    for k in ("C_H2_volatilityA", "C_H2_volatilityB"):
+        assert rows[k]["p_value_raw"] is None and rows[k]["q_value_bh"] is None and not rows[k]["significant_bh"]
+    assert rows["D_H3_marketcapA"]["q_value_bh"] == rows["D_H3_marketcapA"]["p_value_raw"]
+
+
 def test_bootstrap_sends_no_draws_to_the_driver(spark):
     _, df = pairs_frame(spark, 80)
     diff = I.differentials(df, ["grp"])
