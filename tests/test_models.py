@@ -187,6 +187,12 @@ def test_untested_differences_are_listed(spark):
     assert rows["D_H3_marketcapA"]["q_value_bh"] == rows["D_H3_marketcapA"]["p_value_raw"]
 
 
+def test_family_without_tests_is_in_the_manifest(spark):
+    vol, size = untested_differences(spark)
+    got = {r["family"]: (r["n_tests"], r["n_significant_bh"], r["member_test_ids"]) for r in I.family_manifest(I.assemble_families(vol_diff=vol, size_diff=size)).collect()}
+    assert got["C_H2_volatility"] == (0, 0, "") and got["D_H3_marketcap"][0] == 1 and len(got) == 2
+
+
 def test_bootstrap_sends_no_draws_to_the_driver(spark):
     _, df = pairs_frame(spark, 80)
     diff = I.differentials(df, ["grp"])
