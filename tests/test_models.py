@@ -177,6 +177,13 @@ def untested_differences(spark):
     return vol, size
 
 
+def test_difference_without_controls_is_no_test(spark):
+    got = {r["set_id"]: r for r in untested_differences(spark)[0].collect()}
+    assert got["A"]["n_control"] == 0 and got["A"]["mean_d_control"] is None and got["A"]["p_value"] is None
+    assert not got["A"]["test_valid"] and got["A"]["inference_skip_reason"] == "too_few_clusters_or_obs"
+    assert not got["B"]["test_valid"] and got["B"]["p_value"] is None and got["B"]["n_clusters"] == 2
+
+
 def test_untested_differences_are_listed(spark):
     vol, size = untested_differences(spark)
     got = I.assemble_families(vol_diff=vol, size_diff=size)
