@@ -5,19 +5,24 @@ neighbours of lowest rank, with the ranks as one literal (buckets of small maps,
 ``encode_words`` applies it to a table of distinct words.
 
 Whole documents take the same fold in Arrow batches instead: bringing the ids of distinct words back to every occurrence would shuffle the
-corpus several times over (figures in the README). A task keeps the words it has met, within a bound; a forgotten word is folded
-again. Decoding concatenates the binary pieces of the ids.
+corpus several times over (figures in the README). The new words of a run of texts are folded side by side (``joins``). A task keeps the words it has
+met, within a bound; a forgotten word is folded again. Decoding concatenates the binary pieces of the ids.
 """
 import base64
 import hashlib
 import json
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import LONGEST, MOST_RANKS, Joins, grouped, looked_up
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 KEPT_WORDS = 200_000
+KEPT_LENGTH = 64
 LONG_WORD = 400
 RANK_BUCKETS = 1 << 15
 _BYTES = [bytes([i]) for i in range(256)]
@@ -82,40 +87,66 @@ def _fold_long(word, ranks):
 
 
 class Coder:
-    """Splits, folds and decodes; remembers at most ``keep`` words.
+    """Splits, folds and decodes; remembers at most ``keep`` words, or those of the texts at hand.
 
-    A word's ids are kept as their decimal text, and the bytes they decode to under that text.
+    A word's ids are kept as their decimal text, and the bytes they decode to under that text. The new words of several texts are folded
+    together, very long ones by themselves.
     """
 
     def __init__(self, ranks, pattern, keep=KEPT_WORDS):
         import regex
         self.ranks, self.split, self.keep, self.words, self.bytes = ranks, regex.compile(pattern), keep, {}, {}
         self.pieces = {i: b for b, i in ranks.items()}
-
-    def _word(self, w):
-        ids = ",".join(map(str, fold(w.encode("utf-8"), self.ranks)))
-        if len(w) <= 64:
-            if len(self.words) >= self.keep:
-                self.words.clear()
-            self.words[w] = ids
-        return ids
-
-    def _decoded(self, ids):
-        out = b"".join([self.pieces[int(i)] for i in ids.split(",")])
-        if len(out) <= 64:
-            if len(self.bytes) >= self.keep:
-                self.bytes.clear()
-            self.bytes[ids] = out
+        self.decimal = {i: str(i) for i in self.pieces}
+        self.spelled = {self.decimal[i]: b for i, b in self.pieces.items()}
+
+    @cached_property
+    def joins(self):
+        """The first token of each byte and the joins; none for rank files without every byte or with huge ranks."""
+        ranks = self.ranks
+        first, top = np.array([ranks.get(b, -1) for b in _BYTES]), max(ranks.values(), default=0) + 1
+        if first.min() < 0 or top > MOST_RANKS:
+            return None
+        pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        return first, Joins(pairs, np.arange(top), top)
+
+    def _folded(self, words):
+        words = [w.encode("utf-8") for w in words]
+        decimal, out, many = self.decimal, [None] * len(words), []
+        for k, w in enumerate(words):
+            if w in self.ranks:
+                out[k] = decimal[self.ranks[w]]
+            elif len(w) > LONGEST or not self.joins:
+                out[k] = ",".join([decimal[i] for i in fold(w, self.ranks)])
+            else:
+                many.append(k)
+        if many:
+            first, joins = self.joins
+            sizes = np.array([len(words[k]) for k in many])
+            ids, counts = joins.words(first[np.frombuffer(b"".join([words[k] for k in many]), np.uint8)], sizes)
+            ids, end = [decimal[i] for i in ids.tolist()], 0
+            for k, n in zip(many, counts.tolist()):
+                end += n
+                out[k] = ",".join(ids[end - n:end])
         return out
 
+    def _decoded(self, words):
+        piece = self.spelled.__getitem__
+        return [b"".join(map(piece, ids.split(","))) for ids in words]
+
+    def words_of(self, texts):
+        """For each text the ids of its words, as decimal numbers joined by commas."""
+        return looked_up(self.words, list(map(self.split.findall, texts)), self._folded, self.keep, KEPT_LENGTH)
+
+    def bytes_of(self, coded):
+        """For each text its words' bytes, from what ``words_of`` gives."""
+        return looked_up(self.bytes, coded, self._decoded, self.keep, 6 * KEPT_LENGTH)
+
     def word_ids(self, text):
-        """The ids of each word of a text, as decimal numbers joined by commas."""
-        get, word = self.words.get, self._word
-        return [get(w) or word(w) for w in self.split.findall(text)]
+        return self.words_of([text])[0]
 
     def word_bytes(self, ids):
-        get, decoded = self.bytes.get, self._decoded
-        return [get(i) or decoded(i) for i in ids]
+        return self.bytes_of([ids])[0]
 
     def encode(self, text):
         words = self.word_ids(text)
@@ -181,12 +212,13 @@ def round_trip(docs: DataFrame, id_col="doc_id", text_col="text", vocabulary=VOC
         coder = _coder(vocabulary, pattern)
         for b in batches:
             n, ids_sha, text_sha = [], [], []
-            for t in b.column(1).to_pylist():
-                words = coder.word_ids(t or "")
-                ids = ",".join(words)
-                n.append(ids.count(",") + bool(words))
-                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(b"".join(coder.word_bytes(words))).hexdigest())
+            for texts in grouped(b.column(1).to_pylist()):
+                coded = coder.words_of(texts)
+                for words, parts in zip(coded, coder.bytes_of(coded)):
+                    ids = ",".join(words)
+                    n.append(ids.count(",") + bool(words))
+                    ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(b"".join(parts)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                                              names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
