@@ -2,7 +2,8 @@
 
 A word is its bytes as printable characters with an end mark on the last one. ``join_parts`` holds the boundaries of its parts and, side by
 side, the rank of every adjacent pair; it scans the array for the lowest rank, deletes that boundary and refreshes the two
-neighbouring ranks, until no pair has a rank. A scan of a short list is cheaper than a queue. Words of more than ``LONG_WORD`` characters use
+neighbouring ranks, until no pair has a rank. A scan of a short list is cheaper than a queue. The new words of a run of texts take these steps
+together, a column of ranks each (``joins``), unless they have more than ``LONGEST`` bytes. Words of more than ``LONG_WORD`` characters use
 ``join_long``: the same array in blocks that remember their minimum, so a step looks at one block and at the minima.
 
 Around it: texts are cut at the special tokens' strings, brought to composed form and lower case character by character, and split by
@@ -13,13 +14,16 @@ installed Unicode tables: characters that Unicode assigned after version 15.1 ma
 import hashlib
 import json
 import unicodedata
-from itertools import pairwise
+from functools import cached_property
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import LONGEST, MOST_RANKS, Joins, grouped, looked_up
+
 VOCABULARY = "word_bpe_49k.json"
 LONG_WORD = 256
 BLOCK = 512
@@ -119,35 +123,71 @@ class WordCoder:
         s = word.encode("utf-8").decode("latin-1").translate(self.chars)
         return (join_parts if len(s) <= LONG_WORD else join_long)(s + self.suffix, len(s), self.ranks)
 
-    def _word(self, word):
-        ids = np.array([self.vocab[p] for p in self.parts(word)], "<u4").tobytes()
-        if len(word) <= KEPT_LENGTH:
-            if len(self.words) >= self.keep:
-                self.words.clear()
-            self.words[word] = ids
-        return ids
-
-    def _text(self, ids):
-        text = " ".join([self.tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
-        if len(ids) <= 4 * KEPT_LENGTH:
-            if len(self.texts) >= self.keep:
-                self.texts.clear()
-            self.texts[ids] = text
-        return text
+    @cached_property
+    def joins(self):
+        """The first tokens of each byte, within a word and at its end, and the joins; none if the vocabulary lacks one of them."""
+        vocab, chars = self.vocab, self.chars.values()
+        first = np.array([[vocab.get(c, -1) for c in chars], [vocab.get(c + self.suffix, -1) for c in chars]])
+        pairs = [(vocab.get(a, -1), vocab.get(b, -1), i) for (a, b), i in self.ranks.items()]
+        joined, top = np.full(max(self.ranks.values(), default=-1) + 1, -1), max(vocab.values()) + 1
+        for (a, b), i in self.ranks.items():
+            joined[i] = vocab.get(a + b, -1)
+        if first.min() < 0 or len(joined) > MOST_RANKS or any(min(p[0], p[1], joined[p[2]]) < 0 for p in pairs):
+            return None
+        return first, Joins(pairs, joined, top)
+
+    def _coded(self, keys):
+        """Ids of new words; a special token is its string in a tuple."""
+        out, many = [None] * len(keys), []
+        for k, w in enumerate(keys):
+            if isinstance(w, tuple):
+                out[k] = np.array([self.special[w[0]]], "<u4").tobytes()
+            elif 4 * len(w) > LONGEST and len(w.encode("utf-8")) > LONGEST or not self.joins:
+                out[k] = np.array([self.vocab[p] for p in self.parts(w)], "<u4").tobytes()
+            else:
+                many.append(k)
+        if many:
+            first, joins = self.joins
+            words = [keys[k].encode("utf-8") for k in many]
+            sizes, code = np.array([len(w) for w in words]), np.frombuffer(b"".join(words), np.uint8)
+            tokens = first[0][code]
+            last = np.cumsum(sizes) - 1
+            tokens[last] = first[1][code[last]]
+            ids, counts = joins.words(tokens, sizes)
+            ids, end = ids.astype("<u4").tobytes(), 0
+            for k, n in zip(many, (4 * counts).tolist()):
+                end += n
+                out[k] = ids[end - n:end]
+        return out
+
+    def _texts(self, words):
+        token = self.tokens.__getitem__
+        ids = iter(np.frombuffer(b"".join(words), "<u4").tolist())
+        return [" ".join(map(token, islice(ids, len(w) // 4))) for w in words]
 
-    def word_ids(self, text):
-        """The ids of each word or special token of a text, as little-endian unsigned 32-bit numbers."""
-        get, word, out = self.words.get, self._word, []
+    def _split(self, text):
+        """The words and special tokens of a text, the latter in tuples."""
+        out = []
         for i, part in enumerate(self.cut.split(text) if "<|" in text else (text,)):
             if i % 2:
-                out.append(np.array([self.special[part]], "<u4").tobytes())
+                out.append((part,))
             elif part.isascii():
-                out += [get(w) or word(w) for w in self.split.findall(part.lower())]
+                out += self.split.findall(part.lower())
             else:  # a capital sigma has one lower form here, wherever it stands
-                plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out += [get(w) or word(w) for w in self.split.findall(plain)]
+                out += self.split.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
         return out
 
+    def words_of(self, texts):
+        """For each text the ids of its words and special tokens, as little-endian unsigned 32-bit numbers."""
+        return looked_up(self.words, list(map(self._split, texts)), self._coded, self.keep, KEPT_LENGTH)
+
+    def texts_of(self, coded):
+        """For each text its words' decoded texts, from what ``words_of`` gives."""
+        return looked_up(self.texts, coded, self._texts, self.keep, 4 * KEPT_LENGTH)
+
+    def word_ids(self, text):
+        return self.words_of([text])[0]
+
     def encode(self, text):
         return np.frombuffer(b"".join(self.word_ids(text)), "<u4").tolist()
 
@@ -155,8 +195,7 @@ class WordCoder:
         return " ".join([self.tokens[i] for i in ids])
 
     def decode_words(self, words):
-        get, text = self.texts.get, self._text
-        return " ".join([get(w) or text(w) for w in words])
+        return " ".join(self.texts_of([words])[0])
 
 
 _CODERS = {}
@@ -209,12 +248,13 @@ def round_trip(docs: DataFrame, id_col="doc_id", text_col="text", vocabulary=VOC
     """
     def digests(coder, texts):
         n, ids_sha, text_sha = [], [], []
-        for t in texts:
-            words = coder.word_ids(t or "")
-            ids = b"".join(words)
-            n.append(len(ids) // 4)
-            ids_sha.append(hashlib.sha256(ids).hexdigest())
-            text_sha.append(hashlib.sha256(coder.decode_words(words).encode("utf-8")).hexdigest())
+        for group in grouped(texts):
+            coded = coder.words_of(group)
+            for words, parts in zip(coded, coder.texts_of(coded)):
+                ids = b"".join(words)
+                n.append(len(ids) // 4)
+                ids_sha.append(hashlib.sha256(ids).hexdigest())
+                text_sha.append(hashlib.sha256(" ".join(parts).encode("utf-8")).hexdigest())
         return n, ids_sha, text_sha
 
     return _mapped(docs, (id_col, text_col), [("doc_id", None), ("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")], digests, vocabulary)

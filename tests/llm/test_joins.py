@@ -1,9 +1,10 @@
 """Joins of many words at a time, and the bounded memory of both byte-pair coders."""
 import random
 
+import numpy as np
 import pytest
 
-from barweave.llm import bpe, joins
+from barweave.llm import bpe, joins, word_bpe
 
 
 def words_of(rng, letters, longest, n):
@@ -19,6 +20,14 @@ def test_joins_equal_the_single_fold():
     assert coder._decoded(got) == [w.encode() for w in words]
 
 
+def test_joins_equal_the_rank_array():
+    import public_tokenizers
+    coder, rng = word_bpe.WordCoder(public_tokenizers.path(word_bpe.VOCABULARY)), random.Random(6)
+    words = words_of(rng, "abeinrst é日🙂-", 40, 6000) + ["the", "x" * joins.LONGEST, "x" * (joins.LONGEST + 1), "ab" * 900]
+    got = coder._coded([*words, ("<|endoftext|>",)])
+    assert got == [np.array([coder.vocab[p] for p in coder.parts(w)], "<u4").tobytes() for w in words] + [np.array([coder.special["<|endoftext|>"]], "<u4").tobytes()]
+
+
 def test_rank_files_that_cannot_be_joined_side_by_side():
     ranks = {b"a": 0, b"b": 1, b"ab": 1 << 40, b"abab": (1 << 40) + 1}
     coder = bpe.Coder(ranks, r"\S+")
