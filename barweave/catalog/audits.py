@@ -447,7 +447,7 @@ def _(t):
 def provenance(t):
     """Suppliers as venues: three listings per coin, one of them on another venue."""
     s = t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal")
-    h = F.element_at(F.array(F.lit("1h"), F.lit(" 6H"), F.lit("1d")), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    h = F.when(F.col("s_suppkey") % 3 == 0, "1h").when(F.col("s_suppkey") % 3 == 1, " 6H").otherwise("1d")
     return s.select(
         F.concat(F.lit("c"), F.col("s_nationkey").cast("string")).alias("Ticker"), h.alias("Interval"),
         F.concat(F.lit("X"), (F.col("s_suppkey") % 2).cast("string")).alias("Venue"),

@@ -263,15 +263,15 @@ def require_empty(df: DataFrame, what):
 
 
 def source_consistency(provenance: DataFrame) -> DataFrame:
-    """One row per coin: first exchange/symbol/quote per bar width and whether they agree."""
+    """One row per coin: first known exchange/symbol/quote per bar width and whether they agree; unknown values come last."""
     p = provenance.withColumn("coin", canonical_ticker("coin"))
     width = ("1h", "6h", "1d")
-    order = F.struct("exchange", "symbol", "quote")
+    order = F.struct(*[x for c in ("exchange", "symbol", "quote") for x in (F.col(c).isNull(), F.col(c))])
     aggs = []
     for h in width:
         here = F.col("horizon") == h
         for c in ("exchange", "symbol", "quote"):
-            aggs.append(F.min_by(c, F.when(here, order)).alias(f"{c}_{h}"))
+            aggs.append(F.min_by(c, F.when(here & F.col(c).isNotNull(), order)).alias(f"{c}_{h}"))
     aggs += [(F.count_distinct(c) <= 1).alias(f"{c}_consistent") for c in ("exchange", "symbol", "quote")]
     aggs += [F.min("coverage_pct").alias("coverage_min"), F.max("coverage_pct").alias("coverage_max"),
              F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"),

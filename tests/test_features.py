@@ -231,6 +231,16 @@ def test_consistency_of_overlapping_provenance(spark):
     assert (r["coverage_min"], r["coverage_max"], r["first_date"], r["missing_bars"]) == (80.0, 90.0, "2020-01-01", 4)
 
 
+def test_consistency_passes_over_unknown_sources(spark):
+    rows = [("BTC", "1h", None, "A", "USDT"), ("BTC", "1h", "x", None, "USDT"), ("BTC", "1h", "y", "B", "USD"), ("BTC", "6h", None, None, "USDT"),
+            ("BTC", None, "a", "a", "a")]
+    p = spark.createDataFrame(rows, "coin string, horizon string, exchange string, symbol string, quote string").withColumns({
+        "coverage_pct": F.lit(1.0), "first_date": F.lit("2020"), "last_date": F.lit("2021"), "missing_bars": F.lit(0)})
+    r = A.source_consistency(p).first()
+    assert [r[f"{c}_1h"] for c in ("exchange", "symbol", "quote")] == ["x", "B", "USDT"]
+    assert [r[f"{c}_6h"] for c in ("exchange", "symbol", "quote")] == [None, None, "USDT"] and r["exchange_1d"] is None
+
+
 def test_wide_headers(spark):
     w = spark.sql("select date'2022-01-01' date, 5L `000000000001_BTC`, -1L `000000001027_ETH`, 7L `000000001567_XNO`, 9L `weird name!`")
     got = {r["ticker"]: r["market_cap"] for r in M.wide_to_long(w).collect()}
